@@ -16,22 +16,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timefn import epoch_seconds
+from ..functions.timefn import epoch_micros, epoch_seconds
 
 _E, _BLK, _CTX = "_rl_epoch", "_rl_block", "_rl_ctx"
+EPOCH = _E
 
 
-def _block_size(back_s: int, ahead_s: int, block_s: int | None) -> int:
-    need = max(int(back_s), int(ahead_s), 60)
+def _block_size(back_s: int, ahead_s: int, block_s: int | None, unit: str = "s") -> int:
+    need = max(int(back_s), int(ahead_s), 60 if unit == "s" else 60_000_000)
     size = int(block_s) if block_s else need * 8
     if size < need:
         raise ValueError(f"block of {size}s cannot hold a {need}s frame")
     return size
 
 
-def time_blocked(df: DataFrame, ts: str, back_s: int, ahead_s: int, block_s: int | None = None) -> tuple[DataFrame, int]:
-    """Tag rows with a time block and copy edge rows into the neighbouring block as context."""
-    size = _block_size(back_s, ahead_s, block_s)
+def time_blocked(df: DataFrame, ts: str, back_s: int, ahead_s: int, block_s: int | None = None, unit: str = "s") -> tuple[DataFrame, int]:
+    """Tag rows with a time block and copy edge rows into the neighbouring block as context.
+
+    ``unit`` is "s" (epoch seconds) or "us" (epoch microseconds); spans are in that unit.
+    """
+    size = _block_size(back_s, ahead_s, block_s, unit)
     e = F.col(_E)
     blk = F.floor(e / F.lit(size))
     copies = [F.struct(blk.alias("b"), F.lit(False).alias("c"))]
@@ -40,7 +44,7 @@ def time_blocked(df: DataFrame, ts: str, back_s: int, ahead_s: int, block_s: int
     if ahead_s > 0:  # rows near the start of a block are future for the previous block
         copies.append(F.when(e < blk * size + ahead_s, F.struct((blk - 1).alias("b"), F.lit(True).alias("c"))))
     out = (
-        df.withColumn(_E, epoch_seconds(ts))
+        df.withColumn(_E, epoch_seconds(ts) if unit == "s" else epoch_micros(ts))
         .withColumn("_rl_copy", F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull())))
         .withColumn(_BLK, F.col("_rl_copy.b"))
         .withColumn(_CTX, F.col("_rl_copy.c"))
@@ -57,16 +61,19 @@ def blocked_window_columns(
     ahead_s: int,
     build: "callable",
     block_s: int | None = None,
+    ordered: bool = True,
+    unit: str = "s",
 ) -> DataFrame:
-    """Add the columns returned by ``build(window_spec_over_epoch_seconds)`` using time blocks.
+    """Add the columns returned by ``build(window)`` using time blocks.
 
-    ``build`` receives a Window partitioned by keys + block and ordered by epoch
-    seconds; it returns a dict name -> Column whose frames must not reach further
-    back than ``back_s`` or further ahead than ``ahead_s``.
+    ``build`` receives a Window partitioned by keys + block (and, unless
+    ``ordered=False``, ordered by epoch seconds in column ``EPOCH``); it returns a
+    dict name -> Column whose frames must not reach further back than ``back_s``
+    or further ahead than ``ahead_s``.
     """
-    blocked, _ = time_blocked(df, ts, back_s, ahead_s, block_s)
-    w = Window.partitionBy(*keys, _BLK).orderBy(_E)
-    cols = build(w)
+    blocked, _ = time_blocked(df, ts, back_s, ahead_s, block_s, unit)
+    w = Window.partitionBy(*keys, _BLK)
+    cols = build(w.orderBy(_E) if ordered else w)
     return blocked.withColumns(cols).filter(~F.col(_CTX)).drop(_E, _BLK, _CTX)
 
 

@@ -19,9 +19,22 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, sf_dir)
 
 
+def fix_digits(c, digits: int = 6):
+    """floor(x * 10^d + 0.5) / 10^d in plain double arithmetic: bit-identical in Spark and
+    DuckDB (Spark's ``round`` rounds the decimal text of a double, DuckDB the binary value)."""
+    scale = float(10 ** digits)
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+
+
+def duck_fix(expr: str, digits: int = 6) -> str:
+    scale = f"1e{digits}"
+    return f"(floor(({expr}) * {scale} + 5e-1) / {scale})"
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (engines sum floats in different orders)."""
-    return df.withColumns({c: F.round(F.col(c), digits) for c, t in df.dtypes if t in ("double", "float")})
+    return df.withColumns({c: fix_digits(c, digits) for c, t in df.dtypes if t in ("double", "float")})
 
 
 def doubles_of(df: DataFrame) -> list[str]:
@@ -39,7 +52,7 @@ def silver_weather(t: Tables) -> DataFrame:
 
 def _settle(df: DataFrame, cols) -> DataFrame:
     """Round averaged doubles to 9 digits so both engines feed identical values downstream."""
-    return df.withColumns({c: F.round(F.col(c), 9) for c in cols})
+    return df.withColumns({c: fix_digits(c, 9) for c in cols})
 
 
 def traffic_dedup(t: Tables) -> DataFrame:
@@ -104,8 +117,8 @@ SELECT *, least(greatest(CASE WHEN freeFlowSpeed > 0 THEN 1e0 - currentSpeed / f
   AS congestion_ratio
 FROM (
 SELECT city, segment_id, time_bucket, max(timestamp) AS timestamp,
-  round(avg(currentSpeed), 9) AS currentSpeed, round(avg(freeFlowSpeed), 9) AS freeFlowSpeed,
-  round(avg(jamFactor), 9) AS jamFactor, round(avg(confidence), 9) AS confidence, {_last('lat')}, {_last('lon')}, {_last('source')}, {_last('segment_name')},
+  {duck_fix('avg(currentSpeed)', 9)} AS currentSpeed, {duck_fix('avg(freeFlowSpeed)', 9)} AS freeFlowSpeed,
+  {duck_fix('avg(jamFactor)', 9)} AS jamFactor, {duck_fix('avg(confidence)', 9)} AS confidence, {_last('lat')}, {_last('lon')}, {_last('source')}, {_last('segment_name')},
   {_last('weather_cell_id')}, {_last('date')}, count(*) AS rows_collapsed
 FROM silver_traffic GROUP BY city, segment_id, time_bucket) g
 """, "silver_traffic")

@@ -71,11 +71,11 @@ def _target_sql():
         cols.append(f"f{i}.currentSpeed AS future_speed_{h}m, CAST(f{i}.currentSpeed IS NOT NULL AS INTEGER) AS has_exact_target_{h}m")
         joins.append(f"LEFT JOIN traffic_dedup f{i} ON f{i}.city = d.city AND f{i}.segment_id = d.segment_id "
                      f"AND f{i}.time_bucket = d.time_bucket + INTERVAL ({h}) MINUTE")
-    return f"SELECT d.city, d.segment_id, d.time_bucket, round(d.currentSpeed, 6) AS currentSpeed, " + ", ".join(cols) + \
+    return f"SELECT d.city, d.segment_id, d.time_bucket, d.currentSpeed, " + ", ".join(cols) + \
         "\nFROM traffic_dedup d\n" + "\n".join(joins)
 
 
-TARGET_DOUBLES = [f"future_speed_{h}m" for h in K.HORIZONS]
+TARGET_DOUBLES = ["currentSpeed"] + [f"future_speed_{h}m" for h in K.HORIZONS]
 
 
 @register("exact_horizon_target", round_sql(oracle(_target_sql(), "traffic_dedup"), TARGET_DOUBLES))

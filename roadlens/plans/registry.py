@@ -69,5 +69,5 @@ def round_sql(inner: str, doubles: list[str], digits: int = 6) -> str:
     """Wrap an oracle query so the listed double columns are rounded like the Spark side."""
     if not doubles:
         return inner
-    rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in doubles)
+    rep = ", ".join(f"floor({c} * 1e{digits} + 5e-1) / 1e{digits} AS {c}" for c in doubles)
     return f"SELECT * REPLACE ({rep}) FROM (\n{inner}\n) AS _r"
