@@ -135,7 +135,7 @@ def q_join_pct(spark, sf):
 
 # ---------------------------------------------------------------- gold
 GOLD_OUT = (
-    ["city", "segment_id", "time_bucket", "currentSpeed", "freeFlowSpeed", "jamFactor", "congestion_ratio",
+    ["city", "segment_id", "time_bucket", "timestamp", "segment_name", "lat", "lon", "weather_cell_id", "currentSpeed", "freeFlowSpeed", "jamFactor", "congestion_ratio",
      "hour_of_day", "day_of_week", "day_of_month", "month_of_year", "is_weekend", "is_peak_hour",
      "time_gap_minutes", "has_previous_exact_bucket", "has_large_gap_before"]
     + [f"{p}_lag_{k}" for k in range(1, K.N_LAGS + 1) for p in ("speed", "congestion")]
@@ -155,7 +155,7 @@ GOLD_INT = {"hour_of_day", "day_of_week", "day_of_month", "month_of_year", "is_w
             "is_anomaly_vs_baseline", "has_accident", "has_flood", "has_roadwork", "has_any_event",
             *[f"has_exact_target_{h}m" for h in K.HORIZONS]}
 GOLD_BIGINT = {c for c in EV.EVENT_FEATURES if "count" in c or c.startswith("has_")}
-GOLD_DOUBLES = [c for c in GOLD_OUT[3:] if c not in GOLD_INT and c not in GOLD_BIGINT
+GOLD_DOUBLES = [c for c in GOLD_OUT[3:] if c not in GOLD_INT and c not in ("timestamp", "segment_name", "weather_cell_id") and c not in GOLD_BIGINT
                 and c not in ("max_event_severity_1h", "max_event_severity_6h")]
 
 
@@ -189,7 +189,7 @@ SELECT *, CAST(coalesce(time_gap_minutes = {K.BUCKET}, false) AS INTEGER) AS has
   greatest(0, has_recent_accident) AS has_accident, greatest(0, has_recent_flood) AS has_flood,
   greatest(0, has_recent_roadwork) AS has_roadwork, CAST(news_event_count_6h > 0 AS INTEGER) AS has_any_event
 FROM (
-SELECT l.city, l.segment_id, l.time_bucket, l.currentSpeed, l.freeFlowSpeed, l.jamFactor, l.congestion_ratio,
+SELECT l.city, l.segment_id, l.time_bucket, l.timestamp, l.segment_name, l.lat, l.lon, l.weather_cell_id, l.currentSpeed, l.freeFlowSpeed, l.jamFactor, l.congestion_ratio,
   hour(l.time_bucket) AS hour_of_day, isodow(l.time_bucket) - 1 AS day_of_week, day(l.time_bucket) AS day_of_month,
   month(l.time_bucket) AS month_of_year, CAST(isodow(l.time_bucket) IN (6, 7) AS INTEGER) AS is_weekend,
   CAST(hour(l.time_bucket) IN (7, 8, 9, 16, 17, 18, 19) AS INTEGER) AS is_peak_hour, {gap} AS time_gap_minutes,
@@ -205,8 +205,9 @@ JOIN asof_weather a USING (city, segment_id, time_bucket)
 JOIN baseline b USING (city, segment_id, time_bucket)
 LEFT JOIN event_feats e ON e.city = l.city AND e.time_bucket = l.time_bucket
 {chr(10).join(tjoins)}) g"""
-    return round_sql(oracle(f"SELECT {', '.join(GOLD_OUT)} FROM ({sql}) z", "traffic_lagged", "gold_strict", "asof_weather",
-                            "baseline", "event_feats", "traffic_dedup"), GOLD_DOUBLES)
+    stage("gold", f"SELECT {', '.join(GOLD_OUT)} FROM ({sql}) z", "traffic_lagged", "gold_strict", "asof_weather",
+          "baseline", "event_feats", "traffic_dedup")
+    return round_sql(oracle("SELECT * FROM gold", "gold"), GOLD_DOUBLES)
 
 
 def gold(t):
