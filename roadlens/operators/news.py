@@ -165,19 +165,74 @@ def event_window_end(start: Column, category: Column, hours=EVENT_HOURS, default
     return start + F.make_dt_interval(F.lit(0), h.cast("int"))
 
 
-def quality_flags(df: DataFrame) -> Column:
-    """Sorted, unique data-quality flags of a raw article."""
+def bronze_news(raw: DataFrame, city_aliases=CITY_ALIASES, category_rules: dict | None = None,
+                order: str = "ingest_order") -> DataFrame:
+    """Raw article rows -> Bronze evidence rows: record id, domain/section, canonical URL and
+    hashes, cleaned summary and image, resolved publish time with source/status, city and
+    category hints, sorted quality flags, then exact-duplicate marking in ingest order."""
+    category_rules = category_rules if category_rules is not None else dict(CATEGORY_RULES)
     miss = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    title = F.when(~miss("title"), X.clean_html(F.col("title")))
+    summary_text = X.clean_html(F.col("summary"))
+    summary_text = F.when(summary_text != "", summary_text)
+    df = raw.withColumns({
+        "record_id": F.sha1(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
+                                                   ("source", "external_id", "source_url", "title", "summary")])),
+        "source_domain": X.url_domain("source_url"),
+        "source_section": X.source_section("source"),
+        "canonical_url": F.when(~miss("source_url"), X.canonical_url("source_url")),
+        "title_raw": title,
+        "summary_raw": F.col("summary"),
+        "summary_text": summary_text,
+        "image_url": X.extract_image_url("summary"),
+    })
+    df = df.withColumns({
+        "url_hash": X.sha256_or_null("canonical_url"),
+        "content_hash": F.sha2(F.concat(F.lower(F.coalesce(F.col("title_raw"), F.lit(""))), F.lit("|"),
+                                        F.lower(F.coalesce(F.col("summary_text"), F.lit("")))), 256),
+    })
+    pub = X.parse_utc(F.col("published_at"))
+    url_t = X.time_from_url("source_url")
+    ing = X.parse_utc(F.col("ingestion_time")) if "ingestion_time" in raw.columns else F.lit(None).cast("timestamp_ntz")
+    df = df.withColumns({
+        "published_at_utc": F.coalesce(pub, url_t, ing),
+        "published_at_source": F.when(pub.isNotNull(), F.when(F.col("provider") == "rss", "rss").otherwise("html_meta"))
+        .when(url_t.isNotNull(), "url_timestamp").when(ing.isNotNull(), "ingestion_time_fallback"),
+        "published_at_parse_status": F.when(pub.isNotNull(), "ok").when(url_t.isNotNull(), "parsed_from_url")
+        .when(ing.isNotNull(), "fallback_low_confidence").otherwise("missing"),
+    })
+    text = X.clean_html(F.concat_ws(" ", F.coalesce(F.col("title_raw"), F.lit("")), F.coalesce(F.col("summary_text"), F.lit(""))))
+    hint = F.col("city_hint") if "city_hint" in raw.columns else None
+    city = detect_city_text(text, hint, city_aliases)
+    df = df.withColumns({"city_hint_raw": city["city"], "location_hint_raw": city["alias"],
+                         "category_hint_raw": detect_categories(text, category_rules)})
     flags = F.array(
-        F.when(miss("title"), F.lit("missing_title")),
+        F.when(F.col("title_raw").isNull(), F.lit("missing_title")),
         F.when(miss("summary"), F.lit("missing_summary")),
-        F.when(miss("source_url"), F.lit("missing_source_url")),
-        F.when(miss("published_at"), F.lit("missing_published_at")),
-        F.when(F.coalesce(X.has_html("summary"), F.lit(False)), F.lit("summary_has_html")),
-        F.when(X.extract_image_url("summary").isNull(), F.lit("missing_image")),
-        F.when(F.length(F.coalesce(F.col("summary"), F.lit(""))) < 40, F.lit("partial_summary")),
+        F.when(F.coalesce(X.has_html("summary"), F.lit(False)), F.lit("summary_contains_html")),
+        F.when(F.col("summary_text").isNull(), F.lit("summary_text_empty")),
+        F.when(F.col("image_url").isNotNull(), F.lit("image_extracted")),
+        F.when(pub.isNull(), F.lit("missing_published_at")),
+        F.when(pub.isNull() & url_t.isNotNull(), F.lit("published_at_from_url")),
+        F.when(pub.isNull() & url_t.isNull() & ing.isNotNull(), F.lit("published_at_fallback_ingestion_time")),
+        F.when(pub.isNull() & url_t.isNull() & ing.isNull(), F.lit("parse_error")),
+        F.when(F.col("city_hint_raw").isNull(), F.lit("city_hint_missing")),
+        F.when(F.col("category_hint_raw").isNull(), F.lit("category_hint_missing")),
+        F.when(F.array_contains(F.split(F.col("category_hint_raw"), ";"), "possible_unrelated"), F.lit("possible_unrelated")),
+        F.when((F.col("provider") == "html_listing") & (miss("summary") | miss("published_at")), F.lit("html_listing_partial")),
     )
-    return F.array_sort(F.array_distinct(F.array_compact(flags)))
+    df = df.withColumn("data_quality_flags", F.array_sort(F.array_distinct(F.array_compact(flags))))
+    df = df.withColumn("fetch_status", F.when(F.array_contains("data_quality_flags", "html_listing_partial"), "partial").otherwise("ok"))
+    return mark_exact_duplicates(df, order)
+
+
+def has_flag(flags: Column, flag: str) -> Column:
+    return F.coalesce(F.array_contains(flags, F.lit(flag)), F.lit(False))
+
+
+def explode_flags(df: DataFrame, flags: str = "data_quality_flags") -> DataFrame:
+    """Distribution of flags: one row per flag with its count."""
+    return df.select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("rows"))
 
 
 # ---------------------------------------------------------------- pages
@@ -269,7 +324,8 @@ def snap_to_segment(events: DataFrame, segments: DataFrame, cell_deg: float = 0.
     j = ev.join(seg, "_cell", "left")
     j = j.withColumn("_d", haversine_km("lat", "lon", "_s_lat", "_s_lon") * 1000.0)
     keys = [c for c in events.columns]
-    best = j.groupBy(*keys).agg(F.min_by(F.struct("snapped_segment_id", "_d"), F.struct("_d", "snapped_segment_id")).alias("_b"))
+    order = F.when(F.col("snapped_segment_id").isNotNull(), F.struct("_d", "snapped_segment_id"))
+    best = j.groupBy(*keys).agg(F.min_by(F.struct("snapped_segment_id", "_d"), order).alias("_b"))
     out = best.select(*keys, F.col("_b.snapped_segment_id").alias("snapped_segment_id"), F.col("_b._d").alias("snap_distance_m"))
     if max_km is not None:
         out = out.withColumn("snapped_segment_id", F.when(F.col("snap_distance_m") <= max_km * 1000, F.col("snapped_segment_id")))
@@ -305,3 +361,80 @@ def keep_best_per_group(df: DataFrame, group: str = "dedup_group_id", rel: str =
     order = F.struct(F.negative(F.col(rel)), F.negative(F.col(sev)), F.col(tiebreak))
     best = df.groupBy(group).agg(F.min_by(F.struct(*[F.col(c) for c in rest]), order).alias("_b"))
     return best.select(group, *[F.col(f"_b.{c}").alias(c) for c in rest])
+
+
+# ---------------------------------------------------------------- event rows
+def resolve_event_time(published: Column, url_time: Column, text_time: Column, ingestion: Column, now: str) -> Column:
+    """published -> URL -> text -> ingestion -> now, with source and confidence labels."""
+    now_c = F.lit(now).cast("timestamp_ntz")
+    return (F.when(published.isNotNull(), F.struct(published.alias("t"), F.lit("published_at").alias("source"), F.lit("high").alias("confidence")))
+            .when(url_time.isNotNull(), F.struct(url_time.alias("t"), F.lit("source_url").alias("source"), F.lit("medium").alias("confidence")))
+            .when(text_time.isNotNull(), F.struct(text_time.alias("t"), F.lit("title_or_summary").alias("source"), F.lit("medium").alias("confidence")))
+            .when(ingestion.isNotNull(), F.struct(ingestion.alias("t"), F.lit("ingestion_time").alias("source"), F.lit("low").alias("confidence")))
+            .otherwise(F.struct(now_c.alias("t"), F.lit("fallback_now").alias("source"), F.lit("low").alias("confidence"))))
+
+
+def normalize_events(raw: DataFrame, now: str, rules=CATEGORY_RULES, planning=PLANNING_TERMS, active=ACTIVE_ROADWORK_TERMS,
+                     infra=INFRA_TERMS, planned=PLANNED_ROADWORK_TERMS, ladder=SEVERITY_LADDER, planning_low=PLANNING_LOW_TERMS,
+                     dampening=DAMPENING_TERMS, city_aliases=CITY_ALIASES, district_patterns=DISTRICT_PATTERNS,
+                     road_pattern=ROAD_PATTERN) -> DataFrame:
+    """Raw/Bronze articles -> normalised event rows: clean text, event time with source and
+    confidence, city/district/road/location, category, severity, relevance, end time,
+    per-category flags and ``is_relevant_for_traffic_model``."""
+    title = X.clean_html(F.coalesce(F.col("title"), F.lit("")))
+    summary = F.when(F.col("summary").isNotNull(), X.clean_html(F.col("summary")))
+    df = raw.withColumns({"title_clean": title, "summary_text": summary, "image_url": X.extract_image_url("summary")})
+    text = X.clean_html(F.concat_ws(" ", F.coalesce(F.col("title_clean"), F.lit("")), F.coalesce(F.col("summary_text"), F.lit(""))))
+    pub = X.parse_utc(F.col("published_at"))
+    ing = X.parse_utc(F.col("ingestion_time")) if "ingestion_time" in raw.columns else F.lit(None).cast("timestamp_ntz")
+    chosen = resolve_event_time(pub, X.time_from_url("source_url"), X.time_from_text(text, now), ing, now)
+    hint = F.col("city_hint") if "city_hint" in raw.columns else None
+    city = detect_city_text(text, hint, city_aliases)
+    district = extract_first(text, district_patterns)
+    road_m = F.regexp_extract(text, road_pattern, 1)
+    road = F.when(road_m != "", F.trim(F.regexp_replace(road_m, r"\s+", " ")))
+    cls = classify_event(text, rules, planning, active, infra, planned)
+    df = df.withColumns({
+        "full_text": text, "published_at_utc": pub, "_chosen": chosen, "_city": city, "district": district, "road_name": road,
+        "_cls": cls,
+    })
+    df = df.withColumns({
+        "event_time_start": F.col("_chosen.t"), "event_time_source": F.col("_chosen.source"),
+        "event_time_confidence": F.col("_chosen.confidence"), "city": F.col("_city.city"),
+        "location_text": F.coalesce(F.col("road_name"), F.col("district"), F.col("_city.alias")),
+        "event_category": F.col("_cls.category"), "event_subtype": F.col("_cls.subtype"),
+    })
+    df = df.withColumn("geo_confidence", F.when(F.col("road_name").isNotNull(), 0.75).when(F.col("district").isNotNull(), 0.55)
+                       .when(F.col("city").isNotNull(), 0.4).otherwise(0.0))
+    df = df.withColumn("severity_score", score_severity(F.col("event_category"), F.col("full_text"), ladder, planning_low))
+    df = df.withColumn("traffic_relevance_score", score_relevance(F.col("event_category"), F.col("severity_score"), F.col("full_text"),
+                                                                  RELEVANCE_BASE, dampening))
+    cat = F.col("event_category")
+    df = df.withColumns({
+        "event_time_end": event_window_end(F.col("event_time_start"), cat),
+        "has_accident": (cat == "accident").cast("int"), "has_congestion": (cat == "congestion").cast("int"),
+        "has_roadwork": cat.isin("roadwork_active", "roadwork_planned").cast("int"), "has_flood": (cat == "flood").cast("int"),
+        "has_heavy_rain": (cat == "weather_disruption").cast("int"), "has_public_transport_issue": (cat == "public_transport").cast("int"),
+        "has_airport_issue": (cat == "airport").cast("int"), "has_enforcement": (cat == "enforcement").cast("int"),
+        "has_planned_event": (cat == "planned_event").cast("int"),
+        "is_relevant_for_traffic_model": (F.col("city").isNotNull() & cat.isin(*ACTIVE_CATEGORIES)
+                                          & (F.col("traffic_relevance_score") >= 0.55)).cast("int"),
+    })
+    return df.drop("_chosen", "_city", "_cls").withColumnRenamed("title", "title_raw").withColumnRenamed("title_clean", "title")
+
+
+def silver_events(bronze: DataFrame, type_rules, gazetteer: DataFrame, gazetteer_names, order: str = "ingest_order") -> DataFrame:
+    """Lakehouse Silver events: first row per source URL, rule classification, dictionary
+    locations (primary = longest), gazetteer geocode with city fallback, confidence."""
+    from .aggregates import dedup_first_key
+
+    d = dedup_first_key(bronze.filter(F.col("source_url").isNotNull()), ["source_url"], [order, "record_id"]) \
+        .unionByName(bronze.filter(F.col("source_url").isNull()))
+    text = F.concat_ws(" ", F.coalesce(F.col("title"), F.lit("")), F.coalesce(F.col("summary"), F.lit("")))
+    d = d.withColumn("event_type", classify_event_type(text, type_rules))
+    d = d.withColumn("extracted_locations", extract_locations(text, gazetteer_names, F.col("city")))
+    d = d.withColumn("location_entity", F.try_element_at(F.col("extracted_locations"), F.lit(1)))
+    g = geocode_join(d, gazetteer, "location_entity", "city")
+    conf = F.when(F.col("geocode_status") == "failed", F.lit(0.0)).otherwise(
+        snap_confidence(F.lit(None).cast("double"), F.col("location_entity")))
+    return g.withColumn("event_confidence", conf)
