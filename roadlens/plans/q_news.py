@@ -238,19 +238,20 @@ def q_extract_links(spark, sf):
     return N.extract_links(K.tables(spark, sf).pages)
 
 
-TEST_LINK_KEYWORDS = ["the", "und", "les", "los", "and"]
+# test listing pages are shallow: title >= 6 chars and depth >= 1 (production: 8 and 2)
+TEST_LINK_KEYWORDS = ["the", "und", "les", "los", "and", "tion", "ich"]
 
 
 @register("listing_link_filter", oracle(f"""
 SELECT page_id, link_pos, link_url, link_text FROM (
   SELECT *, row_number() OVER (PARTITION BY link_url ORDER BY page_id, link_pos) AS rn FROM links
-  WHERE length(link_text) >= 8
-    AND (len(list_filter(string_split(regexp_extract(trim(link_url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')) >= 2
+  WHERE length(link_text) >= 6
+    AND (len(list_filter(string_split(regexp_extract(trim(link_url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')) >= 1
          OR regexp_matches(regexp_extract(trim(link_url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '\\d{{5,}}(\\.html?)?$'))
     AND {d_any("lower(concat_ws(' ', link_text, link_url))", TEST_LINK_KEYWORDS)}) x WHERE rn = 1""", "links"))
 def q_listing_link_filter(spark, sf):
     links = N.extract_links(K.tables(spark, sf).pages)
-    return N.listing_link_filter(links, TEST_LINK_KEYWORDS).select("page_id", "link_pos", "link_url", "link_text")
+    return N.listing_link_filter(links, TEST_LINK_KEYWORDS, min_title=6, min_depth=1).select("page_id", "link_pos", "link_url", "link_text")
 
 
 # ---------------------------------------------------------------- locations, geocode, snap

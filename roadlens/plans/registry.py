@@ -34,7 +34,7 @@ def _sql_of(name: str) -> str:
     return duck_view_sql(name)
 
 
-def oracle(sql: str, *names: str) -> str:
+def oracle(sql: str, *names: str, recursive: bool = False) -> str:
     """Prefix ``sql`` with every needed view/stage as a CTE, dependencies first."""
     order: list[str] = []
 
@@ -50,7 +50,7 @@ def oracle(sql: str, *names: str) -> str:
     if not order:
         return sql
     ctes = ",\n".join(f"{n} AS (\n{_sql_of(n).strip()}\n)" for n in order)
-    return f"WITH {ctes}\n{sql}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{sql}"
 
 
 def register(name: str, sql: str | None = None):

@@ -128,6 +128,11 @@ class Tables:
         key = f"view:{name}"
         if key not in self._cache:
             sql = _render(VIEW_SQL[name], _SPARK_SUBST)
+            if name == "news_raw":
+                # The page count is one scalar: run it once and inline it. A scalar subquery
+                # repeated in several branches of one plan trips an AQE subquery-reuse race.
+                n_pages = self.table("pages").count()
+                sql = sql.replace("(SELECT count(*) FROM {pages})", str(n_pages))
             args = {t: self.table(t) for t in VIEW_DEPS[name]}
             self._cache[key] = self.spark.sql(sql, **args)
         return self._cache[key]
