@@ -35,14 +35,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "roa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster this setting names shared storage and is used as is. Only when it
-    is unset (local tests) is a scratch folder of our own created.
-    """
+    """Return the checkpoint folder: the shared folder named by ``spark.checkpoint.dir`` on a
+    cluster (used as is). Only when nothing is configured (local tests) is a scratch folder
+    of our own created. Already-set directories are left alone."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="roadlens-ckpt-")
-    sc.setCheckpointDir(current)
-    return current
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    target = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="roadlens-ckpt-")
+    sc.setCheckpointDir(target)
+    return sc.getCheckpointDir()
