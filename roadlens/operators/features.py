@@ -161,3 +161,49 @@ def bbox_any_vertex(df: DataFrame, coords: str, bbox: str) -> DataFrame:
         raise ValueError("bbox must be minLon,minLat,maxLon,maxLat")
     a, b, c, d = parts
     return df.filter(F.exists(F.col(coords), lambda p: p["lon"].between(a, c) & p["lat"].between(b, d)))
+
+
+# Target piece length (km) by zoom, scaled for highways / collectors.
+def split_polyline(df: DataFrame, coords: str, road_type: str, zoom: int = 13, max_pieces: int = 6) -> DataFrame:
+    """Cut each leg of a line into 1..6 pieces of about the zoom's target length (1.2 / 0.85 /
+    0.55 km, x1.25 for highways, x0.85 for collectors); one row per piece with its two ends."""
+    target = 1.2 if zoom <= 12 else 0.85 if zoom <= 14 else 0.55
+    t = F.when(F.col(road_type) == "Highway", target * 1.25).when(F.col(road_type) == "Collector", target * 0.85).otherwise(target)
+    legs = df.withColumn("_legs", F.arrays_zip(F.slice(F.col(coords), 1, F.size(coords) - 1).alias("a"),
+                                               F.slice(F.col(coords), 2, F.size(coords)).alias("b")))
+    legs = legs.select("*", F.posexplode("_legs").alias("leg", "_l")).drop("_legs")
+    a, b = F.col("_l.a"), F.col("_l.b")
+    dist = TF.haversine_km(a["lat"], a["lon"], b["lat"], b["lon"])
+    legs = legs.withColumn("_n", F.greatest(F.lit(1), F.least(F.lit(max_pieces), F.ceil(dist / t).cast("int"))))
+    pieces = legs.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("piece"))
+    f1, f2 = F.col("piece") / F.col("_n"), (F.col("piece") + 1) / F.col("_n")
+    return pieces.select(
+        *[c for c in df.columns if c != coords], "leg", "piece",
+        (a["lon"] + (b["lon"] - a["lon"]) * f1).alias("lon1"), (a["lat"] + (b["lat"] - a["lat"]) * f1).alias("lat1"),
+        (a["lon"] + (b["lon"] - a["lon"]) * f2).alias("lon2"), (a["lat"] + (b["lat"] - a["lat"]) * f2).alias("lat2"))
+
+
+# Model feature names served by the API and the gold columns they come from.
+SERVING_ALIASES = {"current_speed": "currentSpeed", "free_flow_speed": "freeFlowSpeed", "jam_factor": "jamFactor",
+                   "speed_lag_1": "speed_lag_1", "speed_lag_2": "speed_lag_2", "rolling_speed_15m": "speed_rolling_avg_15m",
+                   "temperature": "weather_temperature", "rain_1h": "weather_rain_1h", "accidents_1h": "accident_count_1h",
+                   "news_events_1h": "news_event_count_1h", "p50": "p50"}
+
+
+def serving_features(df: DataFrame) -> DataFrame:
+    """Model feature frame for serving: aliased names, speed ratio, rain level, event type,
+    cyclic time, numeric defaults 0 / text 'unknown', and the count of missing sources."""
+    from ..functions.timefn import cyclic_time
+
+    present = {k: v for k, v in SERVING_ALIASES.items() if v in df.columns}
+    missing = sum((F.col(v).isNull().cast("int") for v in present.values()), F.lit(0)) + F.lit(len(SERVING_ALIASES) - len(present))
+    cols = {k: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for k, v in present.items()}
+    cols.update({k: F.lit(0.0) for k in SERVING_ALIASES if k not in present})
+    out = df.select("city", "segment_id", "time_bucket", *[c.alias(k) for k, c in cols.items()], missing.alias("missing_feature_count"))
+    rain = F.col("rain_1h")
+    out = out.withColumns({
+        "speed_ratio": F.when(F.col("free_flow_speed") > 0, F.col("current_speed") / F.col("free_flow_speed")).otherwise(F.lit(0.0)),
+        "rain_level": F.when(rain > 10, "heavy").when(rain > 0.1, "light").otherwise("none"),
+        "event_type": F.when(F.col("accidents_1h") > 0, "accident").when(F.col("news_events_1h") > 0, "other").otherwise("none"),
+    })
+    return out.withColumns(cyclic_time("time_bucket"))

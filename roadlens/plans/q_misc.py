@@ -486,3 +486,84 @@ def q_bronze_counts(spark, sf):
     t = K.tables(spark, sf)
     return bronze_counts({"traffic_obs": t.traffic_obs, "weather_obs": t.weather_obs, "incident_obs": t.incident_obs,
                           "news_raw": t.news_raw, "stats_lookup": None})
+
+
+# ---------------------------------------------------------------- polylines, serving frame, path B gold
+def _road_type(col):
+    return F.when(F.col(col).isin("motorway", "trunk"), "Highway").when(F.col(col) == "residential", "Collector").otherwise("Arterial")
+
+
+@register("split_polyline", round_sql(oracle("""
+SELECT segment_id, leg, piece, lo1 + (lo2 - lo1) * (piece / n) AS lon1, la1 + (la2 - la1) * (piece / n) AS lat1,
+  lo1 + (lo2 - lo1) * ((piece + 1) / n) AS lon2, la1 + (la2 - la1) * ((piece + 1) / n) AS lat2
+FROM (SELECT *, unnest(range(0, n)) AS piece FROM (
+  SELECT segment_id, leg, lo1, la1, lo2, la2,
+    greatest(1, least(6, CAST(ceil(2 * 6371e0 * asin(sqrt(pow(sin((radians(la2) - radians(la1)) / 2), 2)
+      + cos(radians(la1)) * cos(radians(la2)) * pow(sin((radians(lo2) - radians(lo1)) / 2), 2))) / t) AS INTEGER))) AS n
+  FROM (SELECT g.segment_id, i - 1 AS leg, g.coords[i][1] AS lo1, g.coords[i][2] AS la1, g.coords[i + 1][1] AS lo2, g.coords[i + 1][2] AS la2,
+          CASE WHEN d.road_class IN ('motorway', 'trunk') THEN 85e-2 * 1.25e0 WHEN d.road_class = 'residential' THEN 85e-2 * 85e-2 ELSE 85e-2 END AS t
+        FROM geom g LEFT JOIN segment_dim d USING (segment_id), range(1, len(g.coords)) r(i)) a) b) c""", "geom", "segment_dim"),
+    ["lon1", "lat1", "lon2", "lat2"]))
+def q_split_polyline(spark, sf):
+    t = K.tables(spark, sf)
+    g = _geometry(t).select("segment_id", FE.parse_geometry("geometry").alias("coords"))
+    g = g.join(t.segment_dim.select("segment_id", "road_class"), "segment_id", "left").withColumn("road_type", _road_type("road_class"))
+    out = FE.split_polyline(g, "coords", "road_type", 13)
+    # cast the piece index to match the oracle's integer types
+    return K.rounded(out.select("segment_id", F.col("leg").cast("bigint"), F.col("piece").cast("bigint"), "lon1", "lat1", "lon2", "lat2"))
+
+
+@register("serving_features", round_sql(oracle(f"""
+SELECT city, segment_id, time_bucket, coalesce(currentSpeed, 0e0) AS current_speed, coalesce(freeFlowSpeed, 0e0) AS free_flow_speed,
+  coalesce(jamFactor, 0e0) AS jam_factor, coalesce(speed_lag_1, 0e0) AS speed_lag_1, coalesce(speed_lag_2, 0e0) AS speed_lag_2,
+  coalesce(speed_rolling_avg_15m, 0e0) AS rolling_speed_15m, coalesce(weather_temperature, 0e0) AS temperature,
+  coalesce(weather_rain_1h, 0e0) AS rain_1h, coalesce(CAST(accident_count_1h AS DOUBLE), 0e0) AS accidents_1h,
+  coalesce(CAST(news_event_count_1h AS DOUBLE), 0e0) AS news_events_1h, coalesce(p50, 0e0) AS p50,
+  {' + '.join(f'CAST({v} IS NULL AS INTEGER)' for v in FE.SERVING_ALIASES.values())} AS missing_feature_count,
+  CASE WHEN coalesce(freeFlowSpeed, 0e0) > 0 THEN coalesce(currentSpeed, 0e0) / coalesce(freeFlowSpeed, 0e0) ELSE 0e0 END AS speed_ratio,
+  CASE WHEN coalesce(weather_rain_1h, 0e0) > 10 THEN 'heavy' WHEN coalesce(weather_rain_1h, 0e0) > 1e-1 THEN 'light' ELSE 'none' END AS rain_level,
+  CASE WHEN coalesce(accident_count_1h, 0) > 0 THEN 'accident' WHEN coalesce(news_event_count_1h, 0) > 0 THEN 'other' ELSE 'none' END AS event_type,
+  sin({2 * math.pi!r} * hour(time_bucket) / 24e0) AS hour_sin, cos({2 * math.pi!r} * hour(time_bucket) / 24e0) AS hour_cos,
+  sin({2 * math.pi!r} * (isodow(time_bucket) - 1) / 7e0) AS dow_sin, cos({2 * math.pi!r} * (isodow(time_bucket) - 1) / 7e0) AS dow_cos
+FROM serving""", "serving"), ["current_speed", "free_flow_speed", "jam_factor", "speed_lag_1", "speed_lag_2", "rolling_speed_15m", "temperature",
+                             "rain_1h", "accidents_1h", "news_events_1h", "p50", "speed_ratio", "hour_sin", "hour_cos", "dow_sin", "dow_cos"]))
+def q_serving_features(spark, sf):
+    return K.rounded(FE.serving_features(serving(K.tables(spark, sf))))
+
+
+def gold_rowbased(t):
+    """Lakehouse Gold: traffic, lag, temporal (B peak hours), weather (latest per city), event
+    (60-minute look-back) features and row-lead targets on event-level Silver rows."""
+    from ..operators import joins as J
+
+    s = _silver_b(t)
+    s = W.rolling_time_stats(s)
+    s = W.row_lags(s)
+    s = s.withColumns({k: v for k, v in T.temporal_features("timestamp", peak_hours=T.PEAK_HOURS_B).items()
+                       if k in ("hour_of_day", "day_of_week", "is_peak_hour", "is_weekend")})
+    s = J.join_latest_weather(s, K.silver_weather(t))
+    s = EV.event_interval_join(s, t.incident_obs, 60)
+    return W.row_lead_targets(s)
+
+
+ROWB_OUT = ["event_id", "speed_rolling_avg_5m", "speed_volatility_15m", "speed_lag_1", "speed_lag_2", "hour_of_day", "is_peak_hour",
+            "weather_temperature", "has_rain", "has_accident", "has_any_event", "future_speed_15m", "future_speed_60m"]
+
+
+def _rowb_sql():
+    from .registry import ORACLES
+
+    lags, roll, wx, ev, lead = (ORACLES["row_lags"], ORACLES["rolling_time_stats"], ORACLES["join_latest_weather"],
+                                ORACLES["event_interval_join"], ORACLES["row_lead_targets"])
+    return f"""
+SELECT l.event_id, r.speed_rolling_avg_5m, r.speed_volatility_15m, l.speed_lag_1, l.speed_lag_2,
+  hour(s.timestamp) AS hour_of_day, CAST(hour(s.timestamp) IN (7, 8, 9, 11, 12, 13, 17, 18, 19) AS INTEGER) AS is_peak_hour,
+  w.weather_temperature, w.has_rain, e.has_accident, e.has_any_event, d.future_speed_15m, d.future_speed_60m
+FROM ({lags}) l JOIN ({roll}) r USING (event_id) JOIN ({wx}) w USING (event_id) JOIN ({ev}) e USING (event_id)
+JOIN ({lead}) d USING (event_id) JOIN ({oracle("SELECT event_id, timestamp FROM silver_traffic", "silver_traffic")}) s USING (event_id)"""
+
+
+@register("gold_features_rowbased", round_sql(_rowb_sql(), ["speed_rolling_avg_5m", "speed_volatility_15m", "speed_lag_1", "speed_lag_2",
+                                                             "weather_temperature", "future_speed_15m", "future_speed_60m"]))
+def q_gold_features_rowbased(spark, sf):
+    return K.rounded(gold_rowbased(K.tables(spark, sf)).select(*ROWB_OUT))
