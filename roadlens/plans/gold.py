@@ -28,6 +28,8 @@ def gold_features(
     baseline percentiles -> exact targets -> event features.
 
     Lags and targets come from one blocked window (one shuffle on segment + time block).
+    The percentile lookup and the event features are computed from the deduplicated input,
+    not from the windowed chain, so the heavy window/as-of chain is evaluated once.
     """
     tol = weather_tolerance_minutes or max(6 * bucket_minutes, 30)
     step = bucket_minutes * 60
@@ -36,6 +38,8 @@ def gold_features(
         d = d.withColumn("congestion_ratio", TF.congestion_ratio())
     feats = T.temporal_features("time_bucket")
     d = d.withColumns({k: v for k, v in feats.items() if k not in ("week_of_year", "is_holiday")})
+    lookup = A.speed_percentiles(d)
+    ev = EV.event_grid_join(d, events) if events is not None else None
     d = W.gap_features(d, bucket_minutes)
     specs = []
     for k in range(1, n_lags + 1):
@@ -47,9 +51,7 @@ def gold_features(
     d = d.withColumns({f"has_exact_target_{h}m": F.col(f"future_speed_{h}m").isNotNull().cast("int") for h in horizons_minutes})
     d = W.strict_history_rolling(d)
     d = J.asof_weather_backward(d, weather_dedup, tol)
-    lookup = A.speed_percentiles(d)
     d = A.baseline_features(d, lookup)
-    if events is not None:
-        ev = EV.event_grid_join(d, events)
+    if ev is not None:
         d = EV.merge_event_features(d, ev)
     return d

@@ -24,9 +24,9 @@ LEFT JOIN segment_dim s USING (segment_id)
 """, "gold", "segment_dim")
 
 
-def serving(t):
+def serving(t, g=None):
     """Latest Gold row per segment + segment dimension + the naive forecast (last bucket's speed)."""
-    latest = W.latest_by_segment(gold(t), ts="time_bucket")
+    latest = W.latest_by_segment(gold(t) if g is None else g, ts="time_bucket")
     dim = J.broadcast_if_small(t.segment_dim)
     out = latest.join(dim, "segment_id", "left")
     return out.withColumn("predicted_speed", F.coalesce(F.col("speed_lag_1"), F.col("currentSpeed")))
@@ -48,7 +48,7 @@ FROM serving GROUP BY city) l LEFT JOIN (SELECT city, count(*) AS total_gold_row
 def q_dashboard_summary(spark, sf):
     t = K.tables(spark, sf)
     g = gold(t)
-    return K.rounded(S.dashboard_summary(serving(t), g))
+    return K.rounded(S.dashboard_summary(serving(t, g), g))
 
 
 @_q("hourly_trends", """

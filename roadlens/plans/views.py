@@ -115,6 +115,8 @@ class Tables:
     """Lazy access to the driver tables and the derived views of one scale factor."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        # wall-clock (TIMESTAMP_NTZ) arithmetic goes through epoch values; pin the session zone
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
