@@ -166,25 +166,75 @@ def rolling_time_stats(df: DataFrame, keys: Sequence[str] = ("segment_id",), ts:
     return blocked_window_columns(df, keys, ts, 1800, 0, build)
 
 
+def blocked_row_shift(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: Sequence[tuple[str, str, int]],
+                      ts: str | None = None, block_s: int = 86_400) -> DataFrame:
+    """Row-count lag (k < 0) / lead (k > 0) of ``col`` per key, exact, without a per-key partition.
+
+    Rows are split into time blocks (key, block). Shifts that stay inside a block come from a
+    window over (key, block); the rows a block needs from its neighbours are the last |K| rows
+    of the previous blocks and the first L rows of the following ones, gathered per block
+    (at most |K| / L rows each) and spread with a window over the blocks of a key (one row per
+    block). A key holding a third of all rows is thus processed block by block."""
+    ts = ts or order[0]
+    back = max([-k for _, _, k in specs if k < 0] + [0])
+    ahead = max([k for _, _, k in specs if k > 0] + [0])
+    cols = sorted({c for _, c, _ in specs})
+    x = df.withColumn("_rl_blk", F.floor(epoch_seconds(ts) / F.lit(block_s)))
+    w_in = Window.partitionBy(*keys, "_rl_blk").orderBy(*order)
+    x = x.withColumn("_rl_r", F.row_number().over(w_in)).withColumn("_rl_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_rl_blk")))
+    inside = {out: (F.lag(c, -k).over(w_in) if k < 0 else F.lead(c, k).over(w_in)) for out, c, k in specs}
+    x = x.withColumns({f"_rl_in_{out}": v for out, v in inside.items()})
+    row = F.struct(F.col("_rl_r").alias("r"), *[F.col(c).alias(c) for c in cols])
+    parts = []
+    if back:
+        parts.append(x.filter(F.col("_rl_r") > F.col("_rl_n") - back).groupBy(*keys, "_rl_blk")
+                     .agg(F.array_sort(F.collect_list(row)).alias("_rl_tail")))
+    if ahead:
+        parts.append(x.filter(F.col("_rl_r") <= ahead).groupBy(*keys, "_rl_blk").agg(F.array_sort(F.collect_list(row)).alias("_rl_head")))
+    blocks = parts[0] if len(parts) == 1 else parts[0].join(parts[1], [*keys, "_rl_blk"], "full")
+    wb = Window.partitionBy(*keys).orderBy("_rl_blk")
+    ctx = {}
+    if back:
+        ctx["_rl_prev"] = F.flatten(F.collect_list("_rl_tail").over(wb.rowsBetween(-back, -1)))
+    if ahead:
+        ctx["_rl_next"] = F.flatten(F.collect_list("_rl_head").over(wb.rowsBetween(1, ahead)))
+    blocks = blocks.select(*keys, "_rl_blk", *[v.alias(k) for k, v in ctx.items()])
+    x = x.join(blocks, [*keys, "_rl_blk"], "left")
+    r, n = F.col("_rl_r"), F.col("_rl_n")
+    out_cols = {}
+    for out, c, k in specs:
+        if k < 0:
+            j = -k
+            idx = F.size("_rl_prev") - (F.lit(j) - r)
+            cross = F.when(idx >= 1, F.element_at(F.col("_rl_prev"), idx.cast("int"))[c])
+            out_cols[out] = F.when(r > j, F.col(f"_rl_in_{out}")).otherwise(cross)
+        else:
+            idx = r + F.lit(k) - n
+            cross = F.when(idx <= F.size("_rl_next"), F.try_element_at(F.col("_rl_next"), idx.cast("int"))[c])
+            out_cols[out] = F.when(r + F.lit(k) <= n, F.col(f"_rl_in_{out}")).otherwise(cross)
+    x = x.withColumns(out_cols)
+    return x.drop(*[c for c in x.columns if c.startswith("_rl_")])
+
+
 def row_lags(df: DataFrame, keys: Sequence[str] = ("segment_id",), order: Sequence[str] = ("timestamp",)) -> DataFrame:
-    """Lakehouse path: lag 1-4 rows of speed, 1-2 of congestion, trends; null -> 0."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    lags = {f"speed_lag_{k}": F.lag("currentSpeed", k).over(w) for k in range(1, 5)}
-    lags.update({f"congestion_lag_{k}": F.lag("congestion_ratio", k).over(w) for k in range(1, 3)})
-    df = df.withColumns(lags)
+    """Lakehouse path: lag 1-4 rows of speed, 1-2 of congestion, trends; null -> 0.
+    Row-count shifts run over time blocks (see ``blocked_row_shift``)."""
+    specs = [(f"speed_lag_{k}", "currentSpeed", -k) for k in range(1, 5)] + [(f"congestion_lag_{k}", "congestion_ratio", -k) for k in range(1, 3)]
+    df = blocked_row_shift(df, keys, order, specs)
+    lags = [s[0] for s in specs]
     df = df.withColumns({
         "speed_trend_1": F.col("currentSpeed") - F.col("speed_lag_1"),
         "speed_trend_2": F.col("speed_lag_1") - F.col("speed_lag_2"),
     }).withColumn("speed_acceleration", F.col("speed_trend_1") - F.col("speed_trend_2"))
-    fill = list(lags) + ["speed_trend_1", "speed_trend_2", "speed_acceleration"]
+    fill = lags + ["speed_trend_1", "speed_trend_2", "speed_acceleration"]
     return df.withColumns({c: F.coalesce(F.nanvl(F.col(c), F.lit(None).cast("double")), F.lit(0.0)) for c in fill})
 
 
 def row_lead_targets(df: DataFrame, steps: dict[str, int] | None = None, keys: Sequence[str] = ("segment_id",), order: Sequence[str] = ("timestamp",)) -> DataFrame:
-    """Lakehouse path: targets as lead 3/12/48 rows; keep rows with at least one target."""
+    """Lakehouse path: targets as lead 3/12/48 rows; keep rows with at least one target.
+    Row-count shifts run over time blocks (see ``blocked_row_shift``)."""
     steps = steps or {"15m": 3, "60m": 12, "240m": 48}
-    w = Window.partitionBy(*keys).orderBy(*order)
-    df = df.withColumns({f"future_speed_{h}": F.lead("currentSpeed", n).over(w) for h, n in steps.items()})
+    df = blocked_row_shift(df, keys, order, [(f"future_speed_{h}", "currentSpeed", n) for h, n in steps.items()])
     cond = None
     for h in steps:
         c = F.col(f"future_speed_{h}").isNotNull()

@@ -116,3 +116,21 @@ def test_contract_checks_flag_problems(spark):
     assert res["required_columns"] == "FAIL" and res["duplicate_key"] == "FAIL"
     assert res["v_range"] == "FAIL" and res["nullable_contract"] == "FAIL"
     assert Q.dq_rollup(Q.dq_run_contract(df, c)).collect()[0].overall == "FAIL"
+
+
+def test_blocked_row_shift_equals_plain_window(spark):
+    from pyspark.sql import Window
+
+    rng = random.Random(5)
+    rows, t = [], 0
+    for i in range(300):
+        t += rng.choice([1, 2, 30, 200, 2000])
+        rows.append(("S1" if rng.random() < 0.8 else "S2", _ts(t), float(i)))
+    df = spark.createDataFrame(rows, "segment_id string, timestamp timestamp_ntz, v double")
+    specs = [("l1", "v", -1), ("l3", "v", -3), ("f2", "v", 2), ("f7", "v", 7)]
+    got = W.blocked_row_shift(df, ["segment_id"], ["timestamp"], specs, block_s=3600)
+    w = Window.partitionBy("segment_id").orderBy("timestamp")
+    ref = df.select("segment_id", "timestamp", "v", F.lag("v", 1).over(w).alias("l1"), F.lag("v", 3).over(w).alias("l3"),
+                    F.lead("v", 2).over(w).alias("f2"), F.lead("v", 7).over(w).alias("f7"))
+    key = lambda r: (r.segment_id, r.timestamp)
+    assert sorted(map(tuple, got.select(*ref.columns).collect()), key=str) == sorted(map(tuple, ref.collect()), key=str)
