@@ -68,9 +68,11 @@ def dedup_first_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 def continuity_report(df: DataFrame, bucket_minutes: int = 5, keys: Sequence[str] = ("city", "segment_id"), ts: str = "time_bucket") -> DataFrame:
     """Per segment: bucket range, counts, expected/missing, gap median/max, share of exact gaps, train flags."""
     step = bucket_minutes * 60
+    from .windows import _prev_time
+
     buckets = df.select(*keys, ts).distinct()
-    w = Window.partitionBy(*keys).orderBy(ts)
-    gaps = buckets.withColumn("_gap", (epoch_seconds(ts) - epoch_seconds(F.lag(ts).over(w))) / F.lit(60.0))
+    gaps = _prev_time(buckets, keys, ts, bucket_minutes)
+    gaps = gaps.withColumn("_gap", (epoch_seconds(ts) - epoch_seconds("_prev_ts")) / F.lit(60.0)).drop("_prev_ts")
     agg = gaps.groupBy(*keys).agg(
         F.min(ts).alias("min_time_bucket"),
         F.max(ts).alias("max_time_bucket"),

@@ -242,11 +242,18 @@ def row_lead_targets(df: DataFrame, steps: dict[str, int] | None = None, keys: S
     return df.filter(cond)
 
 
+def _prev_time(df: DataFrame, keys: Sequence[str], ts: str, bucket_minutes: int) -> DataFrame:
+    out = blocked_row_shift(df.withColumn("_pt", F.col(ts)), keys, [ts], [("_prev_ts", "_pt", -1)],
+                            block_s=max(86_400, bucket_minutes * 60 * 16))
+    return out.drop("_pt")
+
+
 def gap_features(df: DataFrame, bucket_minutes: int = 5, keys: Sequence[str] = KEYS, ts: str = "time_bucket") -> DataFrame:
-    """Minutes since the previous bucket, exact-previous flag, large-gap flag."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    gap = (epoch_seconds(ts) - epoch_seconds(F.lag(ts).over(w))) / F.lit(60.0)
-    df = df.withColumn("time_gap_minutes", gap)
+    """Minutes since the previous bucket, exact-previous flag, large-gap flag (previous row found
+    over time blocks, see ``blocked_row_shift``)."""
+    df = _prev_time(df, keys, ts, bucket_minutes)
+    gap = (epoch_seconds(ts) - epoch_seconds("_prev_ts")) / F.lit(60.0)
+    df = df.withColumn("time_gap_minutes", gap).drop("_prev_ts")
     return df.withColumns({
         "has_previous_exact_bucket": (F.coalesce(F.col("time_gap_minutes") == bucket_minutes, F.lit(False))).cast("int"),
         "has_large_gap_before": (F.coalesce(F.col("time_gap_minutes"), F.lit(float(bucket_minutes))) > bucket_minutes).cast("int"),
