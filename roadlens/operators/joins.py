@@ -91,9 +91,8 @@ def asof_weather_backward(
         t = traffic.join(cells, (traffic["city"] == cells["city"]) & (traffic["weather_cell_id"] == cells["_rl_cell"]), "left") \
             .drop(cells["city"]).drop("_rl_cell")
         t = t.withColumn("_rl_key", F.when(F.col("_rl_has"), F.col("weather_cell_id")).otherwise(F.lit(ALL_CELLS))).drop("_rl_has")
-        w_cell = w.withColumn("_rl_key", F.col("weather_cell_id"))
-        w_all = w.withColumn("_rl_key", F.lit(ALL_CELLS))
-        w = w_cell.unionByName(w_all)
+        # every weather row serves its own cell and the city-wide fallback: one scan, two keys
+        w = w.withColumn("_rl_key", F.explode(F.array(F.col("weather_cell_id"), F.lit(ALL_CELLS))))
     else:
         t = traffic.withColumn("_rl_key", F.col("weather_cell_id"))
         w = w.withColumn("_rl_key", F.col("weather_cell_id"))

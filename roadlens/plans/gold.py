@@ -13,6 +13,7 @@ from ..operators import aggregates as A
 from ..operators import events as EV
 from ..operators import joins as J
 from ..operators import windows as W
+from ..operators.components import materialize
 
 
 def gold_features(
@@ -38,6 +39,9 @@ def gold_features(
         d = d.withColumn("congestion_ratio", TF.congestion_ratio())
     feats = T.temporal_features("time_bucket")
     d = d.withColumns({k: v for k, v in feats.items() if k not in ("week_of_year", "is_holiday")})
+    # the deduplicated frame feeds five branches (windows, gaps, percentiles, events, as-of):
+    # write it once to the checkpoint folder instead of re-aggregating the raw table per branch
+    d = materialize(d)
     lookup = A.speed_percentiles(d)
     ev = EV.event_grid_join(d, events) if events is not None else None
     d = W.gap_features(d, bucket_minutes)
