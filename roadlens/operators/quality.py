@@ -98,8 +98,15 @@ def dq_run_contract(df: DataFrame, c: Contract, now: str | None = None) -> DataF
         ts = F.col(c.timestamp)
         aggs["_tnull"] = F.count_if(ts.isNull())
         if c.order and c.group:
-            w = Window.partitionBy(*c.group).orderBy(c.order)
-            work = work.withColumn("_inv", (ts < F.lag(ts).over(w)).cast("int"))
+            if dict(df.dtypes)[c.order] in ("int", "bigint", "smallint"):
+                from .windows import blocked_row_shift
+
+                work = blocked_row_shift(work.withColumn("_t", ts), c.group, [c.order], [("_prev_t", "_t", -1)],
+                                         block_by=F.floor(F.col(c.order) / F.lit(1_000_000)))
+                work = work.withColumn("_inv", (ts < F.col("_prev_t")).cast("int"))
+            else:
+                w = Window.partitionBy(*c.group).orderBy(c.order)
+                work = work.withColumn("_inv", (ts < F.lag(ts).over(w)).cast("int"))
             aggs["_tinv"] = F.coalesce(F.sum("_inv"), F.lit(0))
         else:
             aggs["_tinv"] = F.lit(0)

@@ -167,19 +167,21 @@ def rolling_time_stats(df: DataFrame, keys: Sequence[str] = ("segment_id",), ts:
 
 
 def blocked_row_shift(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: Sequence[tuple[str, str, int]],
-                      ts: str | None = None, block_s: int = 86_400) -> DataFrame:
+                      ts: str | None = None, block_s: int = 86_400, block_by: Column | None = None) -> DataFrame:
     """Row-count lag (k < 0) / lead (k > 0) of ``col`` per key, exact, without a per-key partition.
 
     Rows are split into time blocks (key, block). Shifts that stay inside a block come from a
     window over (key, block); the rows a block needs from its neighbours are the last |K| rows
     of the previous blocks and the first L rows of the following ones, gathered per block
     (at most |K| / L rows each) and spread with a window over the blocks of a key (one row per
-    block). A key holding a third of all rows is thus processed block by block."""
+    block). A key holding a third of all rows is thus processed block by block. ``block_by``
+    overrides the block number (it must not decrease along ``order``), e.g. ranges of an
+    arrival sequence number."""
     ts = ts or order[0]
     back = max([-k for _, _, k in specs if k < 0] + [0])
     ahead = max([k for _, _, k in specs if k > 0] + [0])
     cols = sorted({c for _, c, _ in specs})
-    x = df.withColumn("_rl_blk", F.floor(epoch_seconds(ts) / F.lit(block_s)))
+    x = df.withColumn("_rl_blk", F.floor(epoch_seconds(ts) / F.lit(block_s)) if block_by is None else block_by)
     w_in = Window.partitionBy(*keys, "_rl_blk").orderBy(*order)
     x = x.withColumn("_rl_r", F.row_number().over(w_in)).withColumn("_rl_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_rl_blk")))
     inside = {out: (F.lag(c, -k).over(w_in) if k < 0 else F.lead(c, k).over(w_in)) for out, c, k in specs}
@@ -286,11 +288,12 @@ def district_density(df: DataFrame, keys: Sequence[str] = ("city", "district"))
     )
 
 
-def timestamp_inversions(df: DataFrame, keys: Sequence[str], ts: str, order: str) -> DataFrame:
-    """Per key, in arrival order: count of negative time steps and null times."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    prev = F.lag(ts).over(w)
-    flagged = df.withColumn("_inv", (F.col(ts) < prev).cast("int"))
+def timestamp_inversions(df: DataFrame, keys: Sequence[str], ts: str, order: str, block: int = 1_000_000) -> DataFrame:
+    """Per key, in arrival order: count of negative time steps and null times. The previous
+    row comes from blocks of the arrival sequence (``blocked_row_shift``), not a per-key sort."""
+    x = df.withColumn("_t", F.col(ts))
+    x = blocked_row_shift(x, keys, [order], [("_prev", "_t", -1)], block_by=F.floor(F.col(order) / F.lit(block)))
+    flagged = x.withColumn("_inv", (F.col(ts) < F.col("_prev")).cast("int"))
     return flagged.groupBy(*keys).agg(
         F.coalesce(F.sum("_inv"), F.lit(0)).cast("bigint").alias("inversions"),
         F.count_if(F.col(ts).isNull()).cast("bigint").alias("null_times"),

@@ -134,3 +134,15 @@ def test_blocked_row_shift_equals_plain_window(spark):
                     F.lead("v", 2).over(w).alias("f2"), F.lead("v", 7).over(w).alias("f7"))
     key = lambda r: (r.segment_id, r.timestamp)
     assert sorted(map(tuple, got.select(*ref.columns).collect()), key=str) == sorted(map(tuple, ref.collect()), key=str)
+
+
+def test_inversions_across_sequence_blocks(spark):
+    from pyspark.sql import Window
+
+    rng = random.Random(9)
+    rows = [("S1" if rng.random() < 0.6 else "S2", i, _ts(rng.randint(0, 500)) if i % 17 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "segment_id string, ord long, ts timestamp_ntz")
+    got = {r.segment_id: r.inversions for r in W.timestamp_inversions(df, ["segment_id"], "ts", "ord", block=37).collect()}
+    w = Window.partitionBy("segment_id").orderBy("ord")
+    ref = df.withColumn("i", (F.col("ts") < F.lag("ts").over(w)).cast("int")).groupBy("segment_id").agg(F.coalesce(F.sum("i"), F.lit(0)).alias("n"))
+    assert got == {r.segment_id: r.n for r in ref.collect()}
