@@ -111,7 +111,7 @@ def perturbation_attribution(df: DataFrame, id_col: str, weights: dict[str, floa
     x = x.select(id_col, "prediction", "c.*").withColumn("contribution", F.col("w") * (F.col("value") - F.col("baseline_value")))
     x = x.filter(F.abs("contribution") >= 0.001)
     w = Window.partitionBy(id_col).orderBy(F.abs("contribution").desc(), F.col("feature"))
-    x = x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
+    x = x.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= top_n)
     return x.withColumn("direction", F.when(F.col("contribution") > 0, "raises_speed").otherwise("lowers_speed")).drop("w")
 
 

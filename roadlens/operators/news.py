@@ -248,7 +248,8 @@ def extract_links(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
                 .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
                 .when(F.startswith(href, F.lit("/")), F.concat(base, href))
                 .otherwise(F.concat(F.regexp_replace(F.regexp_extract(F.col("page_url"), r"^([^?#]*/)", 1), r"/$", ""), F.lit("/"), href)))
-    return z.select("page_id", "link_pos", absolute.alias("link_url"), X.clean_html(F.col("l.text")).alias("link_text"))
+    return z.select("page_id", F.col("link_pos").cast("bigint").alias("link_pos"), absolute.alias("link_url"),
+                    X.clean_html(F.col("l.text")).alias("link_text"))
 
 
 def listing_link_filter(links: DataFrame, keywords: Sequence[str], blocked: Sequence[str] = (), min_title: int = 8,

@@ -40,7 +40,7 @@ def hourly_trends(df: DataFrame, hours: int = 24, ts: str = "timestamp") -> Data
     hours without rows do not appear."""
     newest = df.groupBy("city").agg(F.max(ts).alias("_rl_max"))
     w = df.join(newest, "city").filter(F.col(ts) >= F.col("_rl_max") - F.make_dt_interval(F.lit(0), F.lit(hours)))
-    return w.groupBy("city", F.date_trunc("hour", F.col(ts)).alias("hour")).agg(
+    return w.groupBy("city", F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz").alias("hour")).agg(
         F.avg("currentSpeed").alias("avg_speed"), F.avg("jamFactor").alias("avg_jam_factor"),
         F.count(F.lit(1)).alias("rows"),
     )

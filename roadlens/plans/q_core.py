@@ -206,7 +206,7 @@ def q_continuity_report(spark, sf):
 
 
 @register("continuity_by_city", round_sql(oracle("""
-SELECT city, count(*) AS segments, sum(record_count) AS records, sum(missing_bucket_count) AS missing_buckets,
+SELECT city, count(*) AS segments, CAST(sum(record_count) AS BIGINT) AS records, CAST(sum(missing_bucket_count) AS BIGINT) AS missing_buckets,
   avg(missing_bucket_ratio) AS avg_missing_ratio,
   count(*) FILTER (WHERE is_train_candidate_15m) AS train_candidates_15m,
   count(*) FILTER (WHERE is_train_candidate_60m) AS train_candidates_60m,

@@ -83,7 +83,7 @@ def q_event_interval_join(spark, sf):
 
 # ---------------------------------------------------------------- percentiles / baseline
 stage("pct_lookup", """
-SELECT city, segment_id, hour(time_bucket) AS hour_of_day, isodow(time_bucket) - 1 AS day_of_week,
+SELECT city, segment_id, CAST(hour(time_bucket) AS INTEGER) AS hour_of_day, CAST(isodow(time_bucket) - 1 AS INTEGER) AS day_of_week,
   quantile_cont(currentSpeed, 0.15) AS p15, quantile_cont(currentSpeed, 0.5) AS p50, quantile_cont(currentSpeed, 0.85) AS p85
 FROM traffic_dedup GROUP BY ALL
 """, "traffic_dedup")
@@ -173,8 +173,8 @@ def _gold_sql():
                       f"AND f{i}.time_bucket = l.time_bucket + INTERVAL ({h}) MINUTE")
     lag_cols = ", ".join(f"l.{p}_lag_{k}" for k in range(1, K.N_LAGS + 1) for p in ("speed", "congestion"))
     bcols = ", ".join(f"b.{c}" for c in BASE_OUT[3:])
-    ecols = ", ".join(f"coalesce(e.{c}, 0) AS {c}" for c in EV.EVENT_FEATURES if c not in
-                      ("has_recent_accident", "has_recent_roadwork", "has_recent_flood"))
+    ecols = ", ".join((f"CAST(coalesce(e.{c}, 0) AS INTEGER) AS {c}" if c.startswith("max_event_severity") else f"coalesce(e.{c}, 0) AS {c}")
+                      for c in EV.EVENT_FEATURES if c not in ("has_recent_accident", "has_recent_roadwork", "has_recent_flood"))
     def std(n):
         lags = ", ".join(f"speed_lag_{i}" for i in range(1, n + 1))
         nulls = " OR ".join(f"speed_lag_{i} IS NULL" for i in range(1, n + 1))
@@ -190,8 +190,8 @@ SELECT *, CAST(coalesce(time_gap_minutes = {K.BUCKET}, false) AS INTEGER) AS has
   greatest(0, has_recent_roadwork) AS has_roadwork, CAST(news_event_count_6h > 0 AS INTEGER) AS has_any_event
 FROM (
 SELECT l.city, l.segment_id, l.time_bucket, l.timestamp, l.segment_name, l.lat, l.lon, l.weather_cell_id, l.currentSpeed, l.freeFlowSpeed, l.jamFactor, l.congestion_ratio,
-  hour(l.time_bucket) AS hour_of_day, isodow(l.time_bucket) - 1 AS day_of_week, day(l.time_bucket) AS day_of_month,
-  month(l.time_bucket) AS month_of_year, CAST(isodow(l.time_bucket) IN (6, 7) AS INTEGER) AS is_weekend,
+  CAST(hour(l.time_bucket) AS INTEGER) AS hour_of_day, CAST(isodow(l.time_bucket) - 1 AS INTEGER) AS day_of_week,
+  CAST(day(l.time_bucket) AS INTEGER) AS day_of_month, CAST(month(l.time_bucket) AS INTEGER) AS month_of_year, CAST(isodow(l.time_bucket) IN (6, 7) AS INTEGER) AS is_weekend,
   CAST(hour(l.time_bucket) IN (7, 8, 9, 16, 17, 18, 19) AS INTEGER) AS is_peak_hour, {gap} AS time_gap_minutes,
   {lag_cols}, l.speed_trend_1, l.speed_trend_2, l.speed_acceleration,
   {', '.join('s.' + c for c in strict_cols)},

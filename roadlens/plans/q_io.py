@@ -57,8 +57,8 @@ def q_read_news_jsonl(spark, sf):
 
 
 stage("dim_stamped", f"""
-SELECT *, TIMESTAMP '{K.TEST_NOW}' AS _ingested_at, year(TIMESTAMP '{K.TEST_NOW}') AS _year, month(TIMESTAMP '{K.TEST_NOW}') AS _month,
-  day(TIMESTAMP '{K.TEST_NOW}') AS _day FROM segment_dim""", "segment_dim")
+SELECT *, TIMESTAMP '{K.TEST_NOW}' AS _ingested_at, CAST(year(TIMESTAMP '{K.TEST_NOW}') AS INTEGER) AS _year,
+  CAST(month(TIMESTAMP '{K.TEST_NOW}') AS INTEGER) AS _month, CAST(day(TIMESTAMP '{K.TEST_NOW}') AS INTEGER) AS _day FROM segment_dim""", "segment_dim")
 
 
 @register("read_csv_bronze", round_sql(oracle("SELECT *, 'segment_dim_csv' AS _source FROM dim_stamped", "dim_stamped"),
@@ -111,8 +111,9 @@ def q_load_road_edges(spark, sf):
 
 @register("load_percentile_lookup", round_sql(oracle(f"""
 SELECT segment_id, CAST(hour_of_day AS INTEGER) AS hour_of_day, CAST(day_of_week AS INTEGER) AS day_of_week, p15, p50, p85,
-  TIMESTAMP '{K.TEST_NOW}' AS _ingested_at, 'percentiles' AS _source, year(TIMESTAMP '{K.TEST_NOW}') AS _year,
-  month(TIMESTAMP '{K.TEST_NOW}') AS _month, day(TIMESTAMP '{K.TEST_NOW}') AS _day FROM pct_lookup""", "pct_lookup"), ["p15", "p50", "p85"]))
+  TIMESTAMP '{K.TEST_NOW}' AS _ingested_at, 'percentiles' AS _source, CAST(year(TIMESTAMP '{K.TEST_NOW}') AS INTEGER) AS _year,
+  CAST(month(TIMESTAMP '{K.TEST_NOW}') AS INTEGER) AS _month, CAST(day(TIMESTAMP '{K.TEST_NOW}') AS INTEGER) AS _day FROM pct_lookup""", "pct_lookup"),
+    ["p15", "p50", "p85"]))
 def q_load_percentile_lookup(spark, sf):
     from ..operators import aggregates as A
 

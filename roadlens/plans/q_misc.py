@@ -348,8 +348,9 @@ HOLIDAYS = ("2024-01-01",)
 
 
 @register("temporal_features", oracle(f"""
-SELECT city, segment_id, time_bucket, hour(time_bucket) AS hour_of_day, isodow(time_bucket) - 1 AS day_of_week,
-  day(time_bucket) AS day_of_month, month(time_bucket) AS month_of_year, weekofyear(time_bucket) AS week_of_year,
+SELECT city, segment_id, time_bucket, CAST(hour(time_bucket) AS INTEGER) AS hour_of_day, CAST(isodow(time_bucket) - 1 AS INTEGER) AS day_of_week,
+  CAST(day(time_bucket) AS INTEGER) AS day_of_month, CAST(month(time_bucket) AS INTEGER) AS month_of_year,
+  CAST(weekofyear(time_bucket) AS INTEGER) AS week_of_year,
   strftime(time_bucket, '%Y-%m-%d') AS date, CAST(isodow(time_bucket) IN (6, 7) AS INTEGER) AS is_weekend,
   CAST(hour(time_bucket) IN (7, 8, 9, 16, 17, 18, 19) AS INTEGER) AS is_peak_hour,
   CAST(strftime(time_bucket, '%Y-%m-%d') IN ('2024-01-01') AS INTEGER) AS is_holiday
@@ -557,7 +558,7 @@ def _rowb_sql():
                                 ORACLES["event_interval_join"], ORACLES["row_lead_targets"])
     return f"""
 SELECT l.event_id, r.speed_rolling_avg_5m, r.speed_volatility_15m, l.speed_lag_1, l.speed_lag_2,
-  hour(s.timestamp) AS hour_of_day, CAST(hour(s.timestamp) IN (7, 8, 9, 11, 12, 13, 17, 18, 19) AS INTEGER) AS is_peak_hour,
+  CAST(hour(s.timestamp) AS INTEGER) AS hour_of_day, CAST(hour(s.timestamp) IN (7, 8, 9, 11, 12, 13, 17, 18, 19) AS INTEGER) AS is_peak_hour,
   w.weather_temperature, w.has_rain, e.has_accident, e.has_any_event, d.future_speed_15m, d.future_speed_60m
 FROM ({lags}) l JOIN ({roll}) r USING (event_id) JOIN ({wx}) w USING (event_id) JOIN ({ev}) e USING (event_id)
 JOIN ({lead}) d USING (event_id) JOIN ({oracle("SELECT event_id, timestamp FROM silver_traffic", "silver_traffic")}) s USING (event_id)"""

@@ -79,7 +79,8 @@ def _duck_contract(c: Q.Contract, table: str, cols: list[str], now: str) -> str:
 
 SILVER_COLS = ["event_id", "source", "city", "segment_id", "segment_name", "weather_cell_id", "lat", "lon", "event_time",
                "currentSpeed", "freeFlowSpeed", "jamFactor", "confidence", "timestamp", "source_time_bucket", "time_bucket", "date"]
-stage("dq_traffic", _duck_contract(TRAFFIC_CONTRACT, "silver_traffic", SILVER_COLS, K.TEST_NOW), "silver_traffic")
+stage("dq_traffic", "SELECT name, status, CAST(bad_rows AS BIGINT) AS bad_rows, CAST(metric AS DOUBLE) AS metric, critical FROM (\n"
+      + _duck_contract(TRAFFIC_CONTRACT, "silver_traffic", SILVER_COLS, K.TEST_NOW) + "\n) c", "silver_traffic")
 
 
 def dq_results(t):
