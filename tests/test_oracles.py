@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
-from tools.oracle_check import digest, duck_connect
+from tools.oracle_check import digest, duck_connect, type_mismatches
 
 # a cross-section of every section of the inventory (the full list runs in tools/oracle_check.py)
 SELECTED = [
@@ -33,6 +33,7 @@ def test_query_matches_oracle(spark, duck, name):
     res = duck.execute(E.oracle_sql()[name])
     dcols, drows = [d[0] for d in res.description], res.fetchall()
     assert sorted(scols) == sorted(dcols)
+    assert not type_mismatches(sdf, duck, E.oracle_sql()[name])
     assert len(srows) == len(drows)
     assert digest(scols, srows)[0] == digest(dcols, drows)[0]
 
