@@ -1,10 +1,10 @@
-"""Event-to-traffic range joins.
+"""Event-to-traffic range features.
 
 Event features depend only on (city, time bucket), so they are computed once per
-distinct (city, bucket) and joined back to segments. The range predicate
-``t - w <= event <= t`` becomes an equi-join on (city, day bin): each event is
-copied into the bins its window can reach (at most two for w <= bin width), and
-the residual time predicate filters the candidates. No cross product.
+distinct (city, bucket) and joined back to segments. Grid features use RANGE-frame
+windows over a union of buckets and events (time-blocked); the per-row look-back join
+turns ``t - w <= event <= t`` into an equi-join on (city, bin) with each event copied
+into the bins its window can reach, plus the residual time predicate. No cross product.
 """
 
 from __future__ import annotations
@@ -63,27 +63,45 @@ def range_candidates(
 
 
 def event_grid_features(buckets: DataFrame, events: DataFrame, event_ts: str = "event_time") -> DataFrame:
-    """Per distinct (city, time_bucket): counts/maxima/averages of relevant events in the
-    last 1/3/6/24 hours (bounds inclusive); buckets without events get zeros."""
-    ev = events.select("city", F.col(event_ts).alias("_rl_et"), "event_category", "severity_score", "traffic_relevance_score")
-    pairs = range_candidates(buckets, ev, "city", "time_bucket", "_rl_et", 24 * HOUR_US)
-    age = F.col("_rl_gus") - F.col("_rl_eus")
-    within = {h: age <= F.lit(h * HOUR_US) for h in (1, 3, 6, 24)}
+    """Per distinct (city, time_bucket): counts/maxima/averages of relevant events in the last
+    1/3/6/24 hours (bounds inclusive); buckets without events get zeros.
+
+    Buckets and events are unioned and every feature is a RANGE-frame window aggregate over
+    the city's timeline (ordered by 2 * epoch + side, so events at the bucket instant count),
+    run over 24-hour time blocks: linear in rows, no bucket x event pairs, and a city with a
+    third of all events is spread over its time blocks."""
+    from .windows import EPOCH, blocked_window_columns
+
+    g = buckets.select("city", "time_bucket").distinct().select("city", F.col("time_bucket").alias("_rl_t"), F.lit(1).alias("_rl_side"),
+                                                                 F.col("time_bucket"))
+    ev = events.select("city", F.col(event_ts).alias("_rl_t"), F.lit(0).alias("_rl_side"), "event_category", "severity_score",
+                       "traffic_relevance_score")
+    u = g.unionByName(ev, allowMissingColumns=True)
+    is_ev = F.col("_rl_side") == 0
     cat = F.col("event_category")
-    agg = pairs.groupBy("city", "time_bucket").agg(
-        F.count_if(within[1]).alias("news_event_count_1h"),
-        F.count_if(within[3]).alias("news_event_count_3h"),
-        F.count_if(within[6]).alias("news_event_count_6h"),
-        F.count_if(within[1] & (cat == "accident")).alias("accident_count_1h"),
-        F.count_if(within[1] & (cat == "congestion")).alias("congestion_news_count_1h"),
-        F.count_if(within[24] & cat.isin(*ROADWORK)).alias("roadwork_count_24h"),
-        F.count_if(within[6] & cat.isin(*WEATHERISH)).alias("weather_disruption_count_6h"),
-        F.count_if(within[6] & (cat == "flood")).alias("flood_count_6h"),
-        F.max(F.when(within[1], F.col("severity_score"))).alias("max_event_severity_1h"),
-        F.max(F.when(within[6], F.col("severity_score"))).alias("max_event_severity_6h"),
-        F.avg(F.when(within[6], F.col("traffic_relevance_score"))).alias("avg_traffic_relevance_score_6h"),
-    )
-    out = buckets.select("city", "time_bucket").distinct().join(agg, ["city", "time_bucket"], "left")
+    order2 = F.col(EPOCH) * 2 + F.col("_rl_side")
+
+    def build(w):
+        wo = w.orderBy(order2)
+
+        def frame(hours):
+            return wo.rangeBetween(-(2 * hours * HOUR_US + 1), 0)
+
+        def n(cond, hours):
+            return F.count_if(is_ev & cond).over(frame(hours))
+
+        return {
+            "news_event_count_1h": n(F.lit(True), 1), "news_event_count_3h": n(F.lit(True), 3),
+            "news_event_count_6h": n(F.lit(True), 6), "accident_count_1h": n(cat == "accident", 1),
+            "congestion_news_count_1h": n(cat == "congestion", 1), "roadwork_count_24h": n(cat.isin(*ROADWORK), 24),
+            "weather_disruption_count_6h": n(cat.isin(*WEATHERISH), 6), "flood_count_6h": n(cat == "flood", 6),
+            "max_event_severity_1h": F.max(F.when(is_ev, F.col("severity_score"))).over(frame(1)),
+            "max_event_severity_6h": F.max(F.when(is_ev, F.col("severity_score"))).over(frame(6)),
+            "avg_traffic_relevance_score_6h": F.avg(F.when(is_ev, F.col("traffic_relevance_score"))).over(frame(6)),
+        }
+
+    out = blocked_window_columns(u, ["city"], "_rl_t", 24 * HOUR_US, 0, build, ordered=False, unit="us")
+    out = out.filter(F.col("_rl_side") == 1).select("city", "time_bucket", *[c for c in EVENT_FEATURES if not c.startswith("has_")])
     counts = [c for c in EVENT_FEATURES if "count" in c]
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in counts})
     out = out.withColumns({
