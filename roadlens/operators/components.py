@@ -1,14 +1,17 @@
-"""Connected components by iterative min-label propagation.
-
-Each round is one join of edges with the current labels plus one grouped ``min``;
-rounds stop when no label changes (checked with a count, no data on the driver).
-Lineage is cut with ``checkpoint()`` into the shared folder named by
-``spark.checkpoint.dir`` every few rounds, so a lost executor recomputes at most
-that many rounds.
+"""Connected components by hooking and contraction.
+
+Each round every node that has a smaller neighbour hooks to the smallest one; the hooks form
+trees, whose paths are halved until every node points at its root; the edges are then renamed to
+roots and those inside one tree vanish.  At least half of the nodes that still have edges vanish per round, so a
+chain of any length takes a logarithmic number of rounds; there is no round limit.
+Every round's tables are written to the shared folder of the session (``materialize``), so the
+lineage stays short and a lost executor rereads files.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,32 +19,45 @@ from ..session import ensure_checkpoint_dir
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate that several later steps read (signatures, labels) to the shared
-    checkpoint folder and cut its lineage, so expensive per-row expressions run once and a
-    lost executor does not recompute the whole chain."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "id", src: str = "src", dst: str = "dst",
-                         max_rounds: int = 100, checkpoint_every: int = 3) -> DataFrame:
+    """Write an intermediate that several later steps read (signatures, labels) as Parquet into the shared
+    checkpoint folder and read it back: the expensive expressions run once, later steps prune its
+    columns, and a lost executor does not recompute the whole chain."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _at_roots(hooks: DataFrame) -> DataFrame:
+    """(node, parent) trees -> (node, parent) with every parent a root, by pointer doubling."""
+    while True:
+        up = hooks.select(F.col("node").alias("p"), F.col("parent").alias("grand"))
+        step = hooks.join(up, hooks["parent"] == up["p"], "left").select("node", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved"))
+        step = materialize(step)
+        hooks = step.select("node", "parent")
+        if step.filter("moved").isEmpty():
+            return hooks
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame, id_col: str = "id", src: str = "src", dst: str = "dst") -> DataFrame:
     """(id) + undirected edges (src, dst) -> (id, component) with component = min id reachable."""
-    ensure_checkpoint_dir(vertices.sparkSession)
-    und = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter(F.col("a") != F.col("b"))
-    und = und.unionByName(und.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    und = und.checkpoint(eager=True)
-    labels = vertices.select(F.col(id_col).alias("id")).distinct().withColumn("label", F.col("id"))
-    labels = labels.checkpoint(eager=True)
-    for r in range(1, max_rounds + 1):
-        pushed = und.join(labels, und["a"] == labels["id"]).select(F.col("b").alias("id"), F.col("label"))
-        new = labels.unionByName(pushed).groupBy("id").agg(F.min("label").alias("label"))
-        if r % checkpoint_every == 0:
-            new = new.checkpoint(eager=True)
+    a, b = F.col(src), F.col(dst)
+    left = edges.filter(a != b).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct()
+    left = materialize(left)
+    roots = None
+    while not left.isEmpty():
+        hooks = _at_roots(left.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent")))
+        name = hooks.select(F.col("node").alias("n"), F.col("parent").alias("r"))
+        if roots is None:
+            roots = hooks
         else:
-            new = new.persist()
-        changed = new.join(labels.withColumnRenamed("label", "old"), "id").filter(F.col("label") < F.col("old")).limit(1).count()
-        labels.unpersist()
-        labels = new
-        if changed == 0:
-            return labels.select(F.col("id").alias(id_col), F.col("label").alias("component"))
-    raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
+            moved = roots.join(name, roots["parent"] == name["n"], "left").select("node", F.coalesce("r", "parent").alias("parent"))
+            known = roots.select(F.col("node").alias("k"))
+            roots = materialize(moved.unionByName(hooks.join(known, hooks["node"] == known["k"], "left_anti")))
+        lo = left.join(name, left["lo"] == name["n"], "left").select(F.coalesce("r", "lo").alias("lo"), "hi")
+        both = lo.join(name, lo["hi"] == name["n"], "left").select("lo", F.coalesce("r", "hi").alias("hi"))
+        left = materialize(both.filter("lo <> hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct())
+    ids = vertices.select(F.col(id_col)).distinct()
+    if roots is None:
+        return ids.withColumn("component", F.col(id_col))
+    return ids.join(roots, ids[id_col] == roots["node"], "left").select(F.col(id_col), F.coalesce("parent", id_col).alias("component"))
