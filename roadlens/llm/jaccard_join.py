@@ -127,22 +127,22 @@ def _blocks(ids, sets, digests, n_buckets, turn):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK_ARROW.types)], schema=_BLOCK_ARROW)
 
 
-def _pack(n_buckets: int, width: int):
+def _pack(n_buckets: int, sets):
     def run(batches):
-        shingle, turn, held = Shingler(width), 0, 0
-        ids, sets, digests = [], [], []
+        shingle, turn, held = sets(), 0, 0
+        ids, made, digests = [], [], []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle(text.as_buffer().to_pybytes() if text.is_valid else b"")
                 ids.append(doc_id)
-                sets.append(s)
+                made.append(s)
                 digests.append(xxhash.xxh128_digest(s.tobytes()))
                 held += len(s) + 8
                 if held >= BLOCK:
-                    yield _blocks(ids, sets, digests, n_buckets, turn + digests[0][0])
-                    ids, sets, digests, held, turn = [], [], [], 0, turn + 1
+                    yield _blocks(ids, made, digests, n_buckets, turn + digests[0][0])
+                    ids, made, digests, held, turn = [], [], [], 0, turn + 1
         if ids:
-            yield _blocks(ids, sets, digests, n_buckets, turn + digests[0][0])
+            yield _blocks(ids, made, digests, n_buckets, turn + digests[0][0])
 
     return run
 
@@ -196,12 +196,13 @@ def _count_range(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else _FOUND_ARROW.empty_table()
 
 
-def shared_shingles(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Steps 1 and 2: a stored table of document rows (is_doc) and of class rows, see ``_FOUND_ROW``."""
+def shared_shingles(docs: DataFrame, sets) -> DataFrame:
+    """Steps 1 and 2: a stored table of document rows (is_doc) and of class rows, see ``_FOUND_ROW``.  ``sets()`` makes a
+    function from UTF-8 text to a sorted array of distinct 64-bit hashes, in each task."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("text"))
     total, n = docs.agg(F.sum(F.octet_length(whole_text())), F.count("*")).first()
     n_buckets = min(max(1, math.ceil(((total or 0) / 6 + 8 * n) / BLOCK)), 1 << 15)
-    packed = rows.mapInArrow(_pack(n_buckets, width), _BLOCK_ROW)
+    packed = rows.mapInArrow(_pack(n_buckets, sets), _BLOCK_ROW)
     # one bucket is one task's work: as many partitions as buckets, at least
     parts = max(n_buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return stored(packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_count_range, _FOUND_ROW), "shingles")
@@ -243,14 +244,19 @@ def size_boundary(classes: DataFrame, percent: int = PERCENT) -> int:
     return best[1] if best else 0
 
 
-def posts(classes: DataFrame, boundary: int, percent: int = PERCENT) -> DataFrame:
-    """(bucket, cid, size): where a class meets others.  Buckets of one class are dropped."""
+def posts(classes: DataFrame, boundary: int, percent: int = PERCENT, by_length: bool = False) -> DataFrame:
+    """(bucket, cid, size): where a class meets others.  Buckets of one class are dropped.  ``by_length`` splits every
+    bucket by partitions of set length, each class in its own and in the next one."""
     prefix = F.slice("shared", 1, F.col("r2"))
     by_pair = F.flatten(F.transform(prefix, lambda x, i: F.transform(F.slice(prefix, i + 2, F.col("r2")), lambda y: F.xxhash64(x, y))))
     small = classes.filter(F.col("size") <= boundary).select("cid", "size", F.explode(by_pair).alias("bucket"))
     reach = F.ceil(F.lit((boundary + 1) * percent / 100)).cast("int")
     large = classes.filter(F.col("size") >= reach).select("cid", "size", F.explode(F.slice("shared", 1, F.col("r1"))).alias("bucket"))
-    every = stored(small.select("bucket", "cid", "size").unionByName(large.select("bucket", "cid", "size")), "posts")
+    every = small.select("bucket", "cid", "size").unionByName(large.select("bucket", "cid", "size"))
+    if by_length:
+        part = F.floor(F.log("size") / math.log(100 / percent) + F.lit(1e-9))
+        every = every.withColumn("part", F.explode(F.array(part, part + 1))).select(F.xxhash64("bucket", "part").alias("bucket"), "cid", "size")
+    every = stored(every, "posts")
     crowded = every.groupBy("bucket").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).filter("a < b").select("bucket")
     return every.join(crowded, "bucket", "left_semi")
 
@@ -264,10 +270,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.col("sa") + F.col("sb") - common)).select("a", "b")
 
 
-def links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links(classes: DataFrame, percent: int = PERCENT, by_length: bool = False) -> DataFrame:
     """Step 5: links (a, b) between classes whose components are those of all links."""
     boundary = size_boundary(classes, percent)
-    met = stored(posts(classes, boundary, percent), "met")
+    met = stored(posts(classes, boundary, percent, by_length), "met")
     alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     every, component = None, None
     for turn in range(LEADER_ROUNDS + 1):
@@ -293,11 +299,11 @@ def links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return every
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs."""
-    found = shared_shingles(docs, width)
+def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, sets=None, by_length: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs.  ``sets`` replaces the word shingles by other sets."""
+    found = shared_shingles(docs, sets or (lambda: Shingler(width)))
     rows = found.filter("is_doc").select("doc_id", F.col("size").cast("long").alias("n_shingles"), "digest")
-    linked = links(joinable_classes(found, percent), percent)
+    linked = links(joinable_classes(found, percent), percent, by_length)
     ends = linked.select(F.col("a").alias("id")).unionByName(linked.select(F.col("b").alias("id"))).distinct()
     component = connected_components(ends, linked, "id", "a", "b")
     per_class = rows.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("id")).agg(F.min("doc_id").alias("least"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, line_dedup, mixing, quality_rules, sharding, token_counts
+from . import bpe, jaccard_join, line_dedup, mixing, quality_classifier, quality_rules, sharding, spotsigs, token_counts, toxicity
 from .common import stored, table, word_count
 
 QUERIES: dict = {}
@@ -191,3 +191,34 @@ FROM documents d LEFT JOIN sz USING (doc_id) LEFT JOIN reach r USING (doc_id) GR
 @_query("op9_ngram_jaccard", _OP9_SQL)
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: The chain's categories, from the labels: toxic at all, toxic in good prose, toxic in junk.
+TOXIC_CATEGORIES = {
+    "any": "toxic = 1",
+    "in_prose": "toxic = 1 AND quality = 1",
+    "in_junk": "toxic = 1 AND quality = 0",
+}
+
+
+@_query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", *[F.expr(f"CAST({c} AS INT)").alias(k) for k, c in TOXIC_CATEGORIES.items()])
+    return toxicity.score(docs, toxicity.train(docs, labels, list(TOXIC_CATEGORIES))).drop("text")
+
+
+@_query("op3_spotsigs")
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Graded rating from the labels: 0 junk, 1 good prose that is toxic, 2 good prose.
+GRADE = "CASE WHEN quality = 0 THEN 0 WHEN toxic = 1 THEN 1 ELSE 2 END"
+
+
+@_query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratings = table(spark, sf_dir, "labels").dropna(subset=["quality", "toxic"]).select("doc_id", F.expr(GRADE).alias("grade"))
+    return quality_classifier.grade(docs, quality_classifier.train(docs, ratings, n_grades=3)).drop("text")
