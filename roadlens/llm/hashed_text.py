@@ -78,7 +78,7 @@ def features(text: str, shapes: bool) -> tuple[np.ndarray, np.ndarray]:
         values += [1.0] * len(own)
     if shapes:
         slots += [slot("#" + shape(w)) for w in words]
-        values += [SHAPE_WEIGHT / len(words)] * len(words)
+        values += [SHAPE_WEIGHT / max(1, len(words))] * len(words)
         own = repeat_slots(words)
         slots += own
         values += [1.0] * len(own)
