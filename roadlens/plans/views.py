@@ -57,12 +57,12 @@ SELECT concat('SEG_', CAST(c_custkey AS STRING)) AS segment_id, n_name AS distri
   CASE c_custkey % 7 WHEN 0 THEN 'motorway' WHEN 1 THEN 'trunk' WHEN 2 THEN 'primary' WHEN 3 THEN 'secondary'
     WHEN 4 THEN 'residential' WHEN 5 THEN NULL ELSE 'other' END AS road_class,
   abs(c_acctbal) / 10e0 AS length_m, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 30e0 + 10e0 * (c_custkey % 6) END AS speed_limit
-FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey % 8 <> 7
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
 """,
     "news_raw": """
 SELECT d.doc_id, concat('doc_', CAST(d.doc_id AS STRING)) AS external_id, d.source,
-  CASE WHEN d.doc_id % 4 = 0 THEN 'html_listing' ELSE 'rss' END AS provider, substr(d.text, 1, 80) AS title,
-  CASE WHEN d.doc_id % 10 = 9 THEN NULL ELSE substr(d.text, 81, 400) END AS summary, p.url AS source_url,
+  CASE WHEN d.doc_id % 4 = 0 THEN 'html_listing' ELSE 'rss' END AS provider, split_part(d.text, chr(10), 1) AS title,
+  nullif(substr(d.text, length(split_part(d.text, chr(10), 1)) + 2), '') AS summary, p.url AS source_url,
   CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE <TS> '2024-01-01 00:00:00' + <OFFSET> END AS published_at
 FROM {documents} d JOIN {pages} p ON p.page_id = d.doc_id % (SELECT count(*) FROM {pages})
 """,
