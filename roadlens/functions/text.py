@@ -56,22 +56,37 @@ def normalize_unicode(c) -> Column:
 
 
 # ---------------------------------------------------------------- HTML
-# HTML entities decoded by the JVM-side cleaner (full unescape is not needed
-# for the markup found in feeds).
-HTML_ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&nbsp;": " "}
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
 
 
-def unescape_basic(c) -> Column:
-    out = col_(c)
-    for ent, ch in HTML_ENTITIES.items():
-        if ent != "&amp;":
-            out = F.replace(out, F.lit(ent), F.lit(ch))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+def _entity_names() -> Column:
+    """Named entities -> character, from the standard library's HTML table."""
+    from html.entities import name2codepoint
+
+    return F.create_map(*[F.lit(x) for name, cp in sorted({**name2codepoint, "apos": 39}.items()) for x in (f"&{name};", chr(cp))])
+
+
+def _entity_char(e: Column) -> Column:
+    digits = F.regexp_extract(e, r"^&#([0-9]+);$", 1)
+    hexes = F.regexp_extract(e, r"^&#[xX]([0-9a-fA-F]+);$", 1)
+    code = F.when(digits != "", digits.cast("bigint")).when(hexes != "", F.conv(hexes, 16, 10).cast("bigint"))
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    return F.coalesce(numeric, F.element_at(_entity_names(), e), e)
+
+
+def unescape(c) -> Column:
+    """Named and numeric entities -> characters (``&nbsp;`` as a plain space). Each kind of entity that a text holds is replaced
+    once; ``&amp;`` comes last, so what it uncovers stays."""
+    text = col_(c)
+    kinds = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({_ENTITY})"), 1)), lambda e: e != "&amp;")
+    out = F.aggregate(kinds, text, lambda a, e: F.replace(a, e, F.replace(_entity_char(e), F.lit("\u00a0"), F.lit(" "))))
+    return F.when(F.contains(text, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
 
 
 def clean_html(c) -> Column:
     """Unescape entities, drop script/style blocks and tags, collapse whitespace, trim."""
-    out = unescape_basic(c)
+    out = unescape(c)
     out = F.regexp_replace(out, r"(?is)<script.*?</script>|<style.*?</style>", " ")
     out = F.regexp_replace(out, r"<[^>]+>", " ")
     out = F.regexp_replace(out, r"\s+", " ")
@@ -81,7 +96,7 @@ def clean_html(c) -> Column:
 def extract_image_url(c) -> Column:
     """First ``<img src=...>`` value (entities decoded), else null."""
     m = F.regexp_extract(col_(c), r"""(?i)<img[^>]+src=["']([^"']+)["']""", 1)
-    return F.when(m != "", unescape_basic(m))
+    return F.when(m != "", unescape(m))
 
 
 def has_html(c) -> Column:

@@ -15,7 +15,7 @@ from ..functions import text as X
 from ..functions.timefn import col_
 from ..functions.traffic import CITY_CENTRES, haversine_km
 
-# Fixed values (production rule tables, shortened to their first entries per category).
+# Production rule tables.
 CATEGORY_RULES = [
     ("accident", ["tai nạn", "va chạm", "tông", "đâm", "lật xe", "bị cán", "tử vong", "bị thương"]),
     ("congestion", ["ùn tắc", "ùn ứ", "kẹt xe", "tắc đường", "tắc kéo dài", "ách tắc"]),
@@ -47,13 +47,82 @@ RELEVANCE_BASE = {
     "roadwork_planned": 0.35, "infrastructure_planning": 0.25, "unrelated": 0.0,
 }
 DAMPENING_TERMS = ["tài chính", "ngân hàng", "thi tuyển kiến trúc", "đề xuất"]
+# Matching drops accents on both sides, so accentless spellings need no entry of their own.
 CITY_ALIASES = {
-    "hanoi": ["hà nội", "ha noi", "thường tín", "thuong tin", "nội bài", "noi bai", "mỹ đình", "my dinh"],
-    "hcmc": ["tp.hcm", "tp hcm", "tphcm", "hồ chí minh", "ho chi minh", "sài gòn", "sai gon", "tân sơn nhất"],
-    "danang": ["đà nẵng", "da nang"],
+    "hanoi": ["hà nội", "nguyễn chí thanh", "la thành", "nguyễn chánh", "thủ đô", "nội bài", "vành đai 3", "hoàn kiếm",
+              "mỹ đình", "thường tín", "pháp vân", "cầu giẽ", "nguyễn văn huyên", "nguyễn xuân linh"],
+    "hcmc": ["tp.hcm", "tp hcm", "tphcm", "hồ chí minh", "sài gòn", "thủ thiêm", "cầu sài gòn", "tân sơn nhất", "quận 1",
+             "bến thành", "cộng hòa", "hàng xanh", "cầu phú mỹ", "cầu bình lợi", "điện biên phủ", "nguyễn duy trinh",
+             "an khánh", "sala", "bùi viện"],
+    "danang": ["đà nẵng"],
+    "haiphong": ["hải phòng", "cát bi"],
+    "cantho": ["cần thơ"],
+    "hue": ["huế", "phú bài"],
+    "dongnai": ["đồng nai", "long thành", "dầu giây", "quốc lộ 51"],
+    "lamdong": ["lâm đồng", "đà lạt", "đạ huoai"],
+    "hatinh": ["hà tĩnh", "bãi vọt", "hàm nghi"],
+    "quangninh": ["quảng ninh", "hạ long", "móng cái", "cẩm phả"],
+    "hungyen": ["hưng yên", "nguyễn văn linh"],
+    "ninhbinh": ["ninh bình", "hoa lư"],
+    "quangtri": ["quảng trị", "cam lộ", "la sơn", "đông hà"],
+    "khanhhoa": ["khánh hòa", "nha trang"],
+    "tayninh": ["tây ninh"],
+    "daklak": ["đắk lắk", "đăk lăk", "daklak", "buôn ma thuột"],
+    "gialai": ["gia lai", "an khê", "tô na"],
+    "laocai": ["lào cai"],
+    "bacninh": ["bắc ninh"],
+    "nghean": ["nghệ an"],
+    "thanhhoa": ["thanh hóa"],
+    "quangngai": ["quảng ngãi"],
+    "vungtau": ["vũng tàu", "bà rịa"],
+    "binhduong": ["bình dương", "thủ dầu một"],
+    "camau": ["cà mau"],
+    "angiang": ["an giang", "núi sam", "châu đốc"],
+    "dongthap": ["đồng tháp"],
 }
-DISTRICT_PATTERNS = [r"\bquận\s+[0-9a-zà-ỹ]+", r"\bhuyện\s+[a-zà-ỹ\s]{2,25}"]
-ROAD_PATTERN = r"(?i)\b((?:đường|phố|cầu|cao tốc|quốc lộ)\s+[A-ZÀ-Ỹ0-9][A-Za-zÀ-ỹ0-9.\-/]*)"
+DISTRICT_PATTERNS = [r"\bquận\s+[0-9a-zà-ỹ]+", r"\bhuyện\s+[a-zà-ỹ\s]{2,25}", r"\bthành phố\s+[a-zà-ỹ\s]{2,25}",
+                     r"\btp\.?\s*[a-zà-ỹ\s]{2,25}"]
+ROAD_WORDS = ["đường", "phố", "cầu", "cao tốc", "quốc lộ", "tỉnh lộ", "đại lộ", "vành đai", "nút giao", "hầm", "sân bay", "ga"]
+ROAD_NAME = r"[A-ZÀ-Ỹ0-9][A-Za-zÀ-ỹ0-9.\-/]*"
+ROAD_PATTERN = rf"(?iu)(?U)\b((?:{'|'.join(ROAD_WORDS)})\s+{ROAD_NAME}(?:\s+{ROAD_NAME}){{0,6}})"
+# Categories of Bronze evidence (a hit of the last one flags the article).
+EVIDENCE_CATEGORIES = {
+    "accident": ["tai nạn", "va chạm", "tông", "đâm", "cán", "tử vong", "bị thương", "liên hoàn"],
+    "congestion": ["ùn tắc", "kẹt xe", "ùn ứ"],
+    "roadwork": ["thi công", "phân luồng", "sửa đường", "mở rộng", "sửa cầu", "xuống cấp"],
+    "weather": ["mưa lớn", "ngập úng", "trơn trượt", "không khí lạnh", "ngập sâu", "giông", "sạt lở"],
+    "airport": ["sân bay", "đường băng", "cảng hàng không"],
+    "enforcement": ["csgt", "xử phạt", "nồng độ cồn", "gplx"],
+    "public_transport": ["xe buýt", "buýt", "metro", "đường sắt", "tàu hỏa"],
+    "planned_event": ["diễn đàn", "lễ hội", "hội báo", "đại biểu"],
+    "possible_unrelated": ["ngân hàng", "tài chính", "sim", "thuê bao", "trái cây", "lễ phục"],
+}
+# Event types of the lakehouse path, in order of priority.
+EVENT_TYPE_RULES = [
+    ("accident", ["tai nạn", "va chạm", "lật xe", "đâm vào", "đụng nhau", "tai nạn giao thông", "xe máy đâm", "ôtô đâm", "xe tải đâm",
+                  "húc vào", "tông vào", "tông nhau", "lao vào"]),
+    ("flood", ["ngập", "ngập lụt", "ngập sâu", "mưa lớn gây ngập", "nước ngập", "ngập úng", "triều cường ngập"]),
+    ("event", ["lễ hội", "hội chợ", "sự kiện", "biểu diễn", "countdown", "lễ kỷ niệm", "đại hội", "marathon", "giải chạy",
+               "chương trình biểu diễn", "lễ khai mạc"]),
+    ("road_work", ["sửa đường", "thi công", "rào chắn", "cấm đường", "phân luồng", "nâng cấp đường", "mở rộng đường", "xây dựng cầu",
+                   "thi công hầm", "cải tạo đường", "đào đường", "láng nhựa"]),
+    ("weather", ["bão", "gió mạnh", "sương mù dày", "mưa lớn", "mưa đá", "lũ lụt", "lốc xoáy", "áp thấp nhiệt đới"]),
+]
+# Severity 0..3 of the lakehouse path.
+KEYWORD_SEVERITY = {
+    3: ["chết người", "tử vong", "thiệt mạng", "nguy kịch", "tắc nghiêm trọng", "kẹt nhiều giờ", "tê liệt giao thông",
+        "ùn tắc nghiêm trọng", "ách tắc toàn tuyến"],
+    2: ["ùn tắc kéo dài", "phương tiện dồn ứ", "ngập sâu", "kẹt xe dài", "ùn ứ kéo dài", "tắc đường dài", "ùn tắc hàng km",
+        "cấm đường hoàn toàn"],
+    1: ["ùn ứ cục bộ", "lưu thông chậm", "di chuyển khó khăn", "lưu thông ảnh hưởng", "ùn nhẹ", "chậm lại", "phân luồng",
+        "cấm một chiều"],
+}
+# Words that make a feed entry worth fetching.
+TRAFFIC_KEYWORDS = [
+    "tai nạn", "va chạm", "lật xe", "đâm vào", "đụng nhau", "ngập", "ngập lụt", "ngập sâu", "mưa lớn", "sửa đường", "thi công",
+    "rào chắn", "cấm đường", "phân luồng", "ùn tắc", "ùn ứ", "kẹt xe", "tắc đường", "tắc nghiêm trọng", "lễ hội", "hội chợ",
+    "sự kiện", "biểu diễn", "bão", "gió mạnh", "sương mù", "tai nạn giao thông", "ách tắc",
+]
 EVENT_HOURS = {"roadwork_active": 24, "roadwork_planned": 24, "infrastructure_planning": 24,
                "flood": 6, "weather_disruption": 6, "planned_event": 6}
 ACTIVE_CATEGORIES = ("accident", "congestion", "flood", "weather_disruption", "roadwork_active", "airport",
@@ -65,7 +134,7 @@ def full_text(title: str = "title", summary: str = "summary_text") -> Column:
 
 
 # ---------------------------------------------------------------- filters
-def relevance_filter(df: DataFrame, keywords: Sequence[str], cols: Sequence[str] = ("title", "summary")) -> DataFrame:
+def relevance_filter(df: DataFrame, keywords: Sequence[str] = TRAFFIC_KEYWORDS, cols: Sequence[str] = ("title", "summary")) -> DataFrame:
     """Keep articles whose lower-cased title + summary contains any keyword."""
     text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in cols]))
     return df.filter(X.any_keyword(text, keywords))
@@ -90,12 +159,12 @@ def classify_event(text: Column, rules=CATEGORY_RULES, planning=PLANNING_TERMS,
             .when(act.isNotNull(), with_active).otherwise(normal))
 
 
-def classify_event_type(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default: str = "other") -> Column:
+def classify_event_type(text: Column, rules: Sequence[tuple[str, Sequence[str]]] = EVENT_TYPE_RULES, default: str = "other") -> Column:
     """Priority-ordered rule classifier (first matching type wins)."""
     return F.coalesce(X.first_alias_rank(F.lower(text), dict(rules)), F.lit(default))
 
 
-def detect_categories(text: Column, rules: dict[str, Sequence[str]]) -> Column:
+def detect_categories(text: Column, rules: dict[str, Sequence[str]] = EVIDENCE_CATEGORIES) -> Column:
     """All matching categories (accent-insensitive), ';'-joined, null when none."""
     hay = X.remove_accents(text)
     hits = F.array_compact(F.array(*[F.when(X.any_keyword(hay, [_strip(w) for w in words]), F.lit(cat)) for cat, words in rules.items()]))
@@ -119,7 +188,7 @@ def score_severity(category: Column, text: Column, ladder=SEVERITY_LADDER, plann
     return expr.otherwise(F.lit(2))
 
 
-def score_severity_keywords(text: Column, ladder: dict[int, Sequence[str]]) -> Column:
+def score_severity_keywords(text: Column, ladder: dict[int, Sequence[str]] = KEYWORD_SEVERITY) -> Column:
     """0..3 keyword ladder (lakehouse path): highest level with a hit, else 0."""
     low = F.lower(text)
     expr = None
@@ -170,7 +239,7 @@ def bronze_news(raw: DataFrame, city_aliases=CITY_ALIASES, category_rules: dict
     """Raw article rows -> Bronze evidence rows: record id, domain/section, canonical URL and
     hashes, cleaned summary and image, resolved publish time with source/status, city and
     category hints, sorted quality flags, then exact-duplicate marking in ingest order."""
-    category_rules = category_rules if category_rules is not None else dict(CATEGORY_RULES)
+    category_rules = category_rules if category_rules is not None else EVIDENCE_CATEGORIES
     miss = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
     title = F.when(~miss("title"), X.clean_html(F.col("title")))
     summary_text = X.clean_html(F.col("summary"))

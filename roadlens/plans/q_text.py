@@ -54,9 +54,13 @@ def d_remove_accents(x: str) -> str:
     return f"replace(strip_accents(lower({x})), 'đ', 'd')"
 
 
+# DuckDB has no unescape function: the entities that the driver's pages hold, one by one
+PAGE_ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·"}
+
+
 def d_clean_html(x: str) -> str:
     out = x
-    for ent, ch in X.HTML_ENTITIES.items():
+    for ent, ch in PAGE_ENTITIES.items():
         if ent != "&amp;":
             out = f"replace({out}, {_lit(ent)}, {_lit(ch)})"
     out = f"replace({out}, '&amp;', '&')"
