@@ -1,17 +1,16 @@
 """Event-to-traffic range features.
 
 Event features depend only on (city, time bucket), so they are computed once per
-distinct (city, bucket) and joined back to segments. Grid features use RANGE-frame
-windows over a union of buckets and events (time-blocked); the per-row look-back join
-turns ``t - w <= event <= t`` into an equi-join on (city, bin) with each event copied
-into the bins its window can reach, plus the residual time predicate. No cross product.
+distinct (city, bucket) and joined back to segments. Both the grid features and the per-row
+look-back read running aggregates over bins of the look-back's width (``look_back``):
+linear in rows, no point x event pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import epoch_micros
@@ -41,67 +40,56 @@ def relevant_events(events: DataFrame, category: str = "event_category", relevan
     )
 
 
-def range_candidates(
-    grid: DataFrame,
-    events: DataFrame,
-    key: str,
-    grid_ts: str,
-    event_ts: str,
-    window_us: int,
-) -> DataFrame:
-    """Pairs (grid row, event) with ``grid_ts - window <= event_ts <= grid_ts`` for equal ``key``.
-
-    Binned equi-join: bin width = window; an event at e reaches grid times in [e, e + w],
-    i.e. bins floor(e/w) and floor(e/w) + 1.
-    """
-    g = grid.withColumn("_rl_gus", epoch_micros(grid_ts)).withColumn("_rl_bin", F.floor(F.col("_rl_gus") / F.lit(window_us)))
-    e = events.withColumn("_rl_eus", epoch_micros(event_ts))
-    e = e.withColumn("_rl_bin", F.explode(F.array(F.floor(F.col("_rl_eus") / F.lit(window_us)),
-                                                  F.floor(F.col("_rl_eus") / F.lit(window_us)) + 1)))
-    j = g.join(e, [key, "_rl_bin"], "inner")
-    return j.filter((F.col("_rl_eus") <= F.col("_rl_gus")) & (F.col("_rl_eus") >= F.col("_rl_gus") - F.lit(window_us)))
+def look_back(points: DataFrame, events: DataFrame, key: str, point_ts: str, event_ts: str, spans_us: Sequence[int],
+              measures: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Per distinct point (key, point_ts) and span: aggregates over the events of the key in
+    [point - span, point], both ends included. ``measures``: name -> ("sum" or "max", event column); the
+    result has one column ``<name>_<i>`` per measure and index of span, null where there is no event.
+
+    A span is cut into bins of its own width: it reaches from a point in one bin to a point in the next, so
+    each aggregate is what the first bin holds from there on combined with what the second holds up to the
+    point. Both are running aggregates (frames that only grow, which Spark updates row by row), so the
+    work is linear in rows however dense a bin is; no point x event pairs arise, and a key with a third of
+    all events is spread over its bins."""
+    span = F.col("_rl_span")
+    every_span = F.explode(F.array(*[F.lit(int(x)) for x in spans_us])).alias("_rl_span")
+    g = points.select(key, point_ts).distinct().select(key, point_ts, epoch_micros(point_ts).alias("_rl_t"), every_span)
+    # a point reads upwards at its own instant (side 1: after the events of that instant) and downwards at the
+    # start of the span (side -1: in descending order also after the events of that instant)
+    probes = g.withColumn("_rl_side", F.explode(F.array(F.lit(1), F.lit(-1))))
+    probes = probes.withColumn("_rl_t", F.when(F.col("_rl_side") == 1, F.col("_rl_t")).otherwise(F.col("_rl_t") - span))
+    ev = events.select(key, epoch_micros(event_ts).alias("_rl_t"), F.lit(0).alias("_rl_side"), *[c.alias(f"_rl_m_{n}") for n, (_, c) in measures.items()], every_span)
+    u = probes.unionByName(ev, allowMissingColumns=True).withColumn("_rl_bin", F.floor(F.col("_rl_t") / span))
+    order2 = F.col("_rl_t") * 2 + F.col("_rl_side")
+    w = Window.partitionBy(key, "_rl_span", "_rl_bin")
+    grown = {d: w.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for d, o in (("up", order2), ("down", order2.desc()))}
+    agg = {"sum": F.sum, "max": F.max}
+    read = u.withColumns({f"_rl_{d}_{n}": agg[kind](f"_rl_m_{n}").over(o) for n, (kind, _) in measures.items() for d, o in grown.items()})
+    read = read.filter(F.col("_rl_side") != 0).select(
+        key, point_ts, "_rl_span", *[F.when(F.col("_rl_side") == 1, F.col(f"_rl_up_{n}")).otherwise(F.col(f"_rl_down_{n}")).alias(f"_rl_v_{n}") for n in measures])
+    return read.groupBy(key, point_ts).agg(*[
+        agg[kind](F.when(span == int(x), F.col(f"_rl_v_{n}"))).alias(f"{n}_{i}") for i, x in enumerate(spans_us) for n, (kind, _) in measures.items()])
 
 
 def event_grid_features(buckets: DataFrame, events: DataFrame, event_ts: str = "event_time") -> DataFrame:
     """Per distinct (city, time_bucket): counts/maxima/averages of relevant events in the last
-    1/3/6/24 hours (bounds inclusive); buckets without events get zeros.
-
-    Buckets and events are unioned and every feature is a RANGE-frame window aggregate over
-    the city's timeline (ordered by 2 * epoch + side, so events at the bucket instant count),
-    run over 24-hour time blocks: linear in rows, no bucket x event pairs, and a city with a
-    third of all events is spread over its time blocks."""
-    from .windows import EPOCH, blocked_window_columns
-
-    g = buckets.select("city", "time_bucket").distinct().select("city", F.col("time_bucket").alias("_rl_t"), F.lit(1).alias("_rl_side"),
-                                                                 F.col("time_bucket"))
-    ev = events.select("city", F.col(event_ts).alias("_rl_t"), F.lit(0).alias("_rl_side"), "event_category", "severity_score",
-                       "traffic_relevance_score")
-    u = g.unionByName(ev, allowMissingColumns=True)
-    is_ev = F.col("_rl_side") == 0
-    cat = F.col("event_category")
-    order2 = F.col(EPOCH) * 2 + F.col("_rl_side")
-
-    def build(w):
-        wo = w.orderBy(order2)
-
-        def frame(hours):
-            return wo.rangeBetween(-(2 * hours * HOUR_US + 1), 0)
-
-        def n(cond, hours):
-            return F.count_if(is_ev & cond).over(frame(hours))
-
-        return {
-            "news_event_count_1h": n(F.lit(True), 1), "news_event_count_3h": n(F.lit(True), 3),
-            "news_event_count_6h": n(F.lit(True), 6), "accident_count_1h": n(cat == "accident", 1),
-            "congestion_news_count_1h": n(cat == "congestion", 1), "roadwork_count_24h": n(cat.isin(*ROADWORK), 24),
-            "weather_disruption_count_6h": n(cat.isin(*WEATHERISH), 6), "flood_count_6h": n(cat == "flood", 6),
-            "max_event_severity_1h": F.max(F.when(is_ev, F.col("severity_score"))).over(frame(1)),
-            "max_event_severity_6h": F.max(F.when(is_ev, F.col("severity_score"))).over(frame(6)),
-            "avg_traffic_relevance_score_6h": F.avg(F.when(is_ev, F.col("traffic_relevance_score"))).over(frame(6)),
-        }
-
-    out = blocked_window_columns(u, ["city"], "_rl_t", 24 * HOUR_US, 0, build, ordered=False, unit="us")
-    out = out.filter(F.col("_rl_side") == 1).select("city", "time_bucket", *[c for c in EVENT_FEATURES if not c.startswith("has_")])
+    1/3/6/24 hours (bounds inclusive); buckets without events get zeros (see ``look_back``)."""
+    cat, score = F.col("event_category"), F.col("traffic_relevance_score")
+
+    def hit(cond):
+        return "sum", F.when(cond, 1).otherwise(0)
+
+    out = look_back(buckets, events, "city", "time_bucket", event_ts, [h * HOUR_US for h in (1, 3, 6, 24)], {
+        "n": hit(F.lit(True)), "accident": hit(cat == "accident"), "congestion": hit(cat == "congestion"), "roadwork": hit(cat.isin(*ROADWORK)),
+        "weather": hit(cat.isin(*WEATHERISH)), "flood": hit(cat == "flood"), "severity": ("max", F.col("severity_score")),
+        "score": ("sum", score), "scored": hit(score.isNotNull()),
+    })
+    names = {
+        "n_0": "news_event_count_1h", "n_1": "news_event_count_3h", "n_2": "news_event_count_6h", "accident_0": "accident_count_1h",
+        "congestion_0": "congestion_news_count_1h", "roadwork_3": "roadwork_count_24h", "weather_2": "weather_disruption_count_6h",
+        "flood_2": "flood_count_6h", "severity_0": "max_event_severity_1h", "severity_2": "max_event_severity_6h",
+    }
+    out = out.select("city", "time_bucket", *[F.col(k).alias(v) for k, v in names.items()], F.try_divide("score_2", "scored_2").alias("avg_traffic_relevance_score_6h"))
     counts = [c for c in EVENT_FEATURES if "count" in c]
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in counts})
     out = out.withColumns({
@@ -160,13 +148,11 @@ def event_interval_join(traffic: DataFrame, events: DataFrame, lookback_minutes:
     alias = F.create_map(*[x for k, v in EVENT_TYPE_ALIASES.items() for x in (F.lit(k), F.lit(v))])
     ev = events.select("city", F.col(event_ts).alias("_rl_et"), F.element_at(alias, F.col(type_col)).alias("_rl_kind"),
                        F.col(severity).alias("_rl_sev")).filter(F.col("_rl_kind").isNotNull())
-    keys = traffic.select("city", F.col(ts).alias("_rl_t")).distinct()
-    pairs = range_candidates(keys, ev, "city", "_rl_t", "_rl_et", lookback_minutes * 60_000_000)
     kinds = ("accident", "flood", "roadwork", "event")
-    agg = pairs.groupBy("city", "_rl_t").agg(
-        *[F.max(F.when(F.col("_rl_kind") == k, F.col("_rl_sev"))).alias(f"max_{k}_severity_1h") for k in kinds],
-        *[F.count_if(F.col("_rl_kind") == k).alias(f"_n_{k}") for k in kinds],
-    )
+    of = {k: F.when(F.col("_rl_kind") == k, F.col("_rl_sev")) for k in kinds}
+    agg = look_back(traffic.select("city", F.col(ts).alias("_rl_p")), ev, "city", "_rl_p", "_rl_et", [lookback_minutes * 60_000_000], {
+        **{f"max_{k}": ("max", of[k]) for k in kinds}, **{f"n_{k}": ("sum", F.when(F.col("_rl_kind") == k, 1).otherwise(0)) for k in kinds}})
+    agg = agg.select("city", F.col("_rl_p").alias("_rl_t"), *[F.col(f"max_{k}_0").alias(f"max_{k}_severity_1h") for k in kinds], *[F.col(f"n_{k}_0").alias(f"_n_{k}") for k in kinds])
     agg = agg.withColumnRenamed("city", "_rl_city")
     j = traffic.join(agg, (F.col("city") == F.col("_rl_city")) & (F.col(ts) == F.col("_rl_t")), "left").drop("_rl_city", "_rl_t")
     cols = {f"has_{k}": (F.coalesce(F.col(f"_n_{k}"), F.lit(0)) > 0).cast("int") for k in kinds}

@@ -9,12 +9,11 @@ from pyspark.sql import types as T
 
 from ..functions import traffic as TF
 from ..functions.timefn import col_
-from .joins import broadcast_if_small
 
 
 def join_percentile_lookup(df: DataFrame, lookup: DataFrame, keys=("segment_id", "hour_of_day", "day_of_week")) -> DataFrame:
     """Left join (segment, hour, dow) percentiles; defaults 20/30/40; ratio, position and flags."""
-    j = df.join(broadcast_if_small(lookup.select(*keys, "p15", "p50", "p85")), list(keys), "left")
+    j = df.join(lookup.select(*keys, "p15", "p50", "p85"), list(keys), "left")
     j = j.withColumns({"p15": F.coalesce("p15", F.lit(20.0)), "p50": F.coalesce("p50", F.lit(30.0)), "p85": F.coalesce("p85", F.lit(40.0))})
     cur = F.col("currentSpeed")
     j = j.withColumns({
@@ -32,7 +31,7 @@ def join_percentile_lookup(df: DataFrame, lookup: DataFrame, keys=("segment_id",
 def join_segment_dim(df: DataFrame, dim: DataFrame) -> DataFrame:
     """Left join segment attributes; defaults unknown/100 m/50 km/h; ordinal encodings,
     short-segment flag and quadrant."""
-    j = df.join(broadcast_if_small(dim.select("segment_id", "road_class", "district", "length_m", "speed_limit")), "segment_id", "left")
+    j = df.join(dim.select("segment_id", "road_class", "district", "length_m", "speed_limit"), "segment_id", "left")
     rc = F.coalesce(F.col("road_class"), F.lit("unknown"))
     j = j.withColumns({"road_class": rc, "district": F.coalesce(F.col("district"), F.lit("unknown")),
                        "length_m": F.coalesce(F.col("length_m"), F.lit(100.0)), "speed_limit": F.coalesce(F.col("speed_limit"), F.lit(50.0))})

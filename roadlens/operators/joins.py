@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import epoch_micros
@@ -19,16 +19,6 @@ from .windows import EPOCH, blocked_window_columns
 ALL_CELLS = "\u0000all"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Broadcast hint only after checking the row count of an already-reduced side.
-
-    Used for dimension-like inputs (cells, segments, lookups) whose size does not
-    grow with the fact data; beyond ``max_rows`` the join stays a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def asof_backward(
     left: DataFrame,
     right: DataFrame,
@@ -60,10 +50,16 @@ def asof_backward(
     is_right = F.col("_rl_side") == 0
 
     def build(w):
-        wo = w.orderBy(order2)
-        cols = {"_rl_bw": F.max_by(F.when(is_right, payload), F.when(is_right, rank)).over(wo.rangeBetween(-(2 * back_s + 1), 0))}
+        # frames that only grow are updated row by row (a sliding frame is re-read for every row);
+        # the nearest right row overall is found first, the tolerance is applied to it afterwards
+        def grown(ordering):
+            return w.orderBy(ordering).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+        last = F.max_by(F.when(is_right, payload), F.when(is_right, rank)).over(grown(order2))
+        cols = {"_rl_bw": F.when(epoch_micros(last["asof_time"]) >= F.col(EPOCH) - back_s, last)}
         if ahead_s:
-            cols["_rl_fw"] = F.min_by(F.when(is_right, payload), F.when(is_right, rank)).over(wo.rangeBetween(0, 2 * ahead_s))
+            first = F.min_by(F.when(is_right, payload), F.when(is_right, rank)).over(grown(order2.desc()))
+            cols["_rl_fw"] = F.when(epoch_micros(first["asof_time"]) <= F.col(EPOCH) + ahead_s, first)
         return cols
 
     out = blocked_window_columns(u, keys, "_rl_ts", back_s, ahead_s, build, ordered=False, unit="us")
@@ -87,7 +83,7 @@ def asof_weather_backward(
     """
     w = weather
     if cell_fallback:
-        cells = broadcast_if_small(weather.select("city", F.col("weather_cell_id").alias("_rl_cell")).distinct().withColumn("_rl_has", F.lit(True)))
+        cells = weather.select("city", F.col("weather_cell_id").alias("_rl_cell")).distinct().withColumn("_rl_has", F.lit(True))
         t = traffic.join(cells, (traffic["city"] == cells["city"]) & (traffic["weather_cell_id"] == cells["_rl_cell"]), "left") \
             .drop(cells["city"]).drop("_rl_cell")
         t = t.withColumn("_rl_key", F.when(F.col("_rl_has"), F.col("weather_cell_id")).otherwise(F.lit(ALL_CELLS))).drop("_rl_has")

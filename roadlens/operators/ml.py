@@ -62,9 +62,7 @@ def split_by_order(df: DataFrame, ts: str = "time_bucket", validation_fraction:
     total = df.select(F.count(F.lit(1))).scalar()
     cut = F.greatest(F.lit(1), F.floor(total * F.lit(1.0 - validation_fraction)))
     per = per.withColumn("_cum", F.sum("_n").over(w)).withColumn("split", F.when(F.col("_cum") <= cut, "train").otherwise("validation"))
-    from .joins import broadcast_if_small
-
-    return df.join(broadcast_if_small(per.select(ts, "split")), ts, "left")
+    return df.join(per.select(ts, "split"), ts, "left")
 
 
 def baseline_predictors(df: DataFrame, y: str, train_filter: Column) -> DataFrame:

@@ -351,10 +351,8 @@ def extract_locations(text: Column, gazetteer_names: Sequence[str], city: Column
 
 def geocode_join(df: DataFrame, gazetteer: DataFrame, location: str = "location_entity", city: str = "city") -> DataFrame:
     """Place -> (lat, lon, status) by a left join to a gazetteer table; unknown places fall back
-    to the city centre; neither -> 'failed'. The gazetteer is a dimension (checked broadcast)."""
-    from .joins import broadcast_if_small
-
-    gz = broadcast_if_small(gazetteer.select(F.lower(F.col("name")).alias("_g_name"), F.col("lat").alias("_g_lat"), F.col("lon").alias("_g_lon")))
+    to the city centre; neither -> 'failed'. The size of the gazetteer decides the join, by Spark's statistics."""
+    gz = gazetteer.select(F.lower(F.col("name")).alias("_g_name"), F.col("lat").alias("_g_lat"), F.col("lon").alias("_g_lon"))
     j = df.join(gz, F.lower(F.col(location)) == F.col("_g_name"), "left")
     centre = F.create_map(*[x for k, (la, lo) in CITY_CENTRES.items() for x in (F.lit(k), F.array(F.lit(la), F.lit(lo)))])
     c = F.element_at(centre, F.col(city))

@@ -27,7 +27,7 @@ LEFT JOIN segment_dim s USING (segment_id)
 def serving(t, g=None):
     """Latest Gold row per segment + segment dimension + the naive forecast (last bucket's speed)."""
     latest = W.latest_by_segment(gold(t) if g is None else g, ts="time_bucket")
-    dim = J.broadcast_if_small(t.segment_dim)
+    dim = t.segment_dim
     out = latest.join(dim, "segment_id", "left")
     return out.withColumn("predicted_speed", F.coalesce(F.col("speed_lag_1"), F.col("currentSpeed")))
 
