@@ -35,13 +35,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "roa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder: the shared folder named by ``spark.checkpoint.dir`` on a
-    cluster (used as is). Only when nothing is configured (local tests) is a scratch folder
-    of our own created. Already-set directories are left alone."""
+    """The shared checkpoint folder: the one already set, or the one that ``spark.checkpoint.dir`` names.
+    Where neither is set, a local session (tests) gets a scratch folder of its own; on a cluster that would be a
+    folder of one machine, so it is an error there."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    target = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="roadlens-ckpt-")
+    target = sc.getConf().get("spark.checkpoint.dir", None)
+    if target is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        target = tempfile.mkdtemp(prefix="roadlens-ckpt-")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir()

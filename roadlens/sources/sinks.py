@@ -1,9 +1,10 @@
 """Writers and table maintenance: modes and partitions, dual format, partitioned copies,
-upsert (MERGE when the catalog supports it, else anti-join + union), load stamps and a run
+upsert (anti-join + union, written beside the table and swapped in), load stamps and a run
 manifest whose row counts come from ``observe`` (no extra passes)."""
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 import uuid
 
@@ -46,14 +47,28 @@ def write_partitioned(df: DataFrame, path: str, wanted=("city", "date")) -> list
 
 def upsert(spark: SparkSession, target_path: str, source: DataFrame, keys: list[str]) -> DataFrame:
     """Matched keys take the source row, unmatched source rows are inserted, other target rows
-    stay. Rewrites the target (no transactional table format available here); with a catalog
-    that supports it this is ``MERGE INTO t USING s ON keys WHEN MATCHED UPDATE SET * WHEN NOT
-    MATCHED INSERT *``."""
+    stay; the table at ``target_path`` is updated and returned. Source keys must be unique.
+
+    The merged table is written beside the target first and then takes its place by two renames, so a
+    job that dies while writing leaves the old table whole (no transactional table format is available
+    here; with a catalog that supports it this is ``MERGE INTO t USING s ON keys WHEN MATCHED
+    UPDATE SET * WHEN NOT MATCHED INSERT *``)."""
+    repeated = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    if not repeated.isEmpty():
+        raise ValueError(f"upsert source repeats a key of {keys}")
     target = spark.read.parquet(target_path)
-    merged = target.join(source.select(*keys).distinct(), keys, "left_anti").unionByName(source.select(*target.columns))
-    out = f"{target_path}.merged-{uuid.uuid4().hex[:8]}"
-    merged.write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
+    merged = target.join(source.select(*keys), keys, "left_anti").unionByName(source.select(*target.columns))
+    stamp = uuid.uuid4().hex[:8]
+    fresh, old = f"{target_path}.new-{stamp}", f"{target_path}.old-{stamp}"
+    merged.write.parquet(fresh)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(target_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not (fs.rename(path(target_path), path(old)) and fs.rename(path(fresh), path(target_path))):
+        raise OSError(f"could not put {fresh} in the place of {target_path}")
+    fs.delete(path(old), True)
+    spark.catalog.refreshByPath(target_path)
+    return spark.read.parquet(target_path)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -62,26 +77,33 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/scratch/{name}-{uuid.uuid4().hex[:10]}"
 
 
-def run_manifest(spark: SparkSession, stages: list[tuple[str, callable]]) -> DataFrame:
-    """Run stages (name, fn -> (input DataFrame, output writer)) and record one row per stage:
-    status, duration, input/output rows (counted with ``observe`` during the write). A failing
-    stage is recorded, then the error is re-raised after the manifest rows are built."""
-    rows, error = [], None
-    for name, fn in stages:
-        t0 = time.time()
+MANIFEST_SCHEMA = ("run_id string, stage string, status string, start_time timestamp, duration_s double, inputs array<string>, "
+                   "outputs array<string>, rows bigint, error string")
+
+
+def run_manifest(spark: SparkSession, stages: list[tuple], path: str | None = None, run_id: str | None = None) -> DataFrame:
+    """Run stages ``(name, fn)`` or ``(name, fn, inputs, outputs)``, fn -> (input DataFrame, output
+    writer), and record one row per stage: status, start, duration, input and output paths, rows
+    (counted with ``observe`` during the write), error. Rows are appended to the manifest table at
+    ``path`` (by default a fresh one in the shared folder) stage by stage; a failing stage is recorded there before its
+    error is raised again. Returns this run's rows."""
+    path = path or scratch_dir(spark, "manifest")
+    run_id = run_id or uuid.uuid4().hex
+
+    def record(name, start, inputs, outputs, status, rows, error):
+        row = (run_id, name, status, dt.datetime.fromtimestamp(start, dt.timezone.utc), round(time.time() - start, 3), list(inputs), list(outputs), rows, error)
+        spark.createDataFrame([row], MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+
+    for name, fn, *ends in stages:
+        inputs, outputs = ends if ends else ((), ())
+        start = time.time()
         try:
             df, write = fn()
             obs = Observation(name)
-            observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-            write(observed)
-            n = obs.get["rows"]
-            rows.append((name, "success", round(time.time() - t0, 3), int(n), None))
-        except Exception as exc:  # noqa: BLE001
-            rows.append((name, "failed", round(time.time() - t0, 3), None, f"{type(exc).__name__}: {exc}"[:500]))
-            error = exc
-            break
-    manifest = spark.createDataFrame(rows, "stage string, status string, duration_s double, rows bigint, error string")
-    if error is not None:
-        manifest.write.mode("append").format("noop").save()
-        raise error
-    return manifest
+            write(df.observe(obs, F.count(F.lit(1)).alias("rows")))
+            rows = int(obs.get["rows"])
+        except Exception as exc:
+            record(name, start, inputs, outputs, "failed", None, f"{type(exc).__name__}: {exc}")
+            raise
+        record(name, start, inputs, outputs, "success", rows, None)
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(path).filter(F.col("run_id") == run_id)
