@@ -23,12 +23,12 @@ from .common import hash_bits, whole_text
 
 BITS = 18
 #: Bound on the labelled documents of a fit.
-MAX_LABELLED = 8_000
+MAX_LABELLED = 4_000
 #: Features seen in fewer labelled documents than this are left out.
 LEAST_DOCS = 3
 #: Features that a fit chooses per category or grade.
 CHOSEN = 600
-BEGINNINGS = (4, 5, 6, 7, 8)
+BEGINNINGS = (4, 5, 6)
 SHAPE_WEIGHT = 10.0
 REMEMBERED = 300_000
 
@@ -148,16 +148,21 @@ class Design:
     """Sparse rows, pruned to features of LEAST_DOCS rows or more, with room for dense columns."""
 
     def __init__(self, packed: list[bytes]):
-        slots = [np.frombuffer(p, "<i4", len(p) // 8) for p in packed]
-        values = [np.frombuffer(p, "<f4", len(p) // 8, len(p) // 2) for p in packed]
         self.n = len(packed)
-        at = np.concatenate(slots) if slots else np.empty(0, np.int32)
-        row = np.repeat(np.arange(self.n), [len(s) for s in slots])
-        value = np.concatenate(values).astype(np.float64) if values else np.empty(0)
-        seen = np.bincount(at, minlength=1 << BITS)
-        keep = seen[at] >= min(LEAST_DOCS, self.n)
-        at, self.row, self.value = at[keep], row[keep], value[keep]
-        self.slots, self.column = np.unique(at, return_inverse=True)
+        slots = [np.frombuffer(p, "<i4", len(p) // 8) for p in packed]
+        seen = np.zeros(1 << BITS, np.int32)
+        for at in slots:
+            seen[at] += 1  # a row's slots are distinct
+        kept = seen >= min(LEAST_DOCS, max(self.n, 1))
+        masks = [kept[at] for at in slots]
+        none = [np.empty(0, np.int32)]
+        at = np.concatenate([a[m] for a, m in zip(slots, masks)] + none)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [int(m.sum()) for m in masks])
+        self.value = np.concatenate([np.frombuffer(p, "<f4", len(p) // 8, len(p) // 2)[m] for p, m in zip(packed, masks)] + [np.empty(0, np.float32)])
+        self.slots = np.flatnonzero(kept & (seen > 0))
+        number = np.zeros(1 << BITS, np.int32)
+        number[self.slots] = np.arange(len(self.slots))
+        self.column = number[at]
 
     def take(self, rows: np.ndarray) -> "Design":
         """The rows where the mask is set, over the same columns."""
