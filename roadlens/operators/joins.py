@@ -76,10 +76,12 @@ def asof_weather_backward(
     tolerance_minutes: int,
     weather_cols: Sequence[str] = ("temp", "humidity", "rain_1h", "visibility", "wind_speed"),
     cell_fallback: bool = True,
+    keep_time: bool = False,
 ) -> DataFrame:
     """Last weather row at or before the traffic bucket within the tolerance, by
     (city, weather cell); when a cell has no weather rows at all, any cell of the city
-    is used (ties at equal time -> highest cell id). Adds has_rain / weather_severity.
+    is used (ties at equal time -> highest cell id). Adds has_rain / weather_severity and, with
+    ``keep_time``, ``weather_asof_time``: when the weather that a row got was measured.
     """
     w = weather
     if cell_fallback:
@@ -93,7 +95,8 @@ def asof_weather_backward(
         t = traffic.withColumn("_rl_key", F.col("weather_cell_id"))
         w = w.withColumn("_rl_key", F.col("weather_cell_id"))
     joined = asof_backward(t, w, ("city", "_rl_key"), tolerance_minutes, list(weather_cols), tiebreak=("weather_cell_id",))
-    joined = joined.drop("_rl_key", "asof_time")
+    joined = joined.drop("_rl_key")
+    joined = joined.withColumnRenamed("asof_time", "weather_asof_time") if keep_time else joined.drop("asof_time")
     return with_weather_flags(rename_weather(joined))
 
 

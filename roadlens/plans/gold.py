@@ -24,6 +24,7 @@ def gold_features(
     horizons_minutes: Sequence[int] = (15, 60, 240),
     n_lags: int = 12,
     weather_tolerance_minutes: int | None = None,
+    keep_weather_time: bool = False,
 ) -> DataFrame:
     """Path A order: time -> ratio -> exact lags -> strict rolling -> weather as-of ->
     baseline percentiles -> exact targets -> event features.
@@ -54,7 +55,7 @@ def gold_features(
     d = W.with_speed_trends(d)
     d = d.withColumns({f"has_exact_target_{h}m": F.col(f"future_speed_{h}m").isNotNull().cast("int") for h in horizons_minutes})
     d = W.strict_history_rolling(d)
-    d = J.asof_weather_backward(d, weather_dedup, tol)
+    d = J.asof_weather_backward(d, weather_dedup, tol, keep_time=keep_weather_time)
     d = A.baseline_features(d, lookup)
     if ev is not None:
         d = EV.merge_event_features(d, ev)

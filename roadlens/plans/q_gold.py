@@ -210,8 +210,8 @@ LEFT JOIN event_feats e ON e.city = l.city AND e.time_bucket = l.time_bucket
     return round_sql(oracle("SELECT * FROM gold", "gold"), GOLD_DOUBLES)
 
 
-def gold(t):
-    return gold_features(K.traffic_dedup(t), K.weather_dedup(t), t.incident_obs, K.BUCKET, K.HORIZONS, K.N_LAGS, TOL)
+def gold(t, **options):
+    return gold_features(K.traffic_dedup(t), K.weather_dedup(t), t.incident_obs, K.BUCKET, K.HORIZONS, K.N_LAGS, TOL, **options)
 
 
 @register("gold_features", _gold_sql())
