@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import traffic as TF
+from .risk import risk_level
 
 
 def dashboard_summary(latest: DataFrame, total_rows: DataFrame | None = None) -> DataFrame:
@@ -92,15 +93,13 @@ def name_prefix_hotspots(latest: DataFrame, prefix_len: int = 12) -> DataFrame:
 
 
 def corridor_risk(scored: DataFrame, corridor: str = "district", limit: int = 10) -> DataFrame:
-    """Mean segment risk per corridor (district, else city), max jam, distinct segments, level; top N."""
+    """Mean segment risk per corridor (district, else city), its level, max jam, distinct segments; top N."""
     col = corridor if corridor in scored.columns else "city"
     g = scored.groupBy(F.col(col).alias("corridor_id")).agg(
         F.avg("risk_score").alias("risk_score"), F.max("jamFactor").alias("max_jam_factor"),
         F.countDistinct("segment_id").alias("segment_count"),
     )
-    # The level is scored on a synthetic row {jam = max jam, speed = free flow = 1}: its
-    # congestion ratio and every other component are 0, so the score is 0 and the level "low".
-    g = g.withColumn("risk_level", F.lit("low"))
+    g = g.withColumn("risk_level", risk_level(F.col("risk_score")))
     return g.orderBy(F.col("risk_score").desc(), F.col("corridor_id").asc_nulls_last()).limit(limit)
 
 

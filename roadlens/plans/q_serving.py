@@ -136,7 +136,8 @@ def q_segment_risk(spark, sf):
 
 @_q("corridor_risk", """
 SELECT district AS corridor_id, avg(risk_score) AS risk_score, max(jamFactor) AS max_jam_factor,
-  count(DISTINCT segment_id) AS segment_count, 'low' AS risk_level
+  count(DISTINCT segment_id) AS segment_count,
+  CASE WHEN avg(risk_score) >= 80 THEN 'critical' WHEN avg(risk_score) >= 60 THEN 'high' WHEN avg(risk_score) >= 30 THEN 'medium' ELSE 'low' END AS risk_level
 FROM risk GROUP BY district ORDER BY risk_score DESC, corridor_id NULLS LAST LIMIT 10""", ("risk",), ["risk_score", "max_jam_factor"])
 def q_corridor_risk(spark, sf):
     return K.rounded(S.corridor_risk(scored(K.tables(spark, sf)), "district", 10))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import materialize
 from .sinks import load_stamps
 
 TRAFFIC_RAW = T.StructType([
@@ -96,11 +97,14 @@ def load_road_edges(spark: SparkSession, path: str, city: str, order: str = "edg
     road class and WKT, stamped with the source."""
     df = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).csv(path)
     slug = city.lower().replace(" ", "_")
-    # a distributed index in file order: sorted partitions + per-partition offsets (zipWithIndex),
-    # instead of a window without partition keys that would pull the whole file into one task
-    ordered = df.orderBy(order)
-    indexed = ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(ordered.columns + ["_idx"])
-    return indexed.withColumn("segment_id", F.concat(F.lit(slug + "_"), F.col("_idx").cast("string"))).drop("_idx") \
+    # an index in file order without one task for the whole file: rows are dealt by range of the order and
+    # kept; what earlier ranges hold (one count per range) is added to the row number in the own range
+    ranged = materialize(df.repartitionByRange(F.col(order)).withColumn("_rl_range", F.spark_partition_id()))
+    ahead = Window.orderBy("_rl_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("_rl_range").agg(F.count(F.lit(1)).alias("_n")).select("_rl_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_rl_before"))
+    nth = F.row_number().over(Window.partitionBy("_rl_range").orderBy(order))
+    indexed = ranged.withColumn("_rl_nth", nth).join(F.broadcast(before), "_rl_range").withColumn("_idx", F.col("_rl_before") + F.col("_rl_nth") - 1)
+    return indexed.withColumn("segment_id", F.concat(F.lit(slug + "_"), F.col("_idx").cast("string"))).drop("_idx", "_rl_range", "_rl_before", "_rl_nth") \
         .withColumn("city", F.lit(slug)).withColumn("_source", F.lit("road_edges"))
 
 
@@ -112,14 +116,12 @@ def load_percentile_lookup(df: DataFrame, source: str, clock: str) -> DataFrame:
 
 
 def read_dataset(spark: SparkSession, base: str) -> DataFrame:
-    """Resolve a dataset base path by suffix: parquet, then csv, then jsonl; else error."""
-    from pyspark.errors import AnalysisException
-
-    for suffix, reader in ((".parquet", lambda p: spark.read.parquet(p)),
-                           (".csv", lambda p: spark.read.option("header", True).option("inferSchema", True).csv(p)),
-                           (".jsonl", lambda p: spark.read.json(p))):
-        try:
+    """Resolve a dataset base path by suffix: the first of parquet, csv, jsonl that exists is read (and must be
+    readable as such); none is an error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    readers = {".parquet": spark.read.parquet, ".csv": spark.read.option("header", True).option("inferSchema", True).csv, ".jsonl": spark.read.json}
+    for suffix, reader in readers.items():
+        here = path(base + suffix)
+        if here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(here):
             return reader(base + suffix)
-        except AnalysisException:
-            continue
     raise FileNotFoundError(f"no parquet/csv/jsonl dataset at {base}")
