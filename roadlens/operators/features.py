@@ -3,6 +3,8 @@ centralities) as left joins with defaults, and schema healing / record shaping."
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -182,11 +184,31 @@ def split_polyline(df: DataFrame, coords: str, road_type: str, zoom: int = 13, m
         (a["lon"] + (b["lon"] - a["lon"]) * f2).alias("lon2"), (a["lat"] + (b["lat"] - a["lat"]) * f2).alias("lat2"))
 
 
-# Model feature names served by the API and the gold columns they come from.
-SERVING_ALIASES = {"current_speed": "currentSpeed", "free_flow_speed": "freeFlowSpeed", "jam_factor": "jamFactor",
-                   "speed_lag_1": "speed_lag_1", "speed_lag_2": "speed_lag_2", "rolling_speed_15m": "speed_rolling_avg_15m",
-                   "temperature": "weather_temperature", "rain_1h": "weather_rain_1h", "accidents_1h": "accident_count_1h",
-                   "news_events_1h": "news_event_count_1h", "p50": "p50"}
+# Model feature names and the Gold columns they come from.
+SERVING_ALIASES = {
+    "current_speed": "currentSpeed", "free_flow_speed": "freeFlowSpeed", "jam_factor": "jamFactor",
+    "speed_lag_1": "speed_lag_1", "speed_lag_2": "speed_lag_2", "rolling_speed_15m": "speed_rolling_avg_15m",
+    "temperature": "weather_temperature", "rain_1h": "weather_rain_1h", "accidents_1h": "accident_count_1h",
+    "news_events_1h": "news_event_count_1h", "p50": "p50",
+    "current_speed_kph": "currentSpeed", "free_flow_speed_kph": "freeFlowSpeed", "current_jam_factor": "jamFactor",
+    "latitude": "lat", "longitude": "lon", "is_vn_public_holiday": "is_holiday_vn",
+    "weather_temperature_c": "weather_temperature", "weather_humidity_pct": "weather_humidity",
+    "weather_wind_speed_mps": "weather_wind_speed", "weather_rain_1h_mm": "weather_rain_1h", "weather_visibility_m": "weather_visibility",
+    "rain_flag": "has_rain", "weather_risk_score": "weather_severity", "eventctx_has_event_signal_v1": "has_any_event",
+    "event_severity_score": "max_event_severity_1h",
+    "speed_roll_mean_4": "speed_rolling_avg_15m", "speed_roll_mean_6": "speed_rolling_avg_30m", "speed_roll_mean_12": "speed_rolling_avg_60m",
+    "speed_roll_std_4": "speed_volatility_15m", "speed_roll_std_6": "speed_volatility_30m", "speed_roll_std_12": "speed_volatility_30m",
+    "congestion_roll_mean_4": "congestion_rolling_avg_15m", "congestion_roll_mean_6": "congestion_rolling_avg_30m",
+    "congestion_roll_mean_12": "congestion_rolling_avg_60m", "jam_roll_mean_4": "congestion_rolling_avg_15m",
+    "jam_roll_mean_12": "congestion_rolling_avg_60m",
+}
+SERVING_TEXT_ALIASES = {"city_key": "city", "road_name": "segment_name", "road": "segment_name", "district_name": "district"}
+
+
+def serving_aliases(columns: Sequence[str]) -> dict[str, str]:
+    """The numeric aliases, with ``jam_lag_k`` for every congestion lag at hand."""
+    lags = {c.replace("congestion_lag_", "jam_lag_"): c for c in columns if c.startswith("congestion_lag_")}
+    return {**SERVING_ALIASES, **lags}
 
 
 def serving_features(df: DataFrame) -> DataFrame:
@@ -194,11 +216,13 @@ def serving_features(df: DataFrame) -> DataFrame:
     cyclic time, numeric defaults 0 / text 'unknown', and the count of missing sources."""
     from ..functions.timefn import cyclic_time
 
-    present = {k: v for k, v in SERVING_ALIASES.items() if v in df.columns}
-    missing = sum((F.col(v).isNull().cast("int") for v in present.values()), F.lit(0)) + F.lit(len(SERVING_ALIASES) - len(present))
-    cols = {k: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for k, v in present.items()}
-    cols.update({k: F.lit(0.0) for k in SERVING_ALIASES if k not in present})
-    out = df.select("city", "segment_id", "time_bucket", *[c.alias(k) for k, c in cols.items()], missing.alias("missing_feature_count"))
+    aliases = serving_aliases(df.columns)
+    here = lambda v: v in df.columns
+    sources = [*aliases.values(), *SERVING_TEXT_ALIASES.values()]
+    missing = sum((F.col(v).isNull().cast("int") if here(v) else F.lit(1) for v in sources), F.lit(0))
+    numbers = [(F.coalesce(F.col(v).cast("double"), F.lit(0.0)) if here(v) else F.lit(0.0)).alias(k) for k, v in aliases.items()]
+    texts = [(F.coalesce(F.col(v).cast("string"), F.lit("unknown")) if here(v) else F.lit("unknown")).alias(k) for k, v in SERVING_TEXT_ALIASES.items()]
+    out = df.select("city", "segment_id", "time_bucket", *numbers, *texts, missing.alias("missing_feature_count"))
     rain = F.col("rain_1h")
     out = out.withColumns({
         "speed_ratio": F.when(F.col("free_flow_speed") > 0, F.col("current_speed") / F.col("free_flow_speed")).otherwise(F.lit(0.0)),

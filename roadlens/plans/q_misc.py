@@ -16,7 +16,7 @@ from ..operators import features as FE
 from ..operators import risk as R
 from ..operators import windows as W
 from . import common as K
-from .q_gold import gold
+from .q_gold import GOLD_OUT, gold
 from .q_serving import serving
 from .registry import oracle, register, round_sql, stage
 
@@ -514,20 +514,21 @@ def q_split_polyline(spark, sf):
     return K.rounded(out.select("segment_id", F.col("leg").cast("bigint"), F.col("piece").cast("bigint"), "lon1", "lat1", "lon2", "lat2"))
 
 
+_SERVED = {*GOLD_OUT, "district", "road_class", "length_m", "speed_limit", "predicted_speed"}
+_ALIASES = FE.serving_aliases(GOLD_OUT)
+_NUMBERS = ", ".join(f"coalesce(CAST({v} AS DOUBLE), 0e0) AS {k}" if v in _SERVED else f"0e0 AS {k}" for k, v in _ALIASES.items())
+_TEXTS = ", ".join(f"coalesce({v}, 'unknown') AS {k}" for k, v in FE.SERVING_TEXT_ALIASES.items())
+_MISSING = " + ".join(f"CAST({v} IS NULL AS INTEGER)" if v in _SERVED else "1" for v in [*_ALIASES.values(), *FE.SERVING_TEXT_ALIASES.values()])
+
+
 @register("serving_features", round_sql(oracle(f"""
-SELECT city, segment_id, time_bucket, coalesce(currentSpeed, 0e0) AS current_speed, coalesce(freeFlowSpeed, 0e0) AS free_flow_speed,
-  coalesce(jamFactor, 0e0) AS jam_factor, coalesce(speed_lag_1, 0e0) AS speed_lag_1, coalesce(speed_lag_2, 0e0) AS speed_lag_2,
-  coalesce(speed_rolling_avg_15m, 0e0) AS rolling_speed_15m, coalesce(weather_temperature, 0e0) AS temperature,
-  coalesce(weather_rain_1h, 0e0) AS rain_1h, coalesce(CAST(accident_count_1h AS DOUBLE), 0e0) AS accidents_1h,
-  coalesce(CAST(news_event_count_1h AS DOUBLE), 0e0) AS news_events_1h, coalesce(p50, 0e0) AS p50,
-  {' + '.join(f'CAST({v} IS NULL AS INTEGER)' for v in FE.SERVING_ALIASES.values())} AS missing_feature_count,
+SELECT city, segment_id, time_bucket, {_NUMBERS}, {_TEXTS}, {_MISSING} AS missing_feature_count,
   CASE WHEN coalesce(freeFlowSpeed, 0e0) > 0 THEN coalesce(currentSpeed, 0e0) / coalesce(freeFlowSpeed, 0e0) ELSE 0e0 END AS speed_ratio,
   CASE WHEN coalesce(weather_rain_1h, 0e0) > 10 THEN 'heavy' WHEN coalesce(weather_rain_1h, 0e0) > 1e-1 THEN 'light' ELSE 'none' END AS rain_level,
   CASE WHEN coalesce(accident_count_1h, 0) > 0 THEN 'accident' WHEN coalesce(news_event_count_1h, 0) > 0 THEN 'other' ELSE 'none' END AS event_type,
   sin({2 * math.pi!r} * hour(time_bucket) / 24e0) AS hour_sin, cos({2 * math.pi!r} * hour(time_bucket) / 24e0) AS hour_cos,
   sin({2 * math.pi!r} * (isodow(time_bucket) - 1) / 7e0) AS dow_sin, cos({2 * math.pi!r} * (isodow(time_bucket) - 1) / 7e0) AS dow_cos
-FROM serving""", "serving"), ["current_speed", "free_flow_speed", "jam_factor", "speed_lag_1", "speed_lag_2", "rolling_speed_15m", "temperature",
-                             "rain_1h", "accidents_1h", "news_events_1h", "p50", "speed_ratio", "hour_sin", "hour_cos", "dow_sin", "dow_cos"]))
+FROM serving""", "serving"), [*_ALIASES, "speed_ratio", "hour_sin", "hour_cos", "dow_sin", "dow_cos"]))
 def q_serving_features(spark, sf):
     return K.rounded(FE.serving_features(serving(K.tables(spark, sf))))
 
