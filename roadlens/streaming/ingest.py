@@ -12,16 +12,71 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Topic message schemas (subset of the fields used downstream).
-TOPIC_SCHEMAS = {
-    "traffic": T.StructType([T.StructField(n, t) for n, t in (
-        ("message_id", T.StringType()), ("run_id", T.StringType()), ("city", T.StringType()), ("segment_id", T.StringType()),
-        ("event_time", T.StringType()), ("currentSpeed", T.StringType()), ("freeFlowSpeed", T.StringType()),
-        ("jamFactor", T.StringType()))]),
-    "weather": T.StructType([T.StructField(n, t) for n, t in (
-        ("message_id", T.StringType()), ("run_id", T.StringType()), ("city", T.StringType()), ("weather_cell_id", T.StringType()),
-        ("event_time", T.StringType()), ("temp", T.StringType()))]),
+def _message(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+def _typed(**kinds) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in kinds.items()])
+
+
+_S, _I, _D, _B, _TS = T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
+
+# Messages as producers send them: all text, typed by the checks.
+RAW_SCHEMAS = {
+    "traffic": _message("message_id", "run_id", "city", "segment_id", "id", "event_time", "timestamp", "currentSpeed", "freeFlowSpeed", "jamFactor"),
+    "weather": _message("message_id", "run_id", "city", "weather_cell_id", "cell_id", "event_time", "timestamp", "temp", "humidity", "rain_1h", "wind_speed"),
+    "news": _message("message_id", "run_id", "city", "event_id", "url", "title", "event_time", "timestamp", "published_at_utc", "summary"),
 }
+TOPIC_SCHEMAS = RAW_SCHEMAS
+# Fields of the topics that are loaded into Bronze as they come.
+BRONZE_TOPIC_SCHEMAS = {
+    "events.news": _typed(
+        event_id=_S, source=_S, source_url=_S, crawled_at=_TS, published_at=_TS, title=_S, content=_S, event_type=_S, severity=_I, location_entity=_S,
+        lat=_D, lon=_D, snapped_segment_id=_S, snap_distance_m=_D, event_confidence=_D, city=_S, mirrored_sources=_S, raw_html_path=_S),
+    "traffic.realtime.tomtom": _typed(
+        segment_id=_S, current_speed=_D, free_flow_speed=_D, jam_factor=_D, congestion_ratio=_D, confidence=_D, latitude=_D, longitude=_D,
+        functional_road_class=_S, road_closure=_B, source=_S, timestamp=_S),
+    "weather.current": _typed(
+        city=_S, latitude=_D, longitude=_D, temperature=_D, feels_like=_D, humidity=_I, pressure=_I, visibility=_I, wind_speed=_D, wind_degree=_I,
+        rain_1h=_D, rain_3h=_D, cloudiness=_I, description=_S, weather_main=_S, source=_S, timestamp=_S),
+}
+# Bronze table of a topic, required fields and the default city of a message.
+TOPIC_TABLES = {"events.news": "bronze_events_raw", "traffic.realtime.tomtom": "bronze_traffic_raw", "weather.current": "bronze_weather_raw"}
+REQUIRED_FIELDS = {
+    "traffic": ("city", "segment_id", "currentSpeed", "freeFlowSpeed", "jamFactor"),
+    "weather": ("city", "weather_cell_id"),
+    "news": ("city",),
+}
+DEFAULT_CITY = "hanoi"
+# The id of a message's subject, and what stands in for it, in order.
+ENTITY = {"traffic": ("segment_id", ("id",)), "weather": ("weather_cell_id", ("cell_id", "city")), "news": ("event_id", ("url", "title"))}
+
+
+def bronze_table(topic: str) -> str:
+    return TOPIC_TABLES.get(topic, f"bronze_{topic.replace('.', '_')}_raw")
+
+
+def load_stamped(df: DataFrame, topic: str) -> DataFrame:
+    """Kafka envelope -> the topic's Bronze columns with load stamps and day parts (for partitioned writes)."""
+    now = F.current_timestamp()
+    rows = df.filter(F.col("topic") == topic).select(F.from_json(F.col("value").cast("string"), BRONZE_TOPIC_SCHEMAS[topic]).alias("m")).select("m.*")
+    return rows.withColumns({"_ingested_at": now, "_source": F.col("source"), "_year": F.year(now), "_month": F.month(now), "_day": F.dayofmonth(now)})
+
+
+def route_topics(base: str):
+    """foreachBatch writer of a subscription to several topics: each topic's rows are appended to its own Bronze table
+    under ``base``, by day; a replayed batch replaces its own files."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        for topic in BRONZE_TOPIC_SCHEMAS:
+            rows = load_stamped(batch, topic).withColumn("_batch_id", F.lit(batch_id))
+            (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_year", "_month", "_day", "_batch_id")
+             .parquet(f"{base}/{bronze_table(topic)}"))
+        batch.unpersist()
+
+    return write
 
 
 def kafka_source(spark: SparkSession, servers: str, topics: str, max_offsets: int = 10_000) -> DataFrame:
@@ -38,29 +93,32 @@ def parse_messages(df: DataFrame, topic: str) -> DataFrame:
         "topic", "partition", "offset", "key", "m.*")
 
 
-def stream_normalize(df: DataFrame) -> DataFrame:
-    """Event time as UTC wall clock (``event_ts``, plus ``_wm_ts`` typed for watermarks),
-    default ids and city."""
-    ts = F.try_to_timestamp(F.col("event_time"))
+def stream_normalize(df: DataFrame, topic: str = "traffic") -> DataFrame:
+    """Event time as UTC wall clock (``event_ts``, plus ``_wm_ts`` typed for watermarks), from the first
+    time field that is there; default city; the subject's id, or what stands in for it, or the message's own id."""
+    times = [F.col(c) for c in ("event_time", "timestamp", "published_at_utc") if c in df.columns]
+    ts = F.try_to_timestamp(F.coalesce(*times))
+    entity, others = ENTITY[topic]
+    given = [F.col(c) for c in (entity, *others) if c in df.columns]
+    own = [F.concat(F.lit(topic + "-"), F.col("message_id"))] if "message_id" in df.columns else []
+    city = F.lower(F.trim(F.col("city")))
     return df.withColumns({
         "event_ts": ts.cast("timestamp_ntz"), "_wm_ts": ts,
-        "city": F.coalesce(F.lower(F.trim(F.col("city"))), F.lit("unknown")),
-        "segment_id": F.coalesce(F.col("segment_id"), F.lit("unknown")),
+        "city": F.coalesce(city, F.lit(DEFAULT_CITY)),
+        entity: F.coalesce(*given, *own),
     })
 
 
-TRAFFIC_REQUIRED = ("city", "segment_id", "currentSpeed", "freeFlowSpeed", "jamFactor")
-
-
-def stream_validate(df: DataFrame, required=TRAFFIC_REQUIRED) -> DataFrame:
-    """Required fields, numeric castability, ranges (speed 0-150, free flow 1-180, jam 0-10)
-    -> ``is_valid`` and the first failing reason."""
-    miss = F.array_compact(F.array(*[F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), F.lit(c)) for c in required]))
-    nums = {c: F.col(c).try_cast("double") for c in ("currentSpeed", "freeFlowSpeed", "jamFactor")}
-    not_num = F.exists(F.array(*[nums[c].isNull() for c in nums]), lambda x: x)
-    out_of_range = ~(nums["currentSpeed"].between(0, 150) & nums["freeFlowSpeed"].between(1, 180) & nums["jamFactor"].between(0, 10))
-    error = (F.when(F.size(miss) > 0, F.concat(F.lit("missing=["), F.array_join(F.transform(miss, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]")))
-             .when(not_num, F.lit("numeric traffic fields invalid")).when(out_of_range, F.lit("traffic numeric range invalid")))
+def stream_validate(df: DataFrame, topic: str = "traffic") -> DataFrame:
+    """Required fields of the topic and, for traffic, numeric castability and ranges (speed 0-150, free flow 1-180,
+    jam 0-10) -> ``is_valid`` and the first failing reason."""
+    miss = F.array_compact(F.array(*[F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), F.lit(c)) for c in REQUIRED_FIELDS[topic]]))
+    error = F.when(F.size(miss) > 0, F.concat(F.lit("missing=["), F.array_join(F.transform(miss, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]")))
+    if topic == "traffic":
+        nums = {c: F.col(c).try_cast("double") for c in ("currentSpeed", "freeFlowSpeed", "jamFactor")}
+        not_num = F.exists(F.array(*[nums[c].isNull() for c in nums]), lambda x: x)
+        out_of_range = ~(nums["currentSpeed"].between(0, 150) & nums["freeFlowSpeed"].between(1, 180) & nums["jamFactor"].between(0, 10))
+        error = error.when(not_num, F.lit("numeric traffic fields invalid")).when(out_of_range, F.lit("traffic numeric range invalid"))
     return df.withColumns({"is_valid": error.isNull(), "error": F.coalesce(error, F.lit("ok"))})
 
 
@@ -78,17 +136,18 @@ def stream_run_filter(df: DataFrame, run_id: str) -> DataFrame:
 
 
 def bronze_envelope(df: DataFrame, batch_id: int) -> DataFrame:
-    return df.withColumns({"_batch_id": F.lit(batch_id), "_date": F.to_date("event_ts")})
+    day = F.to_date("event_ts")
+    return df.withColumns({"_batch_id": F.lit(batch_id), "_date": day, "_year": F.year(day), "_month": F.month(day), "_day": F.dayofmonth(day)})
 
 
 def route_to_sinks(bronze_path: str, dlq_path: str):
-    """foreachBatch writer: valid rows -> Bronze, invalid -> DLQ with the error. Each batch
-    overwrites its own ``_batch_id`` partition, so a replayed batch is idempotent."""
+    """foreachBatch writer: valid rows -> Bronze by day of the event, invalid -> DLQ with the error. Each batch
+    overwrites its own ``_batch_id`` partitions, so a replayed batch is idempotent."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = bronze_envelope(batch.drop("_wm_ts"), batch_id).persist()
         (batch.filter("is_valid").drop("is_valid", "error").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("_batch_id").parquet(bronze_path))
+         .option("partitionOverwriteMode", "dynamic").partitionBy("_year", "_month", "_day", "_batch_id").parquet(bronze_path))
         (batch.filter("NOT is_valid").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("_batch_id").parquet(dlq_path))
         batch.unpersist()
