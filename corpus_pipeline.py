@@ -47,9 +47,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every copy, and whether they decode to its text."""
     tok = tokenizer(spark)
-    encoded = docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"), tok.encode().alias("ids"))
-    exact = (tok.decode("ids") == F.col("bytes")).alias("round_trip")
-    return encoded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", exact)
+    encoded = docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"), tok.round_trip().alias("e"))
+    exact = (F.col("e.decoded") == F.col("bytes")).alias("round_trip")
+    return encoded.select("doc_id", "source", "lang", F.size("e.ids").cast("long").alias("n_tokens"), F.col("e.ids").alias("ids"), exact)
 
 
 STAGES = [

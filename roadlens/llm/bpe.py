@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import whole_text
 
 #: Pieces remembered per generation and worker, and the longest piece remembered (characters).
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 LONGEST_REMEMBERED = 64
 #: Children per node of the segment tree.
 FAN = 32
@@ -165,12 +165,25 @@ class BPE:
 
         def ids(texts: pa.Array) -> pa.Array:
             encode = encoder().encode
-            blobs = [encode(t) for t in texts.to_pylist()]
-            offsets = np.fromiter(itertools.accumulate((len(b) // 4 for b in blobs), initial=0), np.int32, len(blobs) + 1)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
+            return _lists([encode(t) for t in texts.to_pylist()])
 
         ids.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-        return F.arrow_udf(ids, T.ArrayType(T.IntegerType()))(whole_text(text))
+        # declared as not deterministic so that Spark evaluates it once where several columns use its result
+        return F.arrow_udf(ids, T.ArrayType(T.IntegerType())).asNondeterministic()(whole_text(text))
+
+    def round_trip(self, text: str = "text") -> Column:
+        """struct(ids, decoded): the ids of a text and the bytes that these ids decode to, in one pass through
+        one Python worker (``decode(encode(...))`` has a worker for each)."""
+        encoder, shared, key = self._encoder(), self._file, self._key
+
+        def both(texts: pa.Array) -> pa.Array:
+            encode = encoder().encode
+            ids = _lists([encode(t) for t in texts.to_pylist()])
+            return pa.StructArray.from_arrays([ids, _decode(ids, _worker_tokens(key, shared))], names=["ids", "decoded"])
+
+        both.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+        return F.arrow_udf(both, kind).asNondeterministic()(whole_text(text))
 
     def count(self, text: str = "text") -> Column:
         encoder = self._encoder()
@@ -186,16 +199,26 @@ class BPE:
         shared, key = self._file, self._key
 
         def text(lists: pa.Array) -> pa.Array:
-            token = _worker_tokens(key, shared).__getitem__
-            ids = lists.values.to_numpy(zero_copy_only=False)
-            bounds = lists.offsets.to_pylist()
-            spans = zip(bounds, bounds[1:], lists.is_valid().to_pylist())
-            return pa.array([b"".join(map(token, ids[a:b].tolist())) if known else None for a, b, known in spans], pa.binary())
+            return _decode(lists, _worker_tokens(key, shared))
 
         text.__annotations__ = {"lists": pa.Array, "return": pa.Array}
         return F.arrow_udf(text, T.BinaryType())(F.col(ids))
 
 
+def _lists(blobs: list[bytes]) -> pa.Array:
+    """Packed ids of each text -> list<int32>."""
+    offsets = np.fromiter(itertools.accumulate((len(b) // 4 for b in blobs), initial=0), np.int32, len(blobs) + 1)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
+
+
+def _decode(lists: pa.Array, tokens: list[bytes]) -> pa.Array:
+    token = tokens.__getitem__
+    ids = lists.values.to_numpy(zero_copy_only=False)
+    bounds = lists.offsets.to_pylist()
+    spans = zip(bounds, bounds[1:], lists.is_valid().to_pylist())
+    return pa.array([b"".join(map(token, ids[a:b].tolist())) if known else None for a, b, known in spans], pa.binary())
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
 _TOKENS: dict[tuple, list[bytes]] = {}
 

@@ -144,11 +144,11 @@ def tokenizer(spark: SparkSession, file: str = "byte_bpe_50k.tiktoken") -> bpe.B
 @_query("op1_byte_bpe")
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = tokenizer(spark)
-    encoded = table(spark, sf_dir, "documents").select("doc_id", tok.encode().alias("ids"))
+    encoded = table(spark, sf_dir, "documents").select("doc_id", tok.round_trip().alias("e"))
     return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(tok.decode("ids"), 256).alias("decoded_sha256"),
+        "doc_id", F.size("e.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("e.ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("e.decoded", 256).alias("decoded_sha256"),
     )
 
 
