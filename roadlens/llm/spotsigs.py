@@ -196,7 +196,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ident.alias("__id"), whole_text().alias("text"))
     first, size = rows.agg(F.min("__id"), F.sum(F.octet_length("text"))).first()
-    n_blocks = max(1, math.ceil((size or 0) / BLOCK_BYTES))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks = max(math.ceil((size or 0) / BLOCK_BYTES), 2 * parts)
     cuts = []
     if n_blocks > 1:
         fractions = [k / n_blocks for k in range(1, n_blocks)]
@@ -214,8 +215,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     blocks.__annotations__ = {"ids": pa.Array, "return": pa.Array}
     placed = rows.withColumn("__p", F.explode(F.arrow_udf(blocks, _PLACES)(F.col("__id"))))
     placed = placed.select(F.col("__p.block").alias("__block"), F.col("__p.guest").alias("__guest"), F.col("__p.after").alias("__after"), "__id", "doc_id", "text")
-    parts = max(last + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = placed.repartition(parts, "__block").sortWithinPartitions("__block", "__after", "__id", "text")
+    placed = placed.repartition(max(last // 2 + 1, parts), "__block").sortWithinPartitions("__block", "__after", "__id", "text")
     return placed.select("__block", "__guest", "doc_id", "text").mapInArrow(_neighbours, _EDITED)
 
 
