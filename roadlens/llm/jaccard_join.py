@@ -15,9 +15,11 @@ Two documents link when their sets of word n-grams have Jaccard similarity ``PER
    buckets of these pairs; a set above the size boundary scans the inverted lists of its single prefix
    shingles (small sets that its size can match are posted there too).  The boundary is the one
    of least cost, from the sizes and list lengths of the classes at hand.
-5. *Links.*  A bucket of n members never makes n^2 pairs at once: in two rounds every class is first
-   compared with one leader of its buckets, and what links is joined into components.  Then the
-   pairs of a bucket whose members are still in different components are compared, all of them.
+5. *Links.*  Classes that hang together by shared buckets form a group.  A group is compared within itself in tiles
+   (blocks of classes against blocks), inside tasks, and only links that span components leave a task, so
+   no pairs of a bucket become rows.  In a large group every class is first compared with one leader
+   and only buckets that are still split go on; a large group that is sparse, so that its buckets hold few
+   pairs for its size, is joined bucket by bucket instead.
 
 No shingle, list or candidate is capped.  The classes, posts and links stay in Spark; the driver
 sees counts.  Memory: one block of about ``BLOCK`` shingles per task.
@@ -48,9 +50,15 @@ BLOCK = 4_000_000
 #: Words whose hash a worker remembers.
 REMEMBERED = 500_000
 SUBSET = 2
-LEADER_ROUNDS = 2
+#: Classes and shingles of a block of a large group, shingles multiplied at once, and the cost of comparing a pair
+#: in a tile against that of a row of the pair join.
+TILE_ROWS = 512
+TILE_SHINGLES = 1_000_000
+TILE_COLUMNS = 4096
+TILE_COST = 0.05
+#: Cost of reading an entry of an inverted list, against that of posting a row.
+SCAN_COST = 0.05
 
-_LOW48 = np.uint64((1 << 48) - 1)
 
 
 class Shingler:
@@ -97,11 +105,22 @@ _FOUND_ROW = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("digest", T.BinaryType()),
     T.StructField("size", T.IntegerType()),
-    T.StructField("shingles", T.ArrayType(T.LongType())),  # those of two classes or more, in one range
-    T.StructField("freqs", T.ArrayType(T.IntegerType())),
+    # a block of classes: where it goes, the range it comes from, and the shingles that other classes have too
+    T.StructField("dest", T.IntegerType()),
+    T.StructField("bucket", T.IntegerType()),
+    T.StructField("digests", T.BinaryType()),
+    T.StructField("sizes", T.BinaryType()),
+    T.StructField("counts", T.BinaryType()),
+    T.StructField("shared", T.BinaryType()),
 ])
 _BLOCK_ARROW = pa.schema([("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("digests", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("shingles", pa.binary())])
-_FOUND_ARROW = pa.schema([("is_doc", pa.bool_()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("size", pa.int32()), ("shingles", pa.list_(pa.int64())), ("freqs", pa.list_(pa.int32()))])
+_FOUND_ARROW = pa.schema([
+    ("is_doc", pa.bool_()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("size", pa.int32()), ("dest", pa.int32()), ("bucket", pa.int32()),
+    ("digests", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("shared", pa.binary()),
+])
+#: Bytes of a shingle within its range, and of a frequency (which stops at its largest value; it only orders).
+_KEY, _FREQ = 5, 2
+_SHARED = _KEY + _FREQ
 
 
 def _blocks(ids, sets, digests, n_buckets, turn):
@@ -121,7 +140,7 @@ def _blocks(ids, sets, digests, n_buckets, turn):
         for b in np.flatnonzero(np.diff(bounds)):
             a, z = bounds[b], bounds[b + 1]
             members, counts = np.unique(owner[a:z], return_counts=True)
-            packed = (every[a:z] & _LOW48).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+            packed = every[a:z].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY].tobytes()
             chosen = members.tolist()
             rows.append((int(b), None, b"".join([names[i] for i in chosen]), sizes[[first[i] for i in chosen]].tobytes(), counts.astype(np.int32).tobytes(), packed))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK_ARROW.types)], schema=_BLOCK_ARROW)
@@ -147,34 +166,39 @@ def _pack(n_buckets: int, sets):
     return run
 
 
-def _unpack48(packed: bytes) -> np.ndarray:
-    six = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-    eight = np.zeros((len(six), 8), np.uint8)
-    eight[:, :6] = six
-    return eight.reshape(-1).view("<u8")
+def _widen(narrow: np.ndarray) -> np.ndarray:
+    """Rows of little-endian bytes -> uint64."""
+    wide = np.zeros((len(narrow), 8), np.uint8)
+    wide[:, : narrow.shape[1]] = narrow
+    return wide.reshape(-1).view("<u8")
+
 
+def _rows(schema: pa.Schema, n: int, **columns) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in schema], schema=schema)
 
-def _found(is_doc, ids, digests, sizes, shingles, freqs):
-    columns = [[is_doc] * len(digests), ids, digests, sizes, shingles, freqs]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND_ARROW.types)], schema=_FOUND_ARROW)
 
+def _split(digests: bytes) -> list[bytes]:
+    return [digests[k : k + 16] for k in range(0, len(digests), 16)]
 
-def _count_range(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """All blocks of one range of shingles -> its documents' rows, and per class the shingles that others have too."""
+
+def _count_range(key: tuple[pa.Scalar, ...], table: pa.Table, n_dests: int) -> pa.Table:
+    """All blocks of one range of shingles -> its documents' rows, and blocks of classes with the shingles that others
+    have too, dealt by digest."""
     out = []
     names, sizes, counts, packed = [], [], [], []
     for row in table.to_pylist():
-        digests = [row["digests"][k : k + 16] for k in range(0, len(row["digests"]), 16)]
+        digests = _split(row["digests"])
         if row["ids"] is not None:
             n = np.frombuffer(row["sizes"], np.int32).tolist()
-            out.append(_found(True, row["ids"], [d if k else None for d, k in zip(digests, n)], n, [None] * len(n), [None] * len(n)))
+            named = [d if k else None for d, k in zip(digests, n)]
+            out.append(_rows(_FOUND_ARROW, len(n), is_doc=[True] * len(n), doc_id=row["ids"], digest=named, size=n))
         else:
             names += digests
             sizes.append(np.frombuffer(row["sizes"], np.int32))
             counts.append(np.frombuffer(row["counts"], np.int32))
-            packed.append(_unpack48(row["shingles"]))
+            packed.append(np.frombuffer(row["shingles"], np.uint8).reshape(-1, _KEY))
     if names:
-        sizes, counts, every = np.concatenate(sizes), np.concatenate(counts), np.concatenate(packed)
+        sizes, counts, every = np.concatenate(sizes), np.concatenate(counts), _widen(np.concatenate(packed))
         del packed
         seen: dict[bytes, int] = {}
         fresh = np.array([seen.setdefault(d, i) == i for i, d in enumerate(names)])  # a class may come from many tasks
@@ -184,15 +208,22 @@ def _count_range(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         order = np.argsort(every, kind="stable")
         every, owner = every[order], owner[order]
         starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-        freq = np.repeat(np.diff(np.append(starts, len(every))), np.diff(np.append(starts, len(every)))).astype(np.int32)
+        runs = np.diff(np.append(starts, len(every)))
+        freq = np.repeat(np.minimum(runs, (1 << 8 * _FREQ) - 1), runs)
         again = freq > 1
         every, owner, freq = every[again], owner[again], freq[again]
         order = np.argsort(owner, kind="stable")
-        every, owner, freq = every[order].astype(np.int64) + (int(key[0].as_py()) << 48), owner[order], freq[order]
-        members, begin = np.unique(owner, return_index=True)
-        offsets = pa.array(np.append(begin, len(owner)).astype(np.int32))
-        if len(members):
-            out.append(_found(False, [None] * len(members), [names[i] for i in members], sizes[members], pa.ListArray.from_arrays(offsets, pa.array(every)), pa.ListArray.from_arrays(offsets, pa.array(freq))))
+        every, owner, freq = every[order], owner[order], freq[order]
+        both = np.hstack([every.view(np.uint8).reshape(-1, 8)[:, :_KEY], freq.astype("<u2").view(np.uint8).reshape(-1, _FREQ)])
+        members, counts = np.unique(owner, return_counts=True)
+        dest = np.array([int.from_bytes(names[i][:4], "little") % n_dests for i in members.tolist()], np.int64)
+        shingle_dest = np.repeat(dest, counts)
+        for d in np.unique(dest).tolist():
+            here = members[dest == d]
+            out.append(_rows(
+                _FOUND_ARROW, 1, is_doc=[False], dest=[d], bucket=[key[0].as_py()], digests=[b"".join([names[i] for i in here.tolist()])],
+                sizes=[sizes[here].tobytes()], counts=[counts[dest == d].astype(np.int32).tobytes()], shared=[both[shingle_dest == d].tobytes()],
+            ))
     return pa.concat_tables(out) if out else _FOUND_ARROW.empty_table()
 
 
@@ -205,23 +236,60 @@ def shared_shingles(docs: DataFrame, sets) -> DataFrame:
     packed = rows.mapInArrow(_pack(n_buckets, sets), _BLOCK_ROW)
     # one bucket is one task's work: as many partitions as buckets, at least
     parts = max(n_buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return stored(packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_count_range, _FOUND_ROW), "shingles")
+
+    def count_range(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _count_range(key, table, n_buckets)
+
+    return stored(packed.repartition(parts, "bucket").groupBy("bucket").applyInArrow(count_range, _FOUND_ROW), "shingles")
+
+
+_CLASS = T.StructType([
+    T.StructField("cid", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("r1", T.IntegerType()), T.StructField("r2", T.IntegerType()),
+    T.StructField("scan", T.LongType()), T.StructField("shared", T.ArrayType(T.LongType())),
+])
+_CLASS_ARROW = pa.schema([("cid", pa.binary()), ("size", pa.int32()), ("r1", pa.int32()), ("r2", pa.int32()), ("scan", pa.int64()), ("shared", pa.list_(pa.int64()))])
+
+
+def _assemble(table: pa.Table, percent: int) -> pa.Table:
+    """All blocks of some classes -> the classes that can link, with their shingles rarest first."""
+    total: dict[bytes, int] = {}
+    blocks = []
+    for row in table.to_pylist():
+        digests, counts = _split(row["digests"]), np.frombuffer(row["counts"], np.int32).tolist()
+        blocks.append((row["bucket"], digests, np.frombuffer(row["sizes"], np.int32).tolist(), counts, np.frombuffer(row["shared"], np.uint8).reshape(-1, _SHARED)))
+        for d, n in zip(digests, counts):
+            total[d] = total.get(d, 0) + n
+    parts: dict[bytes, list] = {}
+    prefix: dict[bytes, tuple[int, int]] = {}
+    for bucket, digests, sizes, counts, both in blocks:
+        at = 0
+        for d, size, n in zip(digests, sizes, counts):
+            r1 = size - -(-size * percent // 100) + 1 - (size - total[d])
+            if r1 > 0:
+                prefix[d] = (size, r1)
+                parts.setdefault(d, []).append((bucket, both[at : at + n]))
+            at += n
+    out = {c: [] for c in _CLASS_ARROW.names}
+    for d, pieces in parts.items():
+        size, r1 = prefix[d]
+        key = np.concatenate([_widen(x[:, :_KEY]) + np.uint64(bucket << 8 * _KEY) for bucket, x in pieces])
+        freq = np.concatenate([_widen(x[:, _KEY:]) for _, x in pieces])
+        order = np.lexsort((key, freq))
+        for c, v in zip(_CLASS_ARROW.names, (d, size, r1, min(r1 + SUBSET - 1, len(key)), int(freq[order[:r1]].sum()), key[order].astype(np.int64))):
+            out[c].append(v)
+    return _rows(_CLASS_ARROW, len(parts), **out)
 
 
 def joinable_classes(found: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Step 3: (cid, size, own, shared) of the classes that can link at all.  ``own``: shingles of no
-    other class; ``shared``: the others, rarest first; ``r1``, ``r2``: how many of them are in the
-    prefix and in the prefix for pairs; ``scan``: summed list lengths of the former."""
-    pairs = F.arrays_zip("freqs", "shingles")
-    per = found.filter("NOT is_doc").groupBy(F.col("digest").alias("cid")).agg(
-        F.max("size").alias("size"), F.sum(F.size("shingles")).cast("int").alias("n_shared"), F.collect_list(pairs).alias("parts")
-    )
-    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    per = per.withColumn("r1", (prefix - (F.col("size") - F.col("n_shared"))).cast("int")).filter("r1 > 0")
-    per = per.withColumn("shared", F.array_sort(F.flatten("parts")))
-    per = per.withColumn("r2", F.least(F.col("r1") + SUBSET - 1, F.col("n_shared")))
-    per = per.withColumn("scan", F.aggregate(F.slice("shared", 1, F.col("r1")), F.lit(0).cast("long"), lambda a, x: a + x["freqs"]))
-    return stored(per.select("cid", "size", "r1", "r2", "scan", F.transform("shared", lambda x: x["shingles"]).alias("shared")), "classes")
+    """Step 3: (cid, size, r1, r2, scan, shared) of the classes that can link at all.  ``shared``: the shingles that
+    other classes have too, rarest first; ``r1``, ``r2``: how many of them are in the prefix and in the
+    prefix for pairs; ``scan``: summed list lengths of the former."""
+
+    def assemble(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _assemble(table, percent)
+
+    blocks = found.filter("NOT is_doc").select("dest", "bucket", "digests", "sizes", "counts", "shared")
+    return stored(blocks.groupBy("dest").applyInArrow(assemble, _CLASS), "classes")
 
 
 def size_boundary(classes: DataFrame, percent: int = PERCENT) -> int:
@@ -238,7 +306,7 @@ def size_boundary(classes: DataFrame, percent: int = PERCENT) -> int:
         heavy = [r for k, r in by.items() if k > b]
         # small sets within reach of a large one's size are posted in the lists as well
         near = by[b]["posts"] if b in by and heavy else 0
-        cost = sum(r["subsets"] for r in light) + near + sum(r["scan"] + r["posts"] for r in heavy)
+        cost = sum(r["subsets"] for r in light) + near + sum(SCAN_COST * r["scan"] + r["posts"] for r in heavy)
         if best is None or cost < best[0]:
             best = (cost, 1 << b)
     return best[1] if best else 0
@@ -257,46 +325,147 @@ def posts(classes: DataFrame, boundary: int, percent: int = PERCENT, by_length:
         part = F.floor(F.log("size") / math.log(100 / percent) + F.lit(1e-9))
         every = every.withColumn("part", F.explode(F.array(part, part + 1))).select(F.xxhash64("bucket", "part").alias("bucket"), "cid", "size")
     every = stored(every, "posts")
-    crowded = every.groupBy("bucket").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).filter("a < b").select("bucket")
+    one = every.withColumn("h", F.xxhash64("cid"))
+    crowded = one.groupBy("bucket").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("bucket")
     return every.join(crowded, "bucket", "left_semi")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by the exact size of their intersection."""
-    sides = classes.select("cid", "size", "shared")
-    both = pairs.join(sides.select(F.col("cid").alias("a"), F.col("size").alias("sa"), F.col("shared").alias("xa")), "a")
-    both = both.join(sides.select(F.col("cid").alias("b"), F.col("size").alias("sb"), F.col("shared").alias("xb")), "b")
+    """The pairs (a, b) whose sets are similar enough, by the exact size of their intersection.  ``b`` is the
+    side with fewer different classes; only their sets move to meet those of ``a``."""
+    pairs = stored(pairs, "pairs")  # of known size, so that Spark broadcasts few pairs and shuffles many
+    few = stored(pairs.select(F.col("b").alias("cid")).distinct(), "leaders")
+    x = classes.select(F.col("cid").alias("a"), F.col("size").alias("sa"), F.col("shared").alias("xa"))
+    y = classes.join(few, "cid", "left_semi").select(F.col("cid").alias("b"), F.col("size").alias("sb"), F.col("shared").alias("xb"))
+    both = pairs.join(x, "a").join(y, "b")
     common = F.size(F.array_intersect("xa", "xb"))
     return both.filter(100 * common >= percent * (F.col("sa") + F.col("sb") - common)).select("a", "b")
 
 
+def _groups(met: DataFrame) -> DataFrame:
+    """(cid, grp): classes that hang together by shared buckets; nothing outside a group can link into it."""
+    first = met.groupBy("bucket").agg(F.min("cid").alias("first"))
+    edges = met.join(first, "bucket").filter("cid <> first").select("cid", "first").distinct()
+    return connected_components(met.select("cid").distinct(), edges, "cid", "cid", "first").withColumnRenamed("component", "grp")
+
+
+def _leader_links(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links of each class with the one leader that it meets in most buckets: linear in posts."""
+    leader = met.groupBy("bucket").agg(F.min_by(F.struct("cid", "size"), F.xxhash64("cid")).alias("l"))
+    pairs = met.join(leader, "bucket").filter((F.col("l.cid") != F.col("cid")) & _alike(F.col("size"), F.col("l.size"), percent))
+    times = pairs.groupBy(F.col("cid").alias("a"), F.col("l.cid").alias("b")).agg(F.count("*").alias("n"))
+    return _verified(times.groupBy("a").agg(F.max_by("b", F.struct("n", F.xxhash64("b"))).alias("b")), classes, percent)
+
+
+def _pair_links(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links of all pairs that share a bucket (``met`` with ``comp``) and are not in one component yet."""
+    x, y = met.alias("x"), met.alias("y")
+    pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket"))
+    pairs = pairs.filter((F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp")) & _alike(F.col("x.size"), F.col("y.size"), percent))
+    return _verified(pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct(), classes, percent)
+
+
+_LINK = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+_LINK_ARROW = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _spanning(cids, sizes, blocks, sets, percent):
+    """Links that span the components of all links between classes of a tile: within its one block, or between its two.
+    Intersections come from products of 0/1 matrices, some thousand shingles at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    tokens, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = times[column] > 1
+    owner, column = owner[twice], (np.cumsum(times > 1) - 1)[column[twice]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    left = blocks == blocks.min()
+    right = ~left if (~left).any() else left
+    common = np.zeros((int(left.sum()), int(right.sum())), np.float32)
+    width = int((times > 1).sum())
+    for at in range(0, width, TILE_COLUMNS):
+        a, z = np.searchsorted(column, (at, at + TILE_COLUMNS))
+        x = np.zeros((len(sets), min(TILE_COLUMNS, width - at)), np.float32)
+        x[owner[a:z], column[a:z] - at] = 1
+        common += x[left] @ x[right].T
+    rows, columns = np.flatnonzero(left), np.flatnonzero(right)
+    linked = 100 * common >= percent * (sizes[rows][:, None] + sizes[columns] - common)
+    root = list(range(len(sets)))
+    out = []
+    for i, j in np.argwhere(linked).tolist():
+        i, j = int(rows[i]), int(columns[j])
+        a, b = i, j
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[a] = b
+            out.append((cids[i], cids[j]))
+    return out
+
+
+def _tile_links(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links within groups (cid, grp) by comparing all of a group with each other in tiles.  A group is cut into blocks of
+    TILE_ROWS classes or TILE_SHINGLES shingles; a tile holds one or two blocks, a task some tiles.  What
+    leaves a task are links that span the components of its tiles, fewer than it has classes."""
+    held = members.join(classes.select("cid", "size", "shared"), "cid").select("grp", "cid", "size", "shared", F.size("shared").alias("n"))
+    per = members.join(classes.select("cid", F.size("shared").alias("n")), "cid").groupBy("grp").agg(
+        F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("n_blocks"), F.sum("n").alias("total"))
+    per = stored(per, "groups")
+    work = per.agg(F.sum(F.col("total") * F.col("n_blocks"))).first()[0] or 0
+    n_tasks = max(1, math.ceil(work / (2 * TILE_SHINGLES)))
+    block = F.pmod(F.xxhash64("cid"), F.col("n_blocks")).cast("int")
+    tiles = held.join(per.select("grp", "n_blocks"), "grp").withColumn("block", block)
+    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    tiles = tiles.withColumn("tile", F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other")))
+    tiles = tiles.select(F.pmod("tile", F.lit(n_tasks)).alias("task"), "tile", "block", "cid", "size", "shared")
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        out = []
+        tile = table.column("tile").to_numpy()
+        order = np.argsort(tile, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
+            part = table.take(pa.array(rows)).combine_chunks()
+            sets = [x.values.to_numpy() for x in part.column("shared").combine_chunks()]
+            if len(sets) > 1:
+                out += _spanning(part.column("cid").to_pylist(), part.column("size").to_numpy(), part.column("block").to_numpy(), sets, percent)
+        return _rows(_LINK_ARROW, len(out), a=[x for x, _ in out], b=[y for _, y in out])
+
+    return tiles.groupBy("task").applyInArrow(compare, _LINK)
+
+
+def _alike(x, y, percent: int):
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
 def links(classes: DataFrame, percent: int = PERCENT, by_length: bool = False) -> DataFrame:
     """Step 5: links (a, b) between classes whose components are those of all links."""
     boundary = size_boundary(classes, percent)
     met = stored(posts(classes, boundary, percent, by_length), "met")
-    alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    every, component = None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        now = met if component is None else met.join(component, "cid", "left")
-        now = now.withColumn("comp", F.col("cid") if component is None else F.coalesce("comp", "cid"))
-        if component is not None:
-            split = now.groupBy("bucket").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p < q").select("bucket")
-            now = stored(now.join(split, "bucket", "left_semi"), "split")
-        if turn < LEADER_ROUNDS:
-            pick = F.min if turn % 2 == 0 else F.max
-            leader = now.groupBy("bucket").agg(pick(F.struct("cid", "size", "comp")).alias("l"))
-            pairs = now.join(leader, "bucket").filter((F.col("l.comp") != F.col("comp")) & alike(F.col("size"), F.col("l.size")))
-            pairs = pairs.groupBy(F.col("cid").alias("a")).agg(pick("l.cid").alias("b"))
-        else:
-            x, y = now.alias("x"), now.alias("y")
-            pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).filter((F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp")) & alike(F.col("x.size"), F.col("y.size")))
-            pairs = pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-        new = _verified(pairs, classes, percent)
-        every = stored(new if every is None else every.unionByName(new), "links")
-        if turn < LEADER_ROUNDS:
-            ends = every.select(F.col("a").alias("id")).unionByName(every.select(F.col("b").alias("id"))).distinct()
-            component = stored(connected_components(ends, every, "id", "a", "b").select(F.col("id").alias("cid"), F.col("component").alias("comp")), "components")
-    return every
+    grouped = stored(_groups(met), "candidates")
+    sizes = grouped.groupBy("grp").agg(F.count("*").alias("g"))
+    small, large = (grouped.join(sizes.filter(c), "grp", "left_semi") for c in (F.col("g") <= TILE_ROWS, F.col("g") > TILE_ROWS))
+    every = stored(_tile_links(small, classes, percent), "links")
+    large = stored(large, "large")
+    if large.isEmpty():
+        return every
+    # a group of many classes: join what hangs on leaders first, then look at the buckets that are still split
+    met = met.join(large, "cid")
+    led = stored(_leader_links(met, classes, percent), "led")
+    every = every.unionByName(led)
+    component = connected_components(large.select("cid"), led, "cid", "a", "b").withColumnRenamed("component", "comp")
+    met = met.drop("grp").join(component, "cid")
+    split = met.groupBy("bucket").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p < q").select("bucket")
+    met = stored(met.join(split, "bucket", "left_semi"), "split")
+    grouped = stored(_groups(met), "candidates")
+    met = met.join(grouped, "cid")
+    pairs = met.groupBy("grp", "bucket").agg(F.count("*").alias("n")).groupBy("grp").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("rows"))
+    cost = grouped.groupBy("grp").agg(F.count("*").alias("g")).join(pairs, "grp")
+    dense = (F.col("g") <= TILE_ROWS) | (F.col("rows") > TILE_COST * F.col("g") * (F.col("g") - 1) / 2)
+    cost = stored(cost.select("grp", dense.alias("dense")), "cost")
+    tiled = grouped.join(cost.filter("dense"), "grp", "left_semi")
+    paired = met.join(cost.filter("NOT dense"), "grp", "left_semi")
+    return stored(every.unionByName(_tile_links(tiled, classes, percent)).unionByName(_pair_links(paired, classes, percent)), "links")
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, sets=None, by_length: bool = False) -> DataFrame:
