@@ -3,7 +3,7 @@
 Two documents link when their sets of word n-grams have Jaccard similarity ``PERCENT``/100 or more.
 
 1. *Sets.*  Each task turns its texts into sets of 64-bit shingle hashes.  Equal sets are one class
-   (named by a 128-bit digest), so exact copies are compared with nothing.
+   (named by an 80-bit digest), so exact copies are compared with nothing.
 2. *Frequencies.*  The shingles of all classes are dealt out by hash range as packed blocks; each
    range counts in how many classes every shingle occurs and gives back those that occur in two
    or more.  A shingle of one class only can link nothing.
@@ -22,7 +22,7 @@ Two documents link when their sets of word n-grams have Jaccard similarity ``PER
    pairs for its size, is joined bucket by bucket instead.
 
 No shingle, list or candidate is capped.  The classes, posts and links stay in Spark; the driver
-sees counts.  Memory: one block of about ``BLOCK`` shingles per task.
+sees counts.  Memory: about ``BLOCK`` shingles per task.
 
 Defined cases: null texts and texts without a word have an empty set, n_shingles 0 and are their
 own component; a text with fewer words than n is one shingle; repeated rows are members of one
@@ -45,10 +45,11 @@ from .common import stored, whole_text
 
 WIDTH = 5
 PERCENT = 75
-#: Shingles that one block holds, and that one range is aimed at.
+#: Shingles that a task gathers before it deals them out, and that one range is aimed at.
+CHUNK = 1_000_000
 BLOCK = 4_000_000
 #: Words whose hash a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 SUBSET = 2
 #: Classes and shingles of a block of a large group, shingles multiplied at once, and the cost of comparing a pair
 #: in a tile against that of a row of the pair join.
@@ -118,11 +119,23 @@ _FOUND_ARROW = pa.schema([
     ("is_doc", pa.bool_()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("size", pa.int32()), ("dest", pa.int32()), ("bucket", pa.int32()),
     ("digests", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("shared", pa.binary()),
 ])
-#: Bytes of a shingle within its range, and of a frequency (which stops at its largest value; it only orders).
-_KEY, _FREQ = 5, 2
+#: Bytes of a class's digest, of a shingle within its range, and of a frequency (which stops at its largest value; it
+#: only orders).
+_DIGEST, _KEY, _FREQ = 10, 5, 2
+#: Shingles of one entry of a block; a class with more in one range has several entries.
+_MOST = (1 << 16) - 1
 _SHARED = _KEY + _FREQ
 
 
+def _entries(members, counts):
+    """Members with their counts, cut into entries of _MOST at most."""
+    pieces = -(-counts // _MOST)
+    members = np.repeat(members, pieces)
+    out = np.full(len(members), _MOST, np.int64)
+    out[np.cumsum(pieces) - 1] = counts - (pieces - 1) * _MOST
+    return members, out
+
+
 def _blocks(ids, sets, digests, n_buckets, turn):
     """Packed rows of one chunk of documents: their digests, and the shingles of each class by range."""
     sizes = np.array([len(s) for s in sets], np.int32)
@@ -131,18 +144,18 @@ def _blocks(ids, sets, digests, n_buckets, turn):
     first = list(classes.values())
     if first:
         every = np.concatenate([sets[i] for i in first])
-        owner = np.repeat(np.arange(len(first), dtype=np.int64), sizes[first])
-        bucket = ((every >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int64)
+        owner = np.repeat(np.arange(len(first), dtype=np.int32), sizes[first])
+        bucket = ((every >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         every, owner, bucket = every[order], owner[order], bucket[order]
         bounds = np.searchsorted(bucket, np.arange(n_buckets + 1))
         names = list(classes)
         for b in np.flatnonzero(np.diff(bounds)):
             a, z = bounds[b], bounds[b + 1]
-            members, counts = np.unique(owner[a:z], return_counts=True)
+            members, counts = _entries(*np.unique(owner[a:z], return_counts=True))
             packed = every[a:z].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY].tobytes()
             chosen = members.tolist()
-            rows.append((int(b), None, b"".join([names[i] for i in chosen]), sizes[[first[i] for i in chosen]].tobytes(), counts.astype(np.int32).tobytes(), packed))
+            rows.append((int(b), None, b"".join([names[i] for i in chosen]), sizes[[first[i] for i in chosen]].tobytes(), counts.astype("<u2").tobytes(), packed))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK_ARROW.types)], schema=_BLOCK_ARROW)
 
 
@@ -155,9 +168,9 @@ def _pack(n_buckets: int, sets):
                 s = shingle(text.as_buffer().to_pybytes() if text.is_valid else b"")
                 ids.append(doc_id)
                 made.append(s)
-                digests.append(xxhash.xxh128_digest(s.tobytes()))
+                digests.append(xxhash.xxh128_digest(s.tobytes())[:_DIGEST])
                 held += len(s) + 8
-                if held >= BLOCK:
+                if held >= CHUNK:
                     yield _blocks(ids, made, digests, n_buckets, turn + digests[0][0])
                     ids, made, digests, held, turn = [], [], [], 0, turn + 1
         if ids:
@@ -178,15 +191,16 @@ def _rows(schema: pa.Schema, n: int, **columns) -> pa.Table:
 
 
 def _split(digests: bytes) -> list[bytes]:
-    return [digests[k : k + 16] for k in range(0, len(digests), 16)]
+    return [digests[k : k + _DIGEST] for k in range(0, len(digests), _DIGEST)]
 
 
 def _count_range(key: tuple[pa.Scalar, ...], table: pa.Table, n_dests: int) -> pa.Table:
     """All blocks of one range of shingles -> its documents' rows, and blocks of classes with the shingles that others
     have too, dealt by digest."""
     out = []
-    names, sizes, counts, packed = [], [], [], []
-    for row in table.to_pylist():
+    names, sizes, counts, packed, fresh = [], [], [], [], []
+    seen: dict[bytes, int] = {}  # a class may come from many tasks: the first block that has it counts
+    for at, row in enumerate(table.to_pylist()):
         digests = _split(row["digests"])
         if row["ids"] is not None:
             n = np.frombuffer(row["sizes"], np.int32).tolist()
@@ -194,16 +208,15 @@ def _count_range(key: tuple[pa.Scalar, ...], table: pa.Table, n_dests: int) -> p
             out.append(_rows(_FOUND_ARROW, len(n), is_doc=[True] * len(n), doc_id=row["ids"], digest=named, size=n))
         else:
             names += digests
+            fresh += [seen.setdefault(d, at) == at for d in digests]
             sizes.append(np.frombuffer(row["sizes"], np.int32))
-            counts.append(np.frombuffer(row["counts"], np.int32))
+            counts.append(np.frombuffer(row["counts"], "<u2"))
             packed.append(np.frombuffer(row["shingles"], np.uint8).reshape(-1, _KEY))
     if names:
         sizes, counts, every = np.concatenate(sizes), np.concatenate(counts), _widen(np.concatenate(packed))
         del packed
-        seen: dict[bytes, int] = {}
-        fresh = np.array([seen.setdefault(d, i) == i for i, d in enumerate(names)])  # a class may come from many tasks
         owner = np.repeat(np.arange(len(names), dtype=np.int32), counts)
-        keep = fresh[owner]
+        keep = np.array(fresh)[owner]
         every, owner = every[keep], owner[keep]
         order = np.argsort(every, kind="stable")
         every, owner = every[order], owner[order]
@@ -215,14 +228,14 @@ def _count_range(key: tuple[pa.Scalar, ...], table: pa.Table, n_dests: int) -> p
         order = np.argsort(owner, kind="stable")
         every, owner, freq = every[order], owner[order], freq[order]
         both = np.hstack([every.view(np.uint8).reshape(-1, 8)[:, :_KEY], freq.astype("<u2").view(np.uint8).reshape(-1, _FREQ)])
-        members, counts = np.unique(owner, return_counts=True)
+        members, counts = _entries(*np.unique(owner, return_counts=True))
         dest = np.array([int.from_bytes(names[i][:4], "little") % n_dests for i in members.tolist()], np.int64)
         shingle_dest = np.repeat(dest, counts)
         for d in np.unique(dest).tolist():
             here = members[dest == d]
             out.append(_rows(
                 _FOUND_ARROW, 1, is_doc=[False], dest=[d], bucket=[key[0].as_py()], digests=[b"".join([names[i] for i in here.tolist()])],
-                sizes=[sizes[here].tobytes()], counts=[counts[dest == d].astype(np.int32).tobytes()], shared=[both[shingle_dest == d].tobytes()],
+                sizes=[sizes[here].tobytes()], counts=[counts[dest == d].astype("<u2").tobytes()], shared=[both[shingle_dest == d].tobytes()],
             ))
     return pa.concat_tables(out) if out else _FOUND_ARROW.empty_table()
 
@@ -255,7 +268,7 @@ def _assemble(table: pa.Table, percent: int) -> pa.Table:
     total: dict[bytes, int] = {}
     blocks = []
     for row in table.to_pylist():
-        digests, counts = _split(row["digests"]), np.frombuffer(row["counts"], np.int32).tolist()
+        digests, counts = _split(row["digests"]), np.frombuffer(row["counts"], "<u2").tolist()
         blocks.append((row["bucket"], digests, np.frombuffer(row["sizes"], np.int32).tolist(), counts, np.frombuffer(row["shared"], np.uint8).reshape(-1, _SHARED)))
         for d, n in zip(digests, counts):
             total[d] = total.get(d, 0) + n
@@ -445,27 +458,26 @@ def links(classes: DataFrame, percent: int = PERCENT, by_length: bool = False) -
     grouped = stored(_groups(met), "candidates")
     sizes = grouped.groupBy("grp").agg(F.count("*").alias("g"))
     small, large = (grouped.join(sizes.filter(c), "grp", "left_semi") for c in (F.col("g") <= TILE_ROWS, F.col("g") > TILE_ROWS))
-    every = stored(_tile_links(small, classes, percent), "links")
     large = stored(large, "large")
     if large.isEmpty():
-        return every
+        return stored(_tile_links(grouped, classes, percent), "links")
     # a group of many classes: join what hangs on leaders first, then look at the buckets that are still split
-    met = met.join(large, "cid")
+    met = stored(met.join(large, "cid"), "met-large")
     led = stored(_leader_links(met, classes, percent), "led")
-    every = every.unionByName(led)
     component = connected_components(large.select("cid"), led, "cid", "a", "b").withColumnRenamed("component", "comp")
     met = met.drop("grp").join(component, "cid")
     split = met.groupBy("bucket").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p < q").select("bucket")
     met = stored(met.join(split, "bucket", "left_semi"), "split")
-    grouped = stored(_groups(met), "candidates")
-    met = met.join(grouped, "cid")
+    regrouped = stored(_groups(met), "candidates")
+    met = met.join(regrouped, "cid")
     pairs = met.groupBy("grp", "bucket").agg(F.count("*").alias("n")).groupBy("grp").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("rows"))
-    cost = grouped.groupBy("grp").agg(F.count("*").alias("g")).join(pairs, "grp")
+    cost = regrouped.groupBy("grp").agg(F.count("*").alias("g")).join(pairs, "grp")
     dense = (F.col("g") <= TILE_ROWS) | (F.col("rows") > TILE_COST * F.col("g") * (F.col("g") - 1) / 2)
     cost = stored(cost.select("grp", dense.alias("dense")), "cost")
-    tiled = grouped.join(cost.filter("dense"), "grp", "left_semi")
+    tiled = stored(small.unionByName(regrouped.join(cost.filter("dense"), "grp", "left_semi")), "tiled")
     paired = met.join(cost.filter("NOT dense"), "grp", "left_semi")
-    return stored(every.unionByName(_tile_links(tiled, classes, percent)).unionByName(_pair_links(paired, classes, percent)), "links")
+    every = led.unionByName(_tile_links(tiled, classes, percent)).unionByName(_pair_links(paired, classes, percent))
+    return stored(every, "links")
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, sets=None, by_length: bool = False) -> DataFrame:

@@ -79,6 +79,20 @@ def test_jaccard_components_match_brute_force(spark, seed, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+@pytest.mark.parametrize("tile,cost", [(3, 0.0), (3, 1e9), (2, 0.05)])
+def test_jaccard_large_groups_by_leaders_tiles_and_pairs(spark, monkeypatch, tile, cost):
+    """Groups above the tile size: tiles of blocks (cost 0), pairs of a bucket (cost high)."""
+    monkeypatch.setattr(jaccard_join, "TILE_ROWS", tile)
+    monkeypatch.setattr(jaccard_join, "TILE_COST", cost)
+    monkeypatch.setattr(jaccard_join, "TILE_SHINGLES", 300)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    rows = [" ".join(edited(rng, base, rng.randint(0, 9))) for _ in range(70)] + [t for _, t in near_rows(5)[:60]]
+    rows = list(enumerate(rows))
+    got = jaccard_join.near_duplicate_groups(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute.components({i: brute.shingles(t) for i, t in rows})
+
+
 def test_jaccard_hot_groups_and_threshold(spark):
     rng = random.Random(9)
     base = [f"w{k}" for k in range(200)]
