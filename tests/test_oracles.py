@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from roadlens.plans.catalog import ORACLES, QUERIES
 from tools.oracle_check import digest, duck_connect, type_mismatches
 
 # a cross-section of every section of the inventory (the full list runs in tools/oracle_check.py)
@@ -39,7 +40,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_an_oracle_or_is_model_dependent():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(QUERIES) - set(ORACLES)
     assert missing <= {"train_regressor", "batch_predict", "geojson_features"}
 
 
