@@ -57,8 +57,9 @@ TILE_ROWS = 512
 TILE_SHINGLES = 1_000_000
 TILE_COLUMNS = 4096
 TILE_COST = 0.05
-#: Cost of reading an entry of an inverted list, against that of posting a row.
-SCAN_COST = 0.05
+#: Cost of comparing with an entry of an inverted list, against that of posting a row: lists are compared in tiles,
+#: by matrix products.
+SCAN_COST = 0.002
 
 
 
@@ -462,10 +463,10 @@ def links(classes: DataFrame, percent: int = PERCENT, by_length: bool = False) -
     if large.isEmpty():
         return stored(_tile_links(grouped, classes, percent), "links")
     # a group of many classes: join what hangs on leaders first, then look at the buckets that are still split
-    met = stored(met.join(large, "cid"), "met-large")
+    met = stored(met.join(large.select("cid"), "cid", "left_semi"), "met-large")
     led = stored(_leader_links(met, classes, percent), "led")
     component = connected_components(large.select("cid"), led, "cid", "a", "b").withColumnRenamed("component", "comp")
-    met = met.drop("grp").join(component, "cid")
+    met = met.join(component, "cid")
     split = met.groupBy("bucket").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p < q").select("bucket")
     met = stored(met.join(split, "bucket", "left_semi"), "split")
     regrouped = stored(_groups(met), "candidates")
