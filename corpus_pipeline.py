@@ -26,7 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the chunks of lines that the corpus has elsewhere.  A document that loses all its
     words (a copy, as a rule) goes."""
-    clean = line_dedup.dedup_lines(docs)
+    # kept before it is filtered: a filter on the text would be pushed below, and evaluate the rebuilding of texts anew
+    clean = stored(line_dedup.dedup_lines(docs), "clean-lines")
     emptied = (F.col("n_removed_chunks") > 0) & ~F.col("text").rlike(WORD)
     clean = clean.filter(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:
