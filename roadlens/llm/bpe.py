@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import whole_text
 
 #: Pieces remembered per generation and worker, and the longest piece remembered (characters).
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 LONGEST_REMEMBERED = 64
 #: Children per node of the segment tree.
 FAN = 32

@@ -49,7 +49,7 @@ PERCENT = 75
 CHUNK = 1_000_000
 BLOCK = 4_000_000
 #: Words whose hash a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 SUBSET = 2
 #: Classes and shingles of a block of a large group, shingles multiplied at once, and the cost of comparing a pair
 #: in a tile against that of a row of the pair join.
