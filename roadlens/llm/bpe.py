@@ -97,6 +97,7 @@ class Encoder:
         self.singles = [self.ranks[bytes((b,))] for b in range(256)]
         self.pairs = byte_pairs(self.ranks)
         self.find = regex.compile(pattern).findall
+        self.inner_space = regex.compile(r"(?<=\s) (?:\s|\Z)").search
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -127,11 +128,12 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if "  " in text:
-            # a run of white space is cut by what follows it: leave the text whole
+        if "  " in text or self.inner_space(text):
+            # a run of white space (of any kind) is cut by what follows it: leave the text whole
             return b"".join([self._piece(p) for p in self.find(text)])
-        # Elsewhere a match ends before every space that follows a word, so the parts that
-        # begin at single spaces can be encoded, and remembered, on their own.
+        # Elsewhere every space follows a word, or is the last of its run and so goes with the word
+        # behind it: a match ends before it, and the parts that begin at spaces can be encoded, and
+        # remembered, on their own.
         first, *words = text.split(" ")
         out = [self._part(first)] if first else []
         for word in words:

@@ -1,5 +1,6 @@
 """Byte-level BPE and token counts against tiktoken."""
 
+import base64
 import hashlib
 import random
 
@@ -34,6 +35,21 @@ def test_segment_tree_merges_like_the_library():
         assert list(memoryview(encoder.encode(text)).cast("i")) == REFERENCE.encode_ordinary(text), repr(text[:60])
 
 
+SPACED = [" \u00a0 \u00a0", "a \u00a0 \u00a0b", "\n \n", "a\n \nb", "a \n b", "\n b", "\t ", "x\t ", "x \n", "x ", " x", "\u3000 \u2003 ", "\u00a0 x", "\x1c \x1c", " "]
+
+
+def test_runs_of_white_space_with_lone_spaces_are_one_match():
+    encoder = bpe.Encoder(RAW, public_tokenizers.PATTERN)
+    merges = RANKS | {b"\n ": len(RANKS), b"\n \n": len(RANKS) + 1, b"\t ": len(RANKS) + 2}
+    raw = b"\n".join(base64.b64encode(t) + b" %d" % r for t, r in merges.items())
+    wider = bpe.Encoder(raw, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("wider", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+    rng = random.Random(6)
+    for text in SPACED + ["".join(rng.choice("ab \n\t\u00a0\u2003 ") for _ in range(rng.randint(1, 12))) for _ in range(2000)]:
+        assert list(memoryview(encoder.encode(text)).cast("i")) == REFERENCE.encode_ordinary(text), repr(text)
+        assert list(memoryview(wider.encode(text)).cast("i")) == library.encode_ordinary(text), repr(text)
+
+
 def test_remembered_generations_do_not_change_ids(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
     encoder = bpe.Encoder(RAW, public_tokenizers.PATTERN)
