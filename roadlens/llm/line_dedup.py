@@ -88,3 +88,39 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_removed_lines", count(F.aggregate("__lost", F.lit(0), lambda a, x: a + x["n_lines"])))
     rows = rows.withColumn("n_removed_chunks", F.when(F.col("__lost").isNull(), F.lit(0)).otherwise(F.size("__lost")).cast("long"))
     return rows.withColumn("text", F.col("__text")).select(*[F.col(f"`{c}`") for c in columns], "n_lines", "n_removed_lines", "n_removed_chunks")
+
+
+def _pairs(docs: DataFrame) -> DataFrame:
+    """(__id, __th, __no, __digest): every two neighbouring lines with a word, by the number of the first."""
+    lined = docs.select("doc_id", "text").filter("text IS NOT NULL").select(*_row_key(), F.split("text", "\n", -1).alias("__lines")).filter(F.size("__lines") > 1)
+    body = lambda i: F.concat(F.get("__lines", i), F.lit("\n"), F.get("__lines", i + 1))
+    digest = lambda i: F.when(body(i).rlike(WORD), F.unhex(F.substring(F.sha2(body(i), 256), 1, 32)))
+    digests = F.transform(F.sequence(F.lit(0), F.size("__lines") - 2), digest)
+    return lined.select("__id", "__th", F.posexplode(digests).alias("__no", "__digest")).filter("__digest IS NOT NULL")
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """docs with ``text`` freed of every run of two or more lines that an earlier place has, + ``n_lines,
+    n_removed_lines, n_removed_passages`` (long).
+
+    A line goes if it and a neighbour, with a word in them, stand together at an earlier place (id, then
+    line) as well, whatever surrounds them; so passages of any length go whole, edges included, and every
+    line's own first place stays.  Two lines are equal if 128 bits of their SHA-256 are."""
+    made = {"n_lines", "n_removed_lines", "n_removed_passages"}
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
+    columns = docs.columns
+    places = stored(_pairs(docs), "pairs")
+    twice = places.groupBy("__digest").agg(F.count("*").alias("__n"), F.min(F.struct("__id", "__th", "__no")).alias("__first")).filter("__n > 1")
+    lost = places.join(twice, "__digest").filter(F.struct("__id", "__th", "__no") != F.col("__first"))
+    lost = lost.groupBy(F.col("__id").alias("__li"), F.col("__th").alias("__lt")).agg(F.collect_set("__no").alias("__lost"))
+    rows = docs.select("*", *_row_key()).join(lost, (F.col("__id") == F.col("__li")) & (F.col("__th") == F.col("__lt")), "left")
+    rows = rows.withColumn("__lines", F.split("text", "\n", -1))
+    rows = rows.withColumn("__gone", F.array_union("__lost", F.transform("__lost", lambda i: i + 1)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    left = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
+    count = lambda c: F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
+    rows = rows.withColumn("__text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
+    rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long"))
+    rows = rows.withColumn("n_removed_lines", count(F.col("__gone")))
+    rows = rows.withColumn("n_removed_passages", count(F.array_except("__gone", F.transform("__gone", lambda i: i + 1))))
+    return rows.withColumn("text", F.col("__text")).select(*[F.col(f"`{c}`") for c in columns], "n_lines", "n_removed_lines", "n_removed_passages")

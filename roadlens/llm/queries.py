@@ -130,6 +130,32 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+_PASSAGES_SQL = rf"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+p AS (SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS body FROM l),
+q AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) > 1 AS repeat
+  FROM p WHERE body IS NOT NULL AND regexp_matches(body, {_WORDS})),
+g AS (SELECT DISTINCT doc_id, i + k AS i FROM q, (SELECT unnest([0, 1]) AS k) WHERE repeat),
+m AS (SELECT l.*, g.i IS NOT NULL AS gone FROM l LEFT JOIN g USING (doc_id, i)),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM m),
+a AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept, count(*) AS n_lines,
+         count(*) FILTER (WHERE gone) AS n_removed_lines, count(*) FILTER (WHERE opens) AS n_removed_passages
+  FROM e GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines,
+       coalesce(n_removed_lines, 0)::BIGINT AS n_removed_lines, coalesce(n_removed_passages, 0)::BIGINT AS n_removed_passages
+FROM documents LEFT JOIN a USING (doc_id)
+"""
+
+
+@_query("passage_dedup", _PASSAGES_SQL)
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @_query("op10_shards")
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))

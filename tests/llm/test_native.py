@@ -55,6 +55,45 @@ def test_line_dedup_repeated_rows_clashing_columns_and_empty(spark):
     assert empty.count() == 0 and "text" in empty.columns
 
 
+@pytest.mark.parametrize("n", [2, 3, 5])
+def test_passages_between_different_lines_go_whole(spark, n):
+    passage = "\n".join(f"line {k} of the shared passage" for k in range(n))
+    rows = [(i, f"head {i}\nown {i}\n{passage}\ntail {i}\nend {i}", "s") for i in range(4)] + [(9, None, "s"), (10, passage, "s"), (11, passage + "\n" + passage, "s"), (12, "one line only", "s"), (13, "one line only", "s")]
+    got = {r.doc_id: r for r in line_dedup.dedup_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[0].text == rows[0][1] and got[0].n_removed_lines == 0 and got[9].text is None
+    for i in (1, 2, 3):
+        assert got[i].text == f"head {i}\nown {i}\ntail {i}\nend {i}" and got[i].n_removed_lines == n and got[i].n_removed_passages == 1
+    assert got[10].text == got[11].text == "" and got[11].n_removed_lines == 2 * n
+    assert got[12].text == got[13].text == "one line only"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_match_brute_force_and_keep_every_line_once(spark, seed):
+    rows = random_lines(seed) + [(900, None, "a"), (901, "", "a"), (904, "x\n" * 4000 + "y", None)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    seen, want = set(), {}
+    for i, text, _ in rows:
+        lines, lost = (text or "").split("\n"), set()
+        for k, pair in enumerate(zip(lines, lines[1:])):
+            if brute.words("\n".join(pair)):
+                lost |= {k, k + 1} if pair in seen else set()
+                seen.add(pair)
+        want[i] = None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in lost)
+    assert got == want
+    every = lambda texts: {x for t in texts if t for x in t.split("\n") if brute.words(x)}
+    assert every(got.values()) == every(r[1] for r in rows)
+
+
+def test_passages_match_sql_on_documents(spark):
+    SF_SMALL = "/root/testdata/sf0.001"
+    from roadlens.llm import queries
+    from tools.oracle_check import duck_connect
+
+    want = duck_connect(SF_SMALL).execute(queries.ORACLES["passage_dedup"]).fetchall()
+    got = [tuple(r) for r in queries.QUERIES["passage_dedup"](spark, SF_SMALL).collect()]
+    assert sorted(got) == sorted(want) and sum(r[3] for r in got) > 0
+
+
 SIZED = "doc_id long, source string, size long"
 
 
