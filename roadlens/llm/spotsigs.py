@@ -201,7 +201,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     cuts = []
     if n_blocks > 1:
         fractions = [k / n_blocks for k in range(1, n_blocks)]
-        cuts = sorted(set(rows.agg(F.percentile_approx("__id", fractions, 100 * n_blocks)).first()[0]) - {first})
+        cuts = sorted(set(rows.agg(F.percentile_approx("__id", fractions, 100 * n_blocks)).first()[0] or []) - {first})
     bounds = np.array(cuts, np.int64)
     last = len(bounds)
 
