@@ -145,27 +145,48 @@ def drop_low_variance(df: DataFrame, protected: Sequence[str], leakage: dict[str
         per.select("column", reason.alias("reason")).filter(F.col("reason").isNotNull()))
 
 
-def train_regressor(train: DataFrame, features: Sequence[str], label: str, kind: str = "gbt", seed: int = 42):
-    """pyspark.ml pipeline: median imputation, vector assembly, gradient-boosted trees (or a
-    random forest / linear model). Returns the fitted PipelineModel."""
+def model_features(df: DataFrame, protected: Sequence[str], leakage: dict[str, str], target: str) -> tuple[list[str], list[str]]:
+    """(numeric, categorical) columns that ``drop_low_variance`` keeps; text columns that it names only
+    for not being numeric are the categorical ones."""
+    reasons = {r["column"]: r["reason"] for r in drop_low_variance(df, protected, leakage, target).collect()}
+    open_ = {c: t for c, t in df.dtypes if c != target and reasons.get(c, "non_numeric_model_feature") == "non_numeric_model_feature"}
+    return [c for c in open_ if c not in reasons], [c for c, t in open_.items() if c in reasons and t == "string"]
+
+
+def _model_columns(features: Sequence[str], categorical: Sequence[str]) -> list[Column]:
+    number = {c: F.col(c).cast("double") for c in features}
+    number = {c: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x) for c, x in number.items()}
+    return [x.alias(f"_f_{c}") for c, x in number.items()] + [F.col(c).cast("string").alias(f"_c_{c}") for c in categorical]
+
+
+def train_regressor(train: DataFrame, features: Sequence[str], label: str, kind: str = "gbt", seed: int = 42, categorical: Sequence[str] = ()):
+    """pyspark.ml pipeline: median imputation of numbers, most frequent value (lowest on ties) and one-hot for
+    categorical columns (unseen values get no column), vector assembly, gradient-boosted trees (or a random
+    forest / linear model). Returns the fitted PipelineModel."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
-    cols = list(features)
-    casted = [f"_f_{c}" for c in cols]
-    stages = [Imputer(inputCols=casted, outputCols=[f"{c}_i" for c in casted], strategy="median"),
-              VectorAssembler(inputCols=[f"{c}_i" for c in casted], outputCol="features", handleInvalid="keep")]
+    data = train.select(*_model_columns(features, categorical), F.col(label).cast("double").alias(label)).filter(F.col(label).isNotNull())
+    casted = [f"_f_{c}" for c in features]
+    stages = [Imputer(inputCols=casted, outputCols=[f"{c}_i" for c in casted], strategy="median")]
+    texts = [f"_c_{c}" for c in categorical]
+    if texts:
+        modes = data.agg(*[F.mode(F.col(f"`{c}`"), True).alias(c) for c in texts]).first().asDict()
+        quoted = {c: "'" + (m or "").replace("\\", "\\\\").replace("'", "\\'") + "'" for c, m in modes.items()}
+        stages += [SQLTransformer(statement="SELECT *, " + ", ".join(f"coalesce(`{c}`, {quoted[c]}) AS `{c}_m`" for c in texts) + " FROM __THIS__"),
+                   StringIndexer(inputCols=[f"{c}_m" for c in texts], outputCols=[f"{c}_n" for c in texts], handleInvalid="keep"),
+                   OneHotEncoder(inputCols=[f"{c}_n" for c in texts], outputCols=[f"{c}_h" for c in texts])]
+    stages.append(VectorAssembler(inputCols=[f"{c}_i" for c in casted] + [f"{c}_h" for c in texts], outputCol="features", handleInvalid="keep"))
     if kind == "gbt":
         stages.append(GBTRegressor(featuresCol="features", labelCol=label, maxIter=30, maxDepth=5, seed=seed))
     elif kind == "rf":
         stages.append(RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=50, seed=seed))
     else:
         stages.append(LinearRegression(featuresCol="features", labelCol=label))
-    data = train.select(*[F.col(c).cast("double").alias(f"_f_{c}") for c in cols], F.col(label).cast("double").alias(label))
-    return Pipeline(stages=stages).fit(data.filter(F.col(label).isNotNull()))
+    return Pipeline(stages=stages).fit(data)
 
 
-def batch_predict(model, rows: DataFrame, features: Sequence[str], keep: Sequence[str], out: str = "predicted_speed") -> DataFrame:
-    data = rows.select(*keep, *[F.col(c).cast("double").alias(f"_f_{c}") for c in features])
+def batch_predict(model, rows: DataFrame, features: Sequence[str], keep: Sequence[str], out: str = "predicted_speed", categorical: Sequence[str] = ()) -> DataFrame:
+    data = rows.select(*keep, *_model_columns(features, categorical))
     return model.transform(data).select(*keep, F.col("prediction").alias(out))
