@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, line_dedup, mixing, quality_classifier, quality_rules, sharding, spotsigs, token_counts, toxicity
+from . import bpe, jaccard_join, line_dedup, mixing, periodic_runs, quality_classifier, quality_rules, sharding, spotsigs, token_counts, toxicity
 from .common import stored, table, word_count
 
 QUERIES: dict = {}
@@ -248,3 +250,26 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ratings = table(spark, sf_dir, "labels").dropna(subset=["quality", "toxic"]).select("doc_id", F.expr(GRADE).alias("grade"))
     return quality_classifier.grade(docs, quality_classifier.train(docs, ratings, n_grades=3)).drop("text")
+
+
+def echo_tail(key: str | None, words: list) -> list:
+    """Words whose tail repeats, for one id in ten (by the checksum of its digits); others, and rows without an id, as they are."""
+    h = 1 if key is None else zlib.crc32(key.encode())
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    unit = words[a : a + 1 + (n - a) // (3 + g % 8)]
+    return words[:a] + (unit * -(-(n - a) // len(unit)))[: n - a]
+
+
+@_query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), echo_tail).drop("text")
+    best = [F.col(f"strongest.{c}").alias(c) for c in ("start", "length", "period")]
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *best,
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
