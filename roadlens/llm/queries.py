@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, line_dedup, mixing, periodic_runs, quality_classifier, quality_rules, sharding, spotsigs, token_counts, toxicity
+from . import bpe, collocations, jaccard_join, line_dedup, mixing, periodic_runs, quality_classifier, quality_rules, sharding, spotsigs, token_counts, toxicity
 from .common import stored, table, word_count
 
 QUERIES: dict = {}
@@ -273,3 +273,37 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+_OP12_SQL = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest(range(1, {collocations.LONGEST + 1})) AS k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+q AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= {collocations.LEAST}),
+inner_ AS (
+  SELECT lang, array_to_string(ws[s:s + m - 1], ' ') AS phrase, f
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS m FROM q))),
+around AS (SELECT lang, phrase, max(f) AS m FROM inner_ GROUP BY ALL),
+c AS (SELECT q.* FROM q LEFT JOIN around USING (lang, phrase) WHERE around.m IS NULL OR 100 * around.m < 100 * q.f),
+cut AS (SELECT *, unnest(range(1, k)) AS cut_at FROM c),
+s AS (
+  SELECT cut.lang, cut.phrase, cut.f AS a, cut_at, x.f AS l, y.f AS r, t.n, (1000::HUGEINT * cut.f * t.n) // (x.f::HUGEINT * y.f) AS score
+  FROM cut JOIN t ON t.lang = cut.lang
+  JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(ws[1:cut_at], ' ')
+  JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(ws[cut_at + 1:], ' ')),
+least AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut_at) = 1)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+  FROM least) WHERE rank <= {collocations.TOP}
+"""
+
+
+@_query("op12_collocations", _OP12_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
