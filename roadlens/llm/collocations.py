@@ -45,14 +45,14 @@ _TABLE = bytes(0xFF if chr(b) in SEPARATORS else 0x20 if b == 9 else b for b in
 
 _BLOCK = T.StructType([
     T.StructField("lang", T.StringType()),
+    T.StructField("n", T.LongType()),  # occurrences
     T.StructField("at", T.BinaryType()),  # int32 by position: number in the dictionary from 1, or 0
     T.StructField("words", T.BinaryType()),  # of the dictionary, joined by spaces; words only
-    T.StructField("codes", T.BinaryType()),
-    T.StructField("lefts", T.BinaryType()),  # names of the two parts; phrases only
-    T.StructField("rights", T.BinaryType()),
-    T.StructField("counts", T.BinaryType()),
+    T.StructField("lefts", T.BinaryType()),  # names of a phrase's two parts; the name itself of a word
+    T.StructField("rights", T.BinaryType()),  # phrases only
+    T.StructField("counts", T.BinaryType()),  # int32
 ])
-_BLOCK_ARROW = pa.schema([("lang", pa.string()), *[(c, pa.binary()) for c in _BLOCK.names[1:]]])
+_BLOCK_ARROW = pa.schema([("lang", pa.string()), ("n", pa.int64()), *[(c, pa.binary()) for c in _BLOCK.names[2:]]])
 
 
 class _Numbers(dict):
@@ -76,7 +76,7 @@ def _word_block(lang: str, numbers: _Numbers, parts: list) -> pa.RecordBatch:
     seed = zlib.crc32(lang.encode())
     codes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
     counts = np.bincount(at, minlength=len(numbers))[1:]
-    return _block(lang=lang, at=at.tobytes(), words=b" ".join(words), codes=codes.tobytes(), counts=counts.astype(np.int64).tobytes())
+    return _block(lang=lang, n=int(counts.sum()), at=at.tobytes(), words=b" ".join(words), lefts=codes.tobytes(), counts=counts.astype(np.int32).tobytes())
 
 
 def _portions(words: list):
@@ -110,8 +110,11 @@ def _tokenize(batches):
         yield _word_block(name, known, made)
 
 
-def _u64(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint64)
+def _cells(batch, kinds: dict):
+    """Rows of a batch as arrays over its buffers (None for a null)."""
+    columns = [(batch.column(batch.schema.get_field_index(c)), kind) for c, kind in kinds.items()]
+    for i in range(batch.num_rows):
+        yield [np.frombuffer(c[i].as_buffer(), kind) if c[i].is_valid else None for c, kind in columns]
 
 
 def _name(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -121,18 +124,27 @@ def _name(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_DICTIONARY = {"lefts": np.uint64, "rights": np.uint64}
+
+
+def _names(lefts, rights) -> np.ndarray:
+    return lefts if rights is None else _name(lefts, rights)
+
+
+def _found_in(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    slots = codes & np.uint64(64 * len(bits) - 1)
+    return ((bits[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def _extend(bits):
     """Blocks of k-word phrases -> blocks of (k + 1)-word phrases: semi-join with the bitmap, merge-join of neighbours."""
 
     def run(batches):
-        frequent = bits.value
         for batch in batches:
-            for row in batch.to_pylist():
-                codes = _u64(row["codes"])
-                slots = codes & np.uint64(SLOTS - 1)
-                keep = (frequent[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1)
-                at = np.frombuffer(row["at"], np.int32)
-                at = np.where(np.concatenate([[False], keep.astype(bool)])[at], at, 0)
+            langs = batch.column(0).to_pylist()
+            for lang, (at, lefts, rights) in zip(langs, _cells(batch, {"at": np.int32, **_DICTIONARY})):
+                codes = _names(lefts, rights)
+                at = np.where(np.concatenate([[False], _found_in(bits.value, codes)])[at], at, 0)
                 here = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
                 if not len(here):
                     continue
@@ -140,44 +152,62 @@ def _extend(bits):
                 pairs, number, counts = np.unique(at[here].astype(np.int64) * width + at[here + 1], return_inverse=True, return_counts=True)
                 longer = np.zeros(len(at), np.int32)
                 longer[here] = number + 1
-                left, right = codes[pairs // width - 1], codes[pairs % width - 1]
-                yield _block(lang=row["lang"], at=longer.tobytes(), codes=_name(left, right).tobytes(), lefts=left.tobytes(), rights=right.tobytes(), counts=counts.astype(np.int64).tobytes())
+                yield _block(
+                    lang=lang, n=len(here), at=longer.tobytes(), lefts=codes[pairs // width - 1].tobytes(), rights=codes[pairs % width - 1].tobytes(),
+                    counts=counts.astype(np.int32).tobytes(),
+                )
 
     return run
 
 
 _WORD_ARROW = pa.schema([("lang", pa.string()), ("word", pa.string()), ("code", pa.int64()), ("n", pa.int64())])
-_PHRASE_ARROW = pa.schema([("code", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
+_COUNT_ARROW = pa.schema([("code", pa.int64()), ("n", pa.int64())])
+_PART_ARROW = pa.schema([("code", pa.int64()), ("left", pa.int64()), ("right", pa.int64())])
+
+
+def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def _word_counts(batches):
     for batch in batches:
-        for row in batch.to_pylist():
-            words = row["words"].decode().split(" ") if row["words"] else []
-            columns = [[row["lang"]] * len(words), words, np.frombuffer(row["codes"], np.int64), np.frombuffer(row["counts"], np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _WORD_ARROW)], schema=_WORD_ARROW)
+        langs = batch.column(0).to_pylist()
+        for lang, (words, codes, counts) in zip(langs, _cells(batch, {"words": np.uint8, "lefts": np.int64, "counts": np.int32})):
+            words = words.tobytes().decode().split(" ") if len(words) else []
+            yield _batch(_WORD_ARROW, [lang] * len(words), words, codes, counts.astype(np.int64))
 
 
-def _combined(held: list) -> pa.RecordBatch:
-    code, left, right, n = (np.concatenate(c) for c in zip(*held))
-    order = np.argsort(code, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0]))
-    rows = order[first]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (code[rows], left[rows], right[rows], np.add.reduceat(n[order], first))], schema=_PHRASE_ARROW)
+def _combined(codes: list, counts: list) -> pa.RecordBatch:
+    code, number = np.unique(np.concatenate(codes), return_inverse=True)
+    return _batch(_COUNT_ARROW, code.view(np.int64), np.bincount(number, weights=np.concatenate(counts)).astype(np.int64))
 
 
 def _phrase_counts(batches):
     """Counts of blocks, combined in the task, some blocks at a time."""
-    held, size = [], 0
+    codes, counts, size = [], [], 0
     for batch in batches:
-        for row in batch.to_pylist():
-            held.append([np.frombuffer(row[c], np.int64) for c in ("codes", "lefts", "rights", "counts")])
-            size += len(held[-1][0])
-            if size >= 4 * CHUNK:
-                yield _combined(held)
-                held, size = [], 0
-    if held:
-        yield _combined(held)
+        for lefts, rights, n in _cells(batch, {**_DICTIONARY, "counts": np.int32}):
+            codes.append(_names(lefts, rights))
+            counts.append(n.copy())
+            size += len(n)
+            if size >= 2 * CHUNK:
+                yield _combined(codes, counts)
+                codes, counts, size = [], [], 0
+    if codes:
+        yield _combined(codes, counts)
+
+
+def _parts(bits):
+    """The parts of the frequent phrases of blocks."""
+
+    def run(batches):
+        for batch in batches:
+            for lefts, rights in _cells(batch, _DICTIONARY):
+                codes = _names(lefts, rights)
+                keep = _found_in(bits.value, codes)
+                yield _batch(_PART_ARROW, codes[keep].view(np.int64), lefts[keep].view(np.int64), rights[keep].view(np.int64))
+
+    return run
 
 
 def _relation(rows: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -208,26 +238,29 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole_text().cast("binary").alias("text"))
     relation, path = _relation(rows.mapInArrow(_tokenize, _BLOCK), "occurrences-1")
-    words = relation.select("lang", "words", "codes", "counts").mapInArrow(_word_counts, "lang string, word string, code long, n long")
-    words = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("f"), F.min("code").alias("code")), "words")
-    total = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    total = stored(relation.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    words = relation.select("lang", "words", "lefts", "counts").mapInArrow(_word_counts, "lang string, word string, code long, n long")
+    words = words.groupBy("lang", "word").agg(F.sum("n").alias("f"), F.min("code").alias("code")).filter(F.col("f") >= least)
     none = F.lit(None).cast("long")
-    level = words.filter(F.col("f") >= least).select("lang", F.lit(1).alias("k"), F.col("word").alias("phrase"), "f", "code", none.alias("left"), none.alias("right"))
-    level = stored(level, "phrases-1")
+    level = stored(words.select("lang", F.lit(1).alias("k"), F.col("word").alias("phrase"), "f", "code", none.alias("left"), none.alias("right")), "phrases-1")
+    bits = _bitmap(spark, level)
     every = level
     for k in range(2, longest + 1):
-        bits = _bitmap(spark, level)
-        longer, longer_path = _relation(relation.select("lang", "at", "codes").mapInArrow(_extend(bits), _BLOCK), f"occurrences-{k}")
+        longer, longer_path = _relation(relation.select("lang", "at", "lefts", "rights").mapInArrow(_extend(bits), _BLOCK), f"occurrences-{k}")
         _remove(spark, path)
+        bits.unpersist()
         relation, path = longer, longer_path
-        counts = relation.select("codes", "lefts", "rights", "counts").mapInArrow(_phrase_counts, "code long, left long, right long, n long")
-        found = counts.groupBy("code").agg(F.sum("n").alias("f"), F.min("left").alias("left"), F.min("right").alias("right")).filter(F.col("f") >= least)
+        counts = relation.select("lefts", "rights", "counts").mapInArrow(_phrase_counts, "code long, n long")
+        groups = stored(counts.groupBy("code").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), f"groups-{k}")
+        bits = _bitmap(spark, groups)
+        parts = relation.select("lefts", "rights").mapInArrow(_parts(bits), "code long, left long, right long")
+        parts = parts.groupBy("code").agg(F.min("left").alias("left"), F.min("right").alias("right"))
         x = level.select(F.col("code").alias("left"), "lang", F.col("phrase").alias("head"))
         y = level.select(F.col("code").alias("right"), F.substring_index("phrase", " ", -1).alias("tail"))
-        found = found.join(x, "left").join(y, "right")
+        found = groups.join(parts, "code").join(x, "left").join(y, "right")
         level = stored(found.select("lang", F.lit(k).alias("k"), F.concat_ws(" ", "head", "tail").alias("phrase"), "f", "code", "left", "right"), f"phrases-{k}")
-        bits.unpersist()
         every = every.unionByName(level)
+    bits.unpersist()
     _remove(spark, path)
     return total, every
 

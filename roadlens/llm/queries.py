@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, jaccard_join, line_dedup, mixing, periodic_runs, quality_classifier, quality_rules, sharding, spotsigs, token_counts, toxicity
+from . import bpe, collocations, jaccard_join, line_dedup, lsh_forest, mixing, periodic_runs, quality_classifier, quality_rules, sharding, spotsigs, token_counts, toxicity
 from .common import stored, table, word_count
 
 QUERIES: dict = {}
@@ -189,18 +189,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _components_sql(docs: str = "documents") -> str:
+def _components_sql(docs: str = "documents", width: int = jaccard_join.WIDTH, percent: int = jaccard_join.PERCENT) -> str:
     return rf"""
 w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_WORDS}) AS ws FROM {docs}),
 sh AS (
-  SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {jaccard_join.WIDTH} THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - {jaccard_join.WIDTH - 2}), lambda i: array_to_string(ws[i:i + {jaccard_join.WIDTH - 1}], ' '))) END) AS g
+  SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - {width - 2}), lambda i: array_to_string(ws[i:i + {width - 1}], ' '))) END) AS g
   FROM w),
 sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 link AS (
   SELECT x, y FROM common JOIN sz p ON p.doc_id = x JOIN sz q ON q.doc_id = y
-  WHERE 100 * k >= {jaccard_join.PERCENT} * (p.n + q.n - k)),
+  WHERE 100 * k >= {percent} * (p.n + q.n - k)),
 edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach AS (
   SELECT DISTINCT x AS doc_id, x AS seen FROM edge
@@ -307,3 +307,15 @@ SELECT * FROM (
 @_query("op12_collocations", _OP12_SQL)
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+_OP11_SQL = f"""
+WITH RECURSIVE {_components_sql("documents", lsh_forest.WIDTH, lsh_forest.PERCENT)}
+SELECT d.doc_id, coalesce(any_value(sz.n), 0)::BIGINT AS n_shingles, coalesce(min(r.seen), d.doc_id) AS component_id, d.doc_id = coalesce(min(r.seen), d.doc_id) AS kept
+FROM documents d LEFT JOIN sz USING (doc_id) LEFT JOIN reach r USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+@_query("op11_lsh_forest", _OP11_SQL)
+def op11_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
