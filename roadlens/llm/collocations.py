@@ -40,6 +40,8 @@ CHUNK = 1 << 18
 SLOTS = 1 << 27
 #: Parts that a language's candidates are ranked in before they are ranked as a whole.
 RANK_PARTS = 64
+#: A block tells the parts of one in so many of its phrases, at first.
+SHARE = 32
 _GAP = b"\xff"  # in no UTF-8 text
 _TABLE = bytes(0xFF if chr(b) in SEPARATORS else 0x20 if b == 9 else b for b in range(256))
 
@@ -197,19 +199,36 @@ def _phrase_counts(batches):
         yield _combined(codes, counts)
 
 
-def _parts(bits):
-    """The parts of the frequent phrases of blocks."""
+def _parts(bits, share: int):
+    """The parts of the frequent phrases of blocks; a block tells those of one phrase in ``share``, each block others."""
 
     def run(batches):
         for batch in batches:
             for lefts, rights in _cells(batch, _DICTIONARY):
                 codes = _names(lefts, rights)
-                keep = _found_in(bits.value, codes)
+                turn = (codes ^ codes[0]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+                keep = _found_in(bits.value, codes) & (turn % np.uint64(share) == 0)
                 yield _batch(_PART_ARROW, codes[keep].view(np.int64), lefts[keep].view(np.int64), rights[keep].view(np.int64))
 
     return run
 
 
+def _parts_of(relation: DataFrame, groups: DataFrame, bits) -> DataFrame:
+    """(code, left, right) of every frequent group.  A phrase is in many blocks and one tells enough: first each block tells a share
+    of its phrases, then all tell those that none has told yet."""
+    spark = relation.sparkSession
+    told = lambda b, share: relation.select("lefts", "rights").mapInArrow(_parts(b, share), "code long, left long, right long")
+    once = lambda df: df.groupBy("code").agg(F.min("left").alias("left"), F.min("right").alias("right"))
+    first = stored(groups.select("code").join(once(told(bits, SHARE)), "code"), "parts")
+    rest = stored(groups.select("code").join(first, "code", "left_anti"), "parts-open")
+    if rest.isEmpty():
+        return first
+    left_over = _bitmap(spark, rest)
+    second = stored(rest.join(once(told(left_over, 1)), "code"), "parts-rest")
+    left_over.unpersist()
+    return first.unionByName(second)
+
+
 def _relation(rows: DataFrame, label: str) -> tuple[DataFrame, str]:
     """A relation stored sorted, in small row groups, since a row is a whole block."""
     path = scratch_path(rows.sparkSession, label)
@@ -253,8 +272,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         counts = relation.select("lefts", "rights", "counts").mapInArrow(_phrase_counts, "code long, n long")
         groups = stored(counts.groupBy("code").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), f"groups-{k}")
         bits = _bitmap(spark, groups)
-        parts = relation.select("lefts", "rights").mapInArrow(_parts(bits), "code long, left long, right long")
-        parts = parts.groupBy("code").agg(F.min("left").alias("left"), F.min("right").alias("right"))
+        parts = _parts_of(relation, groups, bits)
         x = level.select(F.col("code").alias("left"), "lang", F.col("phrase").alias("head"))
         y = level.select(F.col("code").alias("right"), F.substring_index("phrase", " ", -1).alias("tail"))
         found = groups.join(parts, "code").join(x, "left").join(y, "right")
