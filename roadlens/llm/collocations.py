@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path, stored, whole_text
+from .common import SLOTS, bitmap_filter, in_bitmap, scratch_path, stored, whole_text
 
 #: Characters that end a piece.
 SEPARATORS = ".,;:!?\n\x0b\x0c\r"
@@ -37,7 +37,6 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 CHUNK = 1 << 18
-SLOTS = 1 << 27
 #: Parts that a language's candidates are ranked in before they are ranked as a whole.
 RANK_PARTS = 64
 #: A block tells the parts of one in so many of its phrases, at first.
@@ -133,11 +132,6 @@ def _names(lefts, rights) -> np.ndarray:
     return lefts if rights is None else _name(lefts, rights)
 
 
-def _found_in(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    slots = codes & np.uint64(64 * len(bits) - 1)
-    return ((bits[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1)).astype(bool)
-
-
 def _extend(bits):
     """Blocks of k-word phrases -> blocks of (k + 1)-word phrases: semi-join with the bitmap, merge-join of neighbours."""
 
@@ -146,7 +140,7 @@ def _extend(bits):
             langs = batch.column(0).to_pylist()
             for lang, (at, lefts, rights) in zip(langs, _cells(batch, {"at": np.int32, **_DICTIONARY})):
                 codes = _names(lefts, rights)
-                at = np.where(np.concatenate([[False], _found_in(bits.value, codes)])[at], at, 0)
+                at = np.where(np.concatenate([[False], in_bitmap(bits.value, codes)])[at], at, 0)
                 here = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
                 if not len(here):
                     continue
@@ -207,7 +201,7 @@ def _parts(bits, share: int):
             for lefts, rights in _cells(batch, _DICTIONARY):
                 codes = _names(lefts, rights)
                 turn = (codes ^ codes[0]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-                keep = _found_in(bits.value, codes) & (turn % np.uint64(share) == 0)
+                keep = in_bitmap(bits.value, codes) & (turn % np.uint64(share) == 0)
                 yield _batch(_PART_ARROW, codes[keep].view(np.int64), lefts[keep].view(np.int64), rights[keep].view(np.int64))
 
     return run
@@ -216,14 +210,13 @@ def _parts(bits, share: int):
 def _parts_of(relation: DataFrame, groups: DataFrame, bits) -> DataFrame:
     """(code, left, right) of every frequent group.  A phrase is in many blocks and one tells enough: first each block tells a share
     of its phrases, then all tell those that none has told yet."""
-    spark = relation.sparkSession
     told = lambda b, share: relation.select("lefts", "rights").mapInArrow(_parts(b, share), "code long, left long, right long")
     once = lambda df: df.groupBy("code").agg(F.min("left").alias("left"), F.min("right").alias("right"))
     first = stored(groups.select("code").join(once(told(bits, SHARE)), "code"), "parts")
     rest = stored(groups.select("code").join(first, "code", "left_anti"), "parts-open")
     if rest.isEmpty():
         return first
-    left_over = _bitmap(spark, rest)
+    left_over = bitmap_filter(rest, "code", SLOTS)
     second = stored(rest.join(once(told(left_over, 1)), "code"), "parts-rest")
     left_over.unpersist()
     return first.unionByName(second)
@@ -242,15 +235,6 @@ def _remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _bitmap(spark: SparkSession, groups: DataFrame):
-    """The names of frequent groups as a broadcast bitmap of SLOTS bits; at most SLOTS / 64 rows reach the driver."""
-    words = groups.selectExpr(f"int(shiftright(pmod(code, {SLOTS}), 6)) AS w", "shiftleft(1L, int(pmod(code, 64L))) AS b")
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(SLOTS >> 6, np.uint64)
-    bits[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
-    return spark.sparkContext.broadcast(bits)
-
-
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """((lang, n) word occurrences of each language, (lang, k, phrase, f, code, left, right) of all phrases of 1 to ``longest`` words
     found ``least`` times or more)."""
@@ -262,7 +246,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     words = words.groupBy("lang", "word").agg(F.sum("n").alias("f"), F.min("code").alias("code")).filter(F.col("f") >= least)
     none = F.lit(None).cast("long")
     level = stored(words.select("lang", F.lit(1).alias("k"), F.col("word").alias("phrase"), "f", "code", none.alias("left"), none.alias("right")), "phrases-1")
-    bits = _bitmap(spark, level)
+    bits = bitmap_filter(level, "code", SLOTS)
     every = level
     for k in range(2, longest + 1):
         longer, longer_path = _relation(relation.select("lang", "at", "lefts", "rights").mapInArrow(_extend(bits), _BLOCK), f"occurrences-{k}")
@@ -271,7 +255,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         relation, path = longer, longer_path
         counts = relation.select("lefts", "rights", "counts").mapInArrow(_phrase_counts, "code long, n long")
         groups = stored(counts.groupBy("code").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), f"groups-{k}")
-        bits = _bitmap(spark, groups)
+        bits = bitmap_filter(groups, "code", SLOTS)
         parts = _parts_of(relation, groups, bits)
         x = level.select(F.col("code").alias("left"), "lang", F.col("phrase").alias("head"))
         y = level.select(F.col("code").alias("right"), F.substring_index("phrase", " ", -1).alias("tail"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,23 @@ def hash_unit(col: Column, seed: str) -> Column:
 def hash_bits(col: Column, hex_digits: int) -> Column:
     """The first hex digits of a string's MD5 as a long (15 at most, so that it stays positive)."""
     return F.conv(F.substring(F.md5(col), 1, hex_digits), 16, 10).cast("long")
+
+
+#: Bits of a bitmap filter: 16 MB, whatever the data.
+SLOTS = 1 << 27
+
+
+def bitmap_filter(rows: DataFrame, column: str, slots: int = SLOTS):
+    """A broadcast bitmap of the 64-bit hashes in ``column``: a Bloom filter with one hash, for semi-joins inside tasks that an exact
+    step follows.  At most slots / 64 rows reach the driver; a full bitmap only filters nothing."""
+    words = rows.selectExpr(f"int(shiftright(pmod(`{column}`, {slots}), 6)) AS w", f"shiftleft(1L, int(pmod(`{column}`, 64L))) AS b")
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(slots >> 6, np.uint64)
+    bits[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (uint64) may be among those of the bitmap; none that is gets lost."""
+    slots = hashes & np.uint64(64 * len(bits) - 1)
+    return ((bits[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1)).astype(bool)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from .common import stored, whole_text
+from .common import bitmap_filter, in_bitmap, stored, whole_text
 from .jaccard_join import Shingler, _spanning
 
 WIDTH = 3
@@ -52,10 +52,10 @@ _ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 3, 1 << 64) | 1 for k in range(
 _SHIFT = np.array([pow(0xD6E8FEB86659FD93, k + 2, 1 << 64) for k in range(TREES * DEPTH)], np.uint64)
 
 _SIGNED = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("th", T.LongType()), T.StructField("size", T.IntegerType()),
+    T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("size", T.IntegerType()),
     T.StructField("cid", T.BinaryType()), T.StructField("sig", T.BinaryType()),
 ])
-_SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("size", pa.int32()), ("cid", pa.binary()), ("sig", pa.binary())])
+_SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("size", pa.int32()), ("cid", pa.binary()), ("sig", pa.binary())])
 _SETS = T.StructType([T.StructField("cid", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 _SETS_ARROW = pa.schema([("cid", pa.binary()), ("size", pa.int32()), ("shingles", pa.list_(pa.int64()))])
 _LINK = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
@@ -90,24 +90,31 @@ def _sign(width: int):
     return run
 
 
-def _full_sets(width: int):
+def _full_sets(width: int, bits):
+    """(key, text) -> the classes and full sets of the texts whose key the bitmap has."""
+
     def run(batches):
         shingle = Shingler(width)
         for batch in batches:
-            sets = [shingle(_text(t)).view(np.int64) for t in batch.column(1)]
+            chosen = np.flatnonzero(in_bitmap(bits.value, batch.column(0).to_numpy().view(np.uint64)))
+            sets = [shingle(_text(batch.column(1)[k])) for k in chosen.tolist()]
+            sets = [s for s in sets if len(s)]
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int32()), lists], schema=_SETS_ARROW)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets or [np.empty(0, np.uint64)]).view(np.int64)))
+            cids = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([cids, pa.array(np.diff(ends), pa.int32()), lists], schema=_SETS_ARROW)
 
     return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("th"), whole_text().cast("binary").alias("text"))
+    """(doc_id, key, text): the key names a row by its id and text."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, whole_text()).alias("key"), whole_text().cast("binary").alias("text"))
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Step 1: (doc_id, th, size, cid, sig) of every row; cid and sig are null for empty sets."""
+    """Step 1: (doc_id, key, size, cid, sig) of every row; cid and sig are null for empty sets."""
     return stored(_keyed(docs).mapInArrow(_sign(width), _SIGNED), "signatures")
 
 
@@ -120,7 +127,8 @@ def regions(classes: DataFrame) -> DataFrame:
     places = places.select("cid", "tree", F.col("sig").substr(F.col("tree") * span + 1, F.lit(span)).alias("label"))
     places = stored(places.select(F.xxhash64("tree", prefix(LEAST_DEPTH)).alias("key"), "label", "cid"), "places")
     shared = stored(places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "regions")
-    places = stored(places.join(shared, "key"), "shared-places")
+    # sort-merged at every size: both sides grow with the corpus
+    places = stored(places.join(shared.hint("merge"), "key"), "shared-places")
     done = places.filter(F.col("n") <= REGION).select("key", F.col("key").alias("region"), "label", "cid")
     open_ = places.filter(F.col("n") > REGION).drop("n")
     for depth in range(LEAST_DEPTH + 1, DEPTH + 1):
@@ -154,7 +162,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     y = sets.select(F.col("cid").alias("b"), F.col("size").alias("sb"), F.col("shingles").alias("xb"))
     alike = 100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")
     common = F.size(F.array_intersect("xa", "xb"))
-    return pairs.join(x, "a").join(y, "b").filter(alike).filter(100 * common >= percent * (F.col("sa") + F.col("sb") - common)).select("a", "b")
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").filter(alike).filter(100 * common >= percent * (F.col("sa") + F.col("sb") - common)).select("a", "b")
 
 
 def _tile_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -187,14 +195,16 @@ def _tile_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, signed: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Steps 2 to 4: links (a, b) between classes whose components are those of all links found."""
-    # a class is read again from one of its rows, by id and text hash
-    classes = signed.filter("cid IS NOT NULL").groupBy("cid").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), "th")).alias("row"), F.min("sig").alias("sig"))
+    classes = signed.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("key").alias("key"), F.min("sig").alias("sig"))
     classes = stored(classes, "classes")
     places = stored(regions(classes.select("cid", "sig")), "shared")
-    wanted = stored(classes.select("cid", "row.i", "row.th").join(places.select("cid").distinct(), "cid", "left_semi"), "wanted")
-    texts = _keyed(docs).withColumn("i", F.coalesce("doc_id", F.lit(0))).join(wanted, ["i", "th"])
-    texts = texts.groupBy("cid").agg(F.min("text").alias("text"))
-    sets = stored(texts.mapInArrow(_full_sets(width), _SETS), "sets")
+    wanted = stored(classes.select("cid", "key").join(places.select("cid").distinct().hint("merge"), "cid", "left_semi"), "wanted")
+    # one row of each class is read again: a bitmap of their keys keeps the other texts from moving
+    bits = bitmap_filter(wanted, "key")
+    sets = _keyed(docs).select("key", "text").mapInArrow(_full_sets(width, bits), _SETS)
+    # rows that repeat, and the few that the bitmap lets through, are classes too: one row of each
+    sets = stored(sets.groupBy("cid").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles")), "sets")
+    bits.unpersist()
     near = stored(confirmed(stored(neighbours(places), "neighbours"), sets, percent), "near")
     component = connected_components(wanted.select("cid"), near, "cid", "a", "b").withColumnRenamed("component", "comp")
     met = places.select("key", "cid").join(component, "cid")
