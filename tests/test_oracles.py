@@ -4,7 +4,7 @@ driver's correctness gate compares them: row count, column names, order-free val
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from shared import SF_SMALL
 from roadlens.plans.catalog import ORACLES, QUERIES
 from tools.oracle_check import digest, duck_connect, type_mismatches
 

@@ -4,7 +4,7 @@ pruning / filter pushdown reach the Parquet scan."""
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from shared import SF_SMALL
 
 NO_CROSS = ["gold_features", "event_grid_join", "asof_weather_backward", "asof_weather_nearest", "snap_to_segment",
             "simhash_near_dups", "minhash_near_dups", "dbscan_labels", "fuzzy_event_groups"]
