@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import epoch_micros
+from .selection import exact_modes, exact_percentiles
 
 
 def _metric_aggs(y: Column, p: Column) -> list[Column]:
@@ -32,12 +33,10 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, group: Sequence[str] =
 
 
 def error_percentiles(df: DataFrame, y: str, yhat: str, group: Sequence[str] = ()) -> DataFrame:
-    e = df.filter(F.col(y).isNotNull() & F.col(yhat).isNotNull()).withColumn("_ae", F.abs(F.col(y) - F.col(yhat)))
-    p = F.percentile("_ae", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    aggs = [p.alias("_p"), F.max("_ae").alias("max_abs_error")]
-    out = e.groupBy(*group).agg(*aggs) if group else e.agg(*aggs)
-    return out.select(*group, F.col("_p")[0].alias("p50_abs_error"), F.col("_p")[1].alias("p90_abs_error"),
-                      F.col("_p")[2].alias("p95_abs_error"), "max_abs_error")
+    """Exact percentiles (interpolated) and maximum of the absolute error, by distributed selection: no group is sorted or gathered."""
+    e = df.filter(F.col(y).isNotNull() & F.col(yhat).isNotNull()).select(*group, F.abs(F.col(y) - F.col(yhat)).alias("_ae"))
+    names = ["p50_abs_error", "p90_abs_error", "p95_abs_error", "max_abs_error"]
+    return exact_percentiles(e, "_ae", (0.5, 0.9, 0.95, 1.0), group).select(*group, *[F.col(f"p{i}").alias(n) for i, n in enumerate(names)])
 
 
 def sliced_metrics(df: DataFrame, y: str, yhat: str, slices: Sequence[str]) -> DataFrame:
@@ -50,8 +49,9 @@ def sliced_metrics(df: DataFrame, y: str, yhat: str, slices: Sequence[str]) -> D
 def split_by_time_quantile(df: DataFrame, ts: str = "time_bucket", train_q: float = 0.7, valid_q: float = 0.85) -> DataFrame:
     """<= q.70 train, <= q.85 validation, else test; quantiles of time, linearly interpolated."""
     e = epoch_micros(ts)
-    q = df.select(F.percentile(e, F.array(F.lit(train_q), F.lit(valid_q))).alias("_q")).scalar()
-    return df.withColumn("split", F.when(e <= q[0], "train").when(e <= q[1], "validation").otherwise("test"))
+    q = exact_percentiles(df.select(e.alias("_e")), "_e", (train_q, valid_q)).first()
+    upto = lambda v: e <= F.lit(v).cast("double")
+    return df.withColumn("split", F.when(upto(q.p0), "train").when(upto(q.p1), "validation").otherwise("test"))
 
 
 def split_by_order(df: DataFrame, ts: str = "time_bucket", validation_fraction: float = 0.2) -> DataFrame:
@@ -68,9 +68,9 @@ def split_by_order(df: DataFrame, ts: str = "time_bucket", validation_fraction:
 def baseline_predictors(df: DataFrame, y: str, train_filter: Column) -> DataFrame:
     """Per-row predictions of the reference baselines: train mean/median, current speed,
     historical p50, lag 1, rolling means of 3 and 6 lags."""
-    stats = df.filter(train_filter).select(F.avg(y).alias("m"), F.percentile(F.col(y), F.lit(0.5)).alias("md"))
-    m = stats.select("m").scalar()
-    md = stats.select("md").scalar()
+    train = df.filter(train_filter)
+    m = train.select(F.avg(y)).scalar()
+    md = F.lit(exact_percentiles(train, y, (0.5,)).first().p0).cast("double")
     return df.withColumns({
         "pred_train_mean": m, "pred_train_median": md, "pred_current_speed": F.col("currentSpeed"),
         "pred_historical_p50": F.col("p50"), "pred_lag_1": F.col("speed_lag_1"),
@@ -90,11 +90,14 @@ def walk_forward(df: DataFrame, folds: Sequence[tuple[str, str]], y: str, ts: st
 
 
 def feature_reference_values(df: DataFrame, numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
-    """Median of numeric features (interpolated), most frequent value of text features (lowest on ties)."""
-    aggs = [F.percentile(F.col(c), F.lit(0.5)).cast("string").alias(c) for c in numeric]
-    aggs += [F.mode(F.col(c), True).cast("string").alias(c) for c in text]
-    one = df.agg(*aggs)
-    return one.unpivot([], list(numeric) + list(text), "feature", "reference_value")
+    """Median of numeric features (interpolated), most frequent value of text features (lowest on ties); null for a
+    feature without values.  Medians by distributed selection over all features at once, modes by combining counts."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot([], list(numeric), "feature", "_v")
+    found = exact_percentiles(long, "_v", (0.5,), ["feature"]).select("feature", F.col("p0").cast("string").alias("reference_value"))
+    if text:
+        found = found.unionByName(exact_modes(df, text).select(F.col("column").alias("feature"), F.col("value").alias("reference_value")))
+    names = df.sparkSession.createDataFrame([(c,) for c in [*numeric, *text]], "feature string")
+    return names.join(found, "feature", "left")
 
 
 def perturbation_attribution(df: DataFrame, id_col: str, weights: dict[str, float], intercept: float, reference: dict[str, float],

@@ -6,6 +6,7 @@ Vietnamese tables; tests pass rule tables that fit the driver's prose.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.timefn import col_
-from ..functions.traffic import CITY_CENTRES, haversine_km
+from ..functions.traffic import CITY_CENTRES, EARTH_RADIUS_KM, haversine_km
+from .components import materialize
 
 # Production rule tables.
 CATEGORY_RULES = [
@@ -379,22 +381,48 @@ def snap_confidence(dist: Column, location: Column, mirrors: Column | None = Non
 
 
 def snap_to_segment(events: DataFrame, segments: DataFrame, cell_deg: float = 0.01, max_km: float | None = None) -> DataFrame:
-    """Nearest segment (by haversine) for each event point, searched in the event's grid cell and
-    its 8 neighbours (equi-join on cell, no cross product). Events with no segment within the
-    3x3 cells get null; use ``cell_deg`` >= the largest snap distance of interest."""
-    cell = lambda la, lo: F.concat_ws(":", F.floor(la / cell_deg).cast("bigint"), F.floor(lo / cell_deg).cast("bigint"))
-    seg = segments.select(F.col("segment_id").alias("snapped_segment_id"), F.col("lat").alias("_s_lat"), F.col("lon").alias("_s_lon"))
-    seg = seg.withColumn("_cell", cell(F.col("_s_lat"), F.col("_s_lon")))
-    offs = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    ev = events.withColumn("_cell", F.explode(F.array(*[
-        F.concat_ws(":", (F.floor(F.col("lat") / cell_deg) + a).cast("bigint"), (F.floor(F.col("lon") / cell_deg) + b).cast("bigint"))
-        for a, b in offs])))
-    j = ev.join(seg, "_cell", "left")
-    j = j.withColumn("_d", haversine_km("lat", "lon", "_s_lat", "_s_lon") * 1000.0)
-    keys = [c for c in events.columns]
-    order = F.when(F.col("snapped_segment_id").isNotNull(), F.struct("_d", "snapped_segment_id"))
-    best = j.groupBy(*keys).agg(F.min_by(F.struct("snapped_segment_id", "_d"), order).alias("_b"))
-    out = best.select(*keys, F.col("_b.snapped_segment_id").alias("snapped_segment_id"), F.col("_b._d").alias("snap_distance_m"))
+    """Nearest segment (by haversine; on ties the least id) of each event point, whatever the distance.
+
+    Rings of cells: an event probes its cell and the 8 around it by an equi-join.  The best segment found is the
+    nearest one if it is no farther than the edge of the cells searched; other events go on to cells of twice the side, until none is
+    left or the cells hold the whole globe.  Cells wrap round at 180 degrees.  Events at one place are searched once.
+
+    Every row of ``events`` stays; an event without a position, or a table without segments, gives null.  ``max_km`` nulls ids
+    (not distances) beyond it."""
+    level = max(1, math.ceil(math.log2(360.0 / cell_deg)))
+    seg = segments.select(F.col("segment_id").alias("_id"), F.col("lat").cast("double").alias("_sy"), F.col("lon").cast("double").alias("_sx")).dropna()
+    points = events.select(F.col("lat").cast("double").alias("_y"), F.col("lon").cast("double").alias("_x")).dropna().distinct()
+    open_, found = materialize(points), None
+    while True:
+        side, n = 360.0 / 2**level, 2**level
+        row = lambda y: F.floor((y + 90.0) / side)
+        column = lambda x: F.pmod(F.floor((x + 180.0) / side), F.lit(n))
+        around = F.array(*[F.struct((row(F.col("_y")) + a).alias("r"), F.pmod(column(F.col("_x")) + b, F.lit(n)).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+        probe = open_.select("_y", "_x", F.explode(F.array_distinct(around)).alias("_cell")).select("_y", "_x", "_cell.r", "_cell.c")
+        met = probe.join(seg.select("*", row(F.col("_sy")).alias("r"), column(F.col("_sx")).alias("c")), ["r", "c"])
+        met = met.withColumn("_d", haversine_km("_y", "_x", "_sy", "_sx") * 1000.0)
+        best = met.groupBy("_y", "_x").agg(F.min(F.struct("_d", "_id")).alias("_b"))
+        best = open_.join(best, ["_y", "_x"], "left").select("_y", "_x", "_b")
+        if level == 1:  # three rows and two columns of 180 degrees: everything was searched
+            last = best.filter("_b IS NOT NULL")
+            found = last if found is None else found.unionByName(last)
+            break
+        # no point outside the cells is nearer than their edge; a meridian is nearest at another latitude than the event's
+        south, west = (row(F.col("_y")) - 1) * side - 90.0, (F.floor((F.col("_x") + 180.0) / side) - 1) * side - 180.0
+        dy = F.least(F.col("_y") - south, south + 3 * side - F.col("_y"))
+        dx = F.least(F.col("_x") - west, west + 3 * side - F.col("_x"), F.lit(90.0))
+        edge = F.least(F.radians(dy), F.asin(F.cos(F.radians("_y")) * F.sin(F.radians(dx)))) * (1000 * EARTH_RADIUS_KM * (1 - 1e-9))
+        best = materialize(best.withColumn("_done", F.coalesce(F.col("_b._d") <= edge, F.lit(False))))
+        done = best.filter("_done").select("_y", "_x", "_b")
+        found = done if found is None else found.unionByName(done)
+        open_ = best.filter("NOT _done").select("_y", "_x")
+        if open_.isEmpty():
+            break
+        level -= 1
+    near = found.select(F.col("_y").alias("_fy"), F.col("_x").alias("_fx"), F.col("_b._id").alias("snapped_segment_id"), F.col("_b._d").alias("snap_distance_m"))
+    at = (F.col("lat").cast("double") == F.col("_fy")) & (F.col("lon").cast("double") == F.col("_fx"))
+    kept = [F.col(f"`{c}`") for c in events.columns]
+    out = events.join(near, at, "left").select(*kept, "snapped_segment_id", "snap_distance_m")
     if max_km is not None:
         out = out.withColumn("snapped_segment_id", F.when(F.col("snap_distance_m") <= max_km * 1000, F.col("snapped_segment_id")))
     return out

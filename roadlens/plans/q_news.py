@@ -318,9 +318,7 @@ def q_snap_confidence(spark, sf):
 SELECT name, s.seg AS snapped_segment_id, s.d AS snap_distance_m FROM (
   SELECT g.name, arg_min(struct_pack(seg := x.segment_id, d := d.dm), struct_pack(d := d.dm, seg := x.segment_id))
     FILTER (WHERE x.segment_id IS NOT NULL) AS s
-  FROM gazetteer g LEFT JOIN (
-    SELECT segment_id, lat AS slat, lon AS slon FROM latest) x
-    ON abs(floor(x.slat / 1e-2) - floor(g.lat / 1e-2)) <= 1 AND abs(floor(x.slon / 1e-2) - floor(g.lon / 1e-2)) <= 1
+  FROM gazetteer g CROSS JOIN (SELECT segment_id, lat AS slat, lon AS slon FROM latest) x
   CROSS JOIN LATERAL (SELECT 2 * 6371e0 * asin(sqrt(pow(sin((radians(x.slat) - radians(g.lat)) / 2), 2)
       + cos(radians(g.lat)) * cos(radians(x.slat)) * pow(sin((radians(x.slon) - radians(g.lon)) / 2), 2))) * 1000e0 AS dm) d
   GROUP BY g.name) y""", "gazetteer", "latest"), ["snap_distance_m"]))
