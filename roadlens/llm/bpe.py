@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import itertools
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +126,11 @@ class Encoder:
             known = b"".join([self._piece(p) for p in pieces])
         return self._remember(part, known)
 
+    def rest(self) -> None:
+        """Between tasks only the younger generation stays, so that other work of the executor has room."""
+        self.old = {}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -178,12 +184,14 @@ class BPE:
         one Python worker (``decode(encode(...))`` has a worker for each)."""
         encoder, shared, key = self._encoder(), self._file, self._key
 
-        def both(texts: pa.Array) -> pa.Array:
-            encode = encoder().encode
-            ids = _lists([encode(t) for t in texts.to_pylist()])
-            return pa.StructArray.from_arrays([ids, _decode(ids, _worker_tokens(key, shared))], names=["ids", "decoded"])
+        def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            encoder_ = encoder()
+            for texts in batches:
+                ids = _lists([encoder_.encode(t) for t in texts.to_pylist()])
+                yield pa.StructArray.from_arrays([ids, _decode(ids, _worker_tokens(key, shared))], names=["ids", "decoded"])
+            encoder_.rest()
 
-        both.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        both.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
         return F.arrow_udf(both, kind).asNondeterministic()(whole_text(text))
 

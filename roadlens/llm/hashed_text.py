@@ -10,6 +10,7 @@ Arrow batches.  Weights are broadcast: their size is fixed by ``BITS``.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 
@@ -28,7 +29,7 @@ MAX_LABELLED = 4_000
 LEAST_DOCS = 3
 #: Features that a fit chooses per category or grade.
 CHOSEN = 600
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
 SHAPE_WEIGHT = 10.0
 REMEMBERED = 300_000
 
@@ -46,10 +47,9 @@ def normal(word: str) -> str:
 
 
 def shape(word: str) -> str:
-    word = word[:48]
     for pattern, to in _SHAPES:
         word = pattern.sub(to, word)
-    return word[:12]
+    return word
 
 
 def word_slots(word: str) -> list[int]:
@@ -86,45 +86,91 @@ def features(text: str, shapes: bool) -> tuple[np.ndarray, np.ndarray]:
     return at, np.bincount(where, weights=values)
 
 
-class Scorer:
-    """Scores of texts under weights of shape (slots, outputs), word by word and remembered."""
+class _Numbers(dict):
+    """Keys numbered as they come."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
 
-    def __init__(self, weights: np.ndarray, shapes: bool):
-        self.weights, self.shapes = weights, shapes
-        self.normals: dict[str, str] = {}
-        self.words: dict[str, np.ndarray] = {}
-        self.forms: dict[str, np.ndarray] = {}
 
-    def _remember(self, known: dict, key: str, value):
-        if len(known) >= REMEMBERED:
-            known.clear()
-        known[key] = value
-        return value
+class _Rows:
+    """Rows of numbers that grow at the end."""
 
-    def _normal(self, word: str) -> str:
-        known = self.normals.get(word)
-        return self._remember(self.normals, word, normal(word)) if known is None else known
+    def __init__(self, width: int):
+        self.data, self.n = np.zeros((1024, width)), 0
 
-    def _word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        return self._remember(self.words, word, self.weights[word_slots(word)].sum(axis=0)) if known is None else known
+    def add(self, rows: np.ndarray) -> None:
+        need = self.n + len(rows)
+        if need > len(self.data):
+            grown = np.zeros((max(need, 2 * len(self.data)), self.data.shape[1]))
+            grown[: self.n] = self.data[: self.n]
+            self.data = grown
+        self.data[self.n : need] = rows
+        self.n = need
 
-    def _form(self, word: str) -> np.ndarray:
-        known = self.forms.get(word)
-        return self._remember(self.forms, word, self.weights[slot("#" + shape(word))]) if known is None else known
+
+class Scorer:
+    """Scores of texts under weights of shape (slots, outputs).  A word is looked up once: its number leads to the number of its
+    normal form, to the score of that form with its beginnings, and to the score of its shape; a text is sums over rows."""
+
+    def __init__(self, weights: np.ndarray, shapes: bool):
+        self.weights, self.shapes = weights, shapes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.normals = _Numbers(), _Numbers()
+        self.normal_of = np.zeros(1024, np.int64)
+        self.word_scores, self.form_scores = _Rows(self.weights.shape[1]), _Rows(self.weights.shape[1])
+
+    def _learn(self, fresh: list[str], from_: int) -> None:
+        """Rows of words that are new, numbered from ``from_`` on."""
+        if len(self.words) > len(self.normal_of):
+            self.normal_of = np.concatenate([self.normal_of, np.zeros(max(len(self.words), len(self.normal_of)) - len(self.normal_of) + len(self.words), np.int64)])
+        known = len(self.normals)
+        forms = [normal(w) for w in fresh]
+        self.normal_of[from_ : from_ + len(fresh)] = [self.normals[f] for f in forms]
+        new = list(itertools.islice(reversed(self.normals), len(self.normals) - known))[::-1]
+        if new:
+            self.word_scores.add(self._sums([word_slots(f) for f in new]))
+        if self.shapes:
+            self.form_scores.add(self.weights[[slot("#" + shape(w)) for w in fresh]])
+
+    def _sums(self, slots: list[list[int]]) -> np.ndarray:
+        ends = np.cumsum([0] + [len(x) for x in slots])
+        rows = np.zeros((ends[-1] + 1, self.weights.shape[1]))
+        rows[1:] = self.weights[[k for x in slots for k in x]]
+        total = np.cumsum(rows, axis=0)
+        return total[ends[1:]] - total[ends[:-1]]
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.split()
-        score = self.weights[0].copy()
+        score = self.weights[0].astype(float)
         if words:
-            score += np.sum([self._word(w) for w in set(map(self._normal, words))], axis=0)
-        if self.shapes:
-            if words:
-                score += SHAPE_WEIGHT * np.sum([self._form(w) for w in words], axis=0) / len(words)
+            if len(self.words) >= REMEMBERED:
+                self._forget()
+            before = len(self.words)
+            ids = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            if len(self.words) > before:
+                self._learn(list(itertools.islice(reversed(self.words), len(self.words) - before))[::-1], before)
+            score += self.word_scores.data[np.unique(self.normal_of[ids])].sum(axis=0)
+            if self.shapes:
+                score += SHAPE_WEIGHT * self.form_scores.data[ids].sum(axis=0) / len(words)
+                score += self.weights[_repeats(ids)].sum(axis=0)
+        elif self.shapes:
             score += self.weights[repeat_slots(words)].sum(axis=0)
         return score
 
 
+def _repeats(ids: np.ndarray) -> list[int]:
+    """``repeat_slots`` of words given by numbers."""
+    windows = len(ids) - 2
+    u = ids.astype(np.uint64)
+    new = len(np.unique(u[:-2] * np.uint64(0x9E3779B97F4A7C15) + u[1:-1] * np.uint64(0xBF58476D1CE4E5B9) + u[2:])) / windows if windows > 0 else 1.0
+    again = int((ids[1:] == ids[:-1]).sum()) / max(1, len(ids) - 1)
+    return [slot(f"new:{int(new * 10)}"), slot(f"again:{int(again * 10)}")]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], shapes: bool, bound: int = MAX_LABELLED):
     """(Design, label matrix) of at most ``bound`` labelled documents: those whose id hashes lowest, so a
     sample does not depend on the order of rows.  Only this sample's features reach the driver."""

@@ -46,7 +46,7 @@ from .common import stored, whole_text
 WIDTH = 5
 PERCENT = 75
 #: Shingles that a task gathers before it deals them out, and that one range is aimed at.
-CHUNK = 1_000_000
+CHUNK = 250_000
 BLOCK = 4_000_000
 #: Words whose hash a worker remembers.
 REMEMBERED = 100_000
@@ -97,6 +97,7 @@ class Shingler:
 _BLOCK_ROW = T.StructType([
     T.StructField("bucket", T.IntegerType()),
     T.StructField("ids", T.ArrayType(T.LongType())),  # of a block of documents; null in a block of shingles
+    T.StructField("texts", T.BinaryType()),  # hashes of their texts
     T.StructField("digests", T.BinaryType()),
     T.StructField("sizes", T.BinaryType()),
     T.StructField("counts", T.BinaryType()),
@@ -105,6 +106,7 @@ _BLOCK_ROW = T.StructType([
 _FOUND_ROW = T.StructType([
     T.StructField("is_doc", T.BooleanType()),
     T.StructField("doc_id", T.LongType()),
+    T.StructField("th", T.LongType()),
     T.StructField("digest", T.BinaryType()),
     T.StructField("size", T.IntegerType()),
     # a block of classes: where it goes, the range it comes from, and the shingles that other classes have too
@@ -115,9 +117,9 @@ _FOUND_ROW = T.StructType([
     T.StructField("counts", T.BinaryType()),
     T.StructField("shared", T.BinaryType()),
 ])
-_BLOCK_ARROW = pa.schema([("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("digests", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("shingles", pa.binary())])
+_BLOCK_ARROW = pa.schema([("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("texts", pa.binary()), ("digests", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("shingles", pa.binary())])
 _FOUND_ARROW = pa.schema([
-    ("is_doc", pa.bool_()), ("doc_id", pa.int64()), ("digest", pa.binary()), ("size", pa.int32()), ("dest", pa.int32()), ("bucket", pa.int32()),
+    ("is_doc", pa.bool_()), ("doc_id", pa.int64()), ("th", pa.int64()), ("digest", pa.binary()), ("size", pa.int32()), ("dest", pa.int32()), ("bucket", pa.int32()),
     ("digests", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("shared", pa.binary()),
 ])
 #: Bytes of a class's digest, of a shingle within its range, and of a frequency (which stops at its largest value; it
@@ -137,45 +139,49 @@ def _entries(members, counts):
     return members, out
 
 
-def _blocks(ids, sets, digests, n_buckets, turn):
+def _blocks(ids, texts, sets, digests, n_buckets, turn):
     """Packed rows of one chunk of documents: their digests, and the shingles of each class by range."""
     sizes = np.array([len(s) for s in sets], np.int32)
-    rows = [((turn % n_buckets), ids, b"".join(digests), sizes.tobytes(), None, None)]
+    rows = [((turn % n_buckets), ids, np.array(texts, "<i8").tobytes(), b"".join(digests), sizes.tobytes(), None, None)]
     classes = {d: i for i, d in enumerate(digests) if sizes[i]}
     first = list(classes.values())
     if first:
-        every = np.concatenate([sets[i] for i in first])
-        owner = np.repeat(np.arange(len(first), dtype=np.int32), sizes[first])
+        every = np.empty(int(sizes[first].sum()), np.uint64)
+        np.concatenate([sets[i] for i in first], out=every)
+        sets.clear()
         bucket = ((every >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        every, owner, bucket = every[order], owner[order], bucket[order]
-        bounds = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        order = np.argsort(bucket, kind="stable").astype(np.int32)
+        bounds = np.searchsorted(bucket, np.arange(n_buckets + 1), sorter=order)
+        del bucket
+        owner = np.repeat(np.arange(len(first), dtype=np.int32), sizes[first])
         names = list(classes)
         for b in np.flatnonzero(np.diff(bounds)):
-            a, z = bounds[b], bounds[b + 1]
-            members, counts = _entries(*np.unique(owner[a:z], return_counts=True))
-            packed = every[a:z].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY].tobytes()
+            here = order[bounds[b] : bounds[b + 1]]
+            members, counts = _entries(*np.unique(owner[here], return_counts=True))
+            packed = every[here].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY].tobytes()
             chosen = members.tolist()
-            rows.append((int(b), None, b"".join([names[i] for i in chosen]), sizes[[first[i] for i in chosen]].tobytes(), counts.astype("<u2").tobytes(), packed))
+            rows.append((int(b), None, None, b"".join([names[i] for i in chosen]), sizes[[first[i] for i in chosen]].tobytes(), counts.astype("<u2").tobytes(), packed))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK_ARROW.types)], schema=_BLOCK_ARROW)
 
 
 def _pack(n_buckets: int, sets):
     def run(batches):
         shingle, turn, held = sets(), 0, 0
-        ids, made, digests = [], [], []
+        ids, texts, made, digests = [], [], [], []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 s = shingle(text.as_buffer().to_pybytes() if text.is_valid else b"")
                 ids.append(doc_id)
+                texts.append(th)
                 made.append(s)
                 digests.append(xxhash.xxh128_digest(s.tobytes())[:_DIGEST])
                 held += len(s) + 8
                 if held >= CHUNK:
-                    yield _blocks(ids, made, digests, n_buckets, turn + digests[0][0])
-                    ids, made, digests, held, turn = [], [], [], 0, turn + 1
+                    yield _blocks(ids, texts, made, digests, n_buckets, turn + digests[0][0])
+                    ids, texts, made, digests, held, turn = [], [], [], [], 0, turn + 1
         if ids:
-            yield _blocks(ids, made, digests, n_buckets, turn + digests[0][0])
+            yield _blocks(ids, texts, made, digests, n_buckets, turn + digests[0][0])
+        pa.default_memory_pool().release_unused()  # the worker lives on: what this task is done with goes back
 
     return run
 
@@ -206,7 +212,7 @@ def _count_range(key: tuple[pa.Scalar, ...], table: pa.Table, n_dests: int) -> p
         if row["ids"] is not None:
             n = np.frombuffer(row["sizes"], np.int32).tolist()
             named = [d if k else None for d, k in zip(digests, n)]
-            out.append(_rows(_FOUND_ARROW, len(n), is_doc=[True] * len(n), doc_id=row["ids"], digest=named, size=n))
+            out.append(_rows(_FOUND_ARROW, len(n), is_doc=[True] * len(n), doc_id=row["ids"], th=np.frombuffer(row["texts"], "<i8"), digest=named, size=n))
         else:
             names += digests
             fresh += [seen.setdefault(d, at) == at for d in digests]
@@ -244,7 +250,7 @@ def _count_range(key: tuple[pa.Scalar, ...], table: pa.Table, n_dests: int) -> p
 def shared_shingles(docs: DataFrame, sets) -> DataFrame:
     """Steps 1 and 2: a stored table of document rows (is_doc) and of class rows, see ``_FOUND_ROW``.  ``sets()`` makes a
     function from UTF-8 text to a sorted array of distinct 64-bit hashes, in each task."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), whole_text().cast("binary").alias("text"))
     total, n = docs.agg(F.sum(F.octet_length(whole_text())), F.count("*")).first()
     n_buckets = min(max(1, math.ceil(((total or 0) / 6 + 8 * n) / BLOCK)), 1 << 15)
     packed = rows.mapInArrow(_pack(n_buckets, sets), _BLOCK_ROW)
@@ -481,24 +487,39 @@ def links(classes: DataFrame, percent: int = PERCENT, by_length: bool = False) -
     return stored(every, "links")
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, sets=None, by_length: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs.  ``sets`` replaces the word shingles by other sets."""
+def text_hash():
+    return F.xxhash64(whole_text())
+
+
+def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, sets=None, by_length: bool = False) -> DataFrame:
+    """(doc_id, th, n_shingles, component_id, first) for every row of docs: ``th`` is the hash of its text, ``first`` the struct
+    (no_id, doc_id, th) of its group's first row, by id (rows without one come last) and text hash."""
     found = shared_shingles(docs, sets or (lambda: Shingler(width)))
-    rows = found.filter("is_doc").select("doc_id", F.col("size").cast("long").alias("n_shingles"), "digest")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    rows = found.filter("is_doc").select("doc_id", "th", F.col("size").cast("long").alias("n_shingles"), "digest")
     linked = links(joinable_classes(found, percent), percent, by_length)
     ends = linked.select(F.col("a").alias("id")).unionByName(linked.select(F.col("b").alias("id"))).distinct()
     component = connected_components(ends, linked, "id", "a", "b")
-    per_class = rows.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("id")).agg(F.min("doc_id").alias("least"))
+    per_class = rows.filter("digest IS NOT NULL").groupBy(F.col("digest").alias("id")).agg(F.min(row).alias("least"))
     per_class = per_class.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = per_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = per_class.join(named, "component").select("id", "component_id")
-    out = rows.join(named, F.col("digest") == F.col("id"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = per_class.groupBy("component").agg(F.min("least").alias("first"))
+    named = per_class.join(named, "component").select("id", "first")
+    out = rows.join(named, F.col("digest") == F.col("id"), "left").withColumn("first", F.coalesce("first", row))
+    alone = F.col("digest").isNull()
+    return out.select("doc_id", "th", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), "first")
+
+
+def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, sets=None, by_length: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs.  ``sets`` replaces the word shingles by other sets."""
+    return labelled(docs, width, percent, sets, by_length).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose id names their component: one document of each group stays.  Rows without an id
-    cannot be told apart and stay."""
-    groups = near_duplicate_groups(docs.select("doc_id", "text"), width, percent)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the near duplicates: of each group the row of the smallest id stays (rows without an id come last, and equal
+    ids are told apart by their texts).  Rows equal in id and text are one document and stay or go together; rows
+    without words are no duplicates of anything and stay."""
+    rows = labelled(docs.select("doc_id", "text"), width, percent)
+    here = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    gone = rows.filter(here != F.col("first")).select(F.col("doc_id").alias("__gi"), F.col("th").alias("__gt")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gi")) & (text_hash() == F.col("__gt"))
+    return docs.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,6 +11,8 @@ sample has keep an ordered threshold; copies score alike.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -66,13 +68,14 @@ class Ordinal:
         """array of P(grade >= 1), P(grade >= 2), ..."""
         shared = spark.sparkContext.broadcast((self.weights.astype(np.float32)[:, None], self.thresholds))
 
-        def score(texts: pa.Array) -> pa.Array:
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             weights, thresholds = shared.value
             scorer = Scorer(weights, shapes=True)
-            rows = np.array([scorer(t)[0] for t in texts.to_pylist()]).reshape(-1, 1)
-            return pa.array(sigmoid(rows - thresholds).tolist(), pa.list_(pa.float64()))
+            for texts in batches:
+                rows = np.array([scorer(t)[0] for t in texts.to_pylist()]).reshape(-1, 1)
+                yield pa.array(sigmoid(rows - thresholds).tolist(), pa.list_(pa.float64()))
 
-        score.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         return F.arrow_udf(score, T.ArrayType(T.DoubleType()))(whole_text(text))
 
 

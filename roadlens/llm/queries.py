@@ -221,11 +221,11 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-#: The chain's categories, from the labels: toxic at all, toxic in good prose, toxic in junk.
+#: The chain's categories, from the labels: toxic in junk, toxic in good prose, and at last toxic at all.
 TOXIC_CATEGORIES = {
-    "any": "toxic = 1",
-    "in_prose": "toxic = 1 AND quality = 1",
     "in_junk": "toxic = 1 AND quality = 0",
+    "in_prose": "toxic = 1 AND quality = 1",
+    "any": "toxic = 1",
 }
 
 
@@ -319,3 +319,16 @@ FROM documents d LEFT JOIN sz USING (doc_id) LEFT JOIN reach r USING (doc_id) GR
 @_query("op11_lsh_forest", _OP11_SQL)
 def op11_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_RULE_FAILS = "\nUNION ALL ".join(
+    f"SELECT 'v1' AS policy, '{r}' AS rule, count(*) AS n_docs, count(*) FILTER (WHERE failures & {quality_rules.bit(r)} <> 0) AS n_failed, "
+    f"count(*) FILTER (WHERE failures & {quality_rules.mask(quality_rules.POLICIES['v1'])} = 0) AS n_kept, "
+    f"count(*) FILTER (WHERE failures & {quality_rules.mask(quality_rules.POLICIES['v1']) - quality_rules.bit(r)} = 0) AS n_kept_without FROM led"
+    for r in quality_rules.POLICIES["v1"])
+
+
+@_query("quality_ablations", f"WITH led AS ({_OP4_SQL})\nSELECT * FROM ({_RULE_FAILS}) WHERE n_docs > 0")
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 rejects, and what would be kept without it."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "v1")

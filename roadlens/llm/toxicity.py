@@ -12,6 +12,8 @@ constant; copies of one text score alike.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -82,14 +84,15 @@ class Chain:
         shared = spark.sparkContext.broadcast((self.weights.astype(np.float32), self.links))
         categories = self.categories
 
-        def score(texts: pa.Array) -> pa.Array:
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             weights, links = shared.value
-            scorer = Scorer(weights, shapes=False)
-            rows = np.array([scorer(t) for t in texts.to_pylist()]).reshape(len(texts), len(categories))
-            p = Chain(categories, weights, links).follow(rows)
-            return pa.StructArray.from_arrays([pa.array(p[:, j]) for j in range(len(categories))], names=categories)
+            scorer, chain = Scorer(weights, shapes=False), Chain(categories, weights, links)
+            for texts in batches:
+                rows = np.array([scorer(t) for t in texts.to_pylist()]).reshape(len(texts), len(categories))
+                p = chain.follow(rows)
+                yield pa.StructArray.from_arrays([pa.array(p[:, j]) for j in range(len(categories))], names=categories)
 
-        score.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         schema = T.StructType([T.StructField(c, T.DoubleType()) for c in categories])
         return F.arrow_udf(score, schema)(whole_text(text))
 
@@ -101,9 +104,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str]) -> Chain:
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """docs + ``p_<category>`` for each, + ``toxic`` (the first category's verdict)."""
+    """docs + ``p_<category>`` for each, + ``toxic`` (the verdict of the last category, which sees all before it)."""
     made = {f"p_{c}" for c in chain.categories} | {"toxic"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
     out = docs.withColumn("__p", chain.probabilities(docs.sparkSession))
     out = out.select("*", *[F.col(f"__p.{c}").alias(f"p_{c}") for c in chain.categories]).drop("__p")
-    return out.withColumn("toxic", F.col(f"p_{chain.categories[0]}") >= THRESHOLD)
+    return out.withColumn("toxic", F.col(f"p_{chain.categories[-1]}") >= THRESHOLD)

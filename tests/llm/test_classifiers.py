@@ -44,6 +44,24 @@ def test_toxicity_planted_and_odd_texts(spark, tables):
     assert got == [(0, False), (1, False), (2, False), (3, True), (4, True), (4, True)]
 
 
+def test_verdict_comes_through_the_chain(spark, tables):
+    """With the links switched off the verdict's probability changes, and the chain finds no fewer toxic documents."""
+    docs, fit, held = tables
+    kinds = [F.expr(f"CAST({c} AS INT)").alias(k) for k, c in queries.TOXIC_CATEGORIES.items()]
+    assert list(queries.TOXIC_CATEGORIES)[-1] == "any"
+    chain = toxicity.train(docs, fit.select("doc_id", *kinds), list(queries.TOXIC_CATEGORIES))
+    alone = toxicity.train(docs, fit.select("doc_id", kinds[-1]), ["any"])
+    truth = {r.doc_id for r in held.filter("toxic = 1").collect()}
+    rows = docs.join(held.select("doc_id"), "doc_id")
+    found = [{r.doc_id: (r.toxic, r.p_any) for r in toxicity.score(rows, c).collect()} for c in (chain, alone)]
+    recall = [sum(f[i][0] for i in truth if i in f) / max(1, sum(i in f for i in truth)) for f in found]
+    print("held-out recall with links, without:", recall)
+    assert recall[0] >= recall[1]
+    off = toxicity.Chain(chain.categories, chain.weights, [0 * x for x in chain.links])
+    scores = {r.doc_id: r.p_any for r in toxicity.score(rows, off).collect()}
+    assert max(abs(scores[i] - found[0][i][1]) for i in scores) > 0.05
+
+
 def test_chain_learns_from_unseen_probabilities():
     """Noise that a model can learn by heart must not look certain to the next model."""
     rng = np.random.default_rng(1)
