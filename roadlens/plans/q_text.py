@@ -369,9 +369,9 @@ def q_relevance_filter(spark, sf):
 
 
 @register("event_window_end", oracle(f"""
-SELECT doc_id, event_category, published_at + to_hours(CASE {' '.join(f"WHEN event_category = {_lit(k)} THEN {v}" for k, v in N.EVENT_HOURS.items())} ELSE 3 END)
-  AS event_time_end
-FROM (SELECT s.doc_id, s.event_category, n.published_at FROM news_scored s JOIN news_raw n USING (doc_id)) x""", "news_scored", "news_raw"))
+SELECT x.doc_id, x.event_category, n.published_at + to_hours(coalesce(h.hours, 3)) AS event_time_end
+FROM (SELECT doc_id, {_CAT} AS event_category FROM (SELECT doc_id, {d_clean_html(NEWS_TEXT)} AS t FROM news_raw) c) x JOIN news_raw n USING (doc_id)
+LEFT JOIN (VALUES {', '.join(f"({_lit(k)}, {v})" for k, v in N.EVENT_HOURS.items())}) h(category, hours) ON h.category = x.event_category""", "news_raw"))
 def q_event_window_end(spark, sf):
     n = K.tables(spark, sf).news_raw
     c = classify_test(N.full_text("title", "summary"))["category"]

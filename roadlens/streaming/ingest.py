@@ -1,16 +1,20 @@
 """Structured Streaming ingestion: Kafka-shaped messages -> validated Bronze rows with a
 dead-letter sink, bounded-state dedup, windowed bucket means and the live latest state.
 
-The transforms are pure DataFrame functions (work on batch and streaming frames alike);
+The transforms are pure DataFrame functions (all but ``latest_state``, which keeps keyed state, work on batch and streaming frames alike);
 sources and sinks are thin option maps. Without a broker here, tests feed the same
 transforms from a file stream with ``trigger(availableNow=True)``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
+
+from ..functions.timefn import epoch_micros
 
 def _message(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -127,7 +131,8 @@ def message_key(topic: str = "topic", entity: str = "segment_id", ts: str = "eve
 
 
 def stream_dedup(df: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First message per sha1(topic, entity, time); state is bounded by the watermark delay."""
+    """First message per sha1(topic, entity, time); a key is let go ``delay`` after its event time, and a message that comes later
+    than that is dropped as late (append mode)."""
     return df.withColumn("dedup_key", message_key()).withWatermark("_wm_ts", delay).dropDuplicatesWithinWatermark(["dedup_key"])
 
 
@@ -140,23 +145,37 @@ def bronze_envelope(df: DataFrame, batch_id: int) -> DataFrame:
     return df.withColumns({"_batch_id": F.lit(batch_id), "_date": day, "_year": F.year(day), "_month": F.month(day), "_day": F.dayofmonth(day)})
 
 
-def route_to_sinks(bronze_path: str, dlq_path: str):
+def route_to_sinks(bronze_path: str, dlq_path: str, metrics_path: str | None = None):
     """foreachBatch writer: valid rows -> Bronze by day of the event, invalid -> DLQ with the error. Each batch
-    overwrites its own ``_batch_id`` partitions, so a replayed batch is idempotent."""
+    overwrites its own ``_batch_id`` partitions, so a replayed batch is idempotent.  With ``metrics_path`` the rows that came in and
+    those that each writer wrote are observed while they pass, and kept as one row per batch: ``stream_counts`` reads these."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = bronze_envelope(batch.drop("_wm_ts"), batch_id).persist()
-        (batch.filter("is_valid").drop("is_valid", "error").write.mode("overwrite")
+        seen = {name: Observation() for name in ("produced", "written", "dlq")}
+        one = F.count(F.lit(1)).alias("n")
+        batch = bronze_envelope(batch.drop("_wm_ts"), batch_id).observe(seen["produced"], one).persist()
+        (batch.filter("is_valid").drop("is_valid", "error").observe(seen["written"], one).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("_year", "_month", "_day", "_batch_id").parquet(bronze_path))
-        (batch.filter("NOT is_valid").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (batch.filter("NOT is_valid").observe(seen["dlq"], one).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("_batch_id").parquet(dlq_path))
+        if metrics_path is not None:
+            counts = tuple(seen[k].get["n"] for k in seen)
+            row = batch.sparkSession.createDataFrame([(batch_id, *counts)], "_batch_id long, produced long, written long, dlq long")
+            row.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch_id").parquet(metrics_path)
         batch.unpersist()
 
     return write
 
 
+def stream_counts(metrics: DataFrame) -> DataFrame:
+    """(produced, written, dlq, status) of a stream from the counts that its batches observed; the sinks are not read."""
+    total = metrics.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("produced", "written", "dlq")])
+    return total.withColumn("status", F.when(F.col("produced") == F.col("written") + F.col("dlq"), "PASS").otherwise("FAIL"))
+
+
 def bucket_means(df: DataFrame, minutes: int = 5, delay: str = "10 minutes") -> DataFrame:
-    """Tumbling ``minutes`` means per segment; rows later than the watermark are dropped."""
+    """Tumbling ``minutes`` means per segment, append mode: a window is emitted, and its state let go, once the watermark passes its
+    end; rows that come for a window gone by are dropped and counted by the query's progress."""
     return (df.withWatermark("_wm_ts", delay)
             .groupBy("city", "segment_id", F.window("_wm_ts", f"{minutes} minutes").alias("w"))
             .agg(F.avg(F.col("currentSpeed").try_cast("double")).alias("avg_speed"),
@@ -164,18 +183,59 @@ def bucket_means(df: DataFrame, minutes: int = 5, delay: str = "10 minutes") ->
             .select("city", "segment_id", F.col("w.start").cast("timestamp_ntz").alias("bucket_start"), "avg_speed", "avg_jam", "messages"))
 
 
-def latest_state(df: DataFrame) -> DataFrame:
-    """Newest message per segment (grouped max_by; runs in update/complete mode)."""
-    return df.groupBy("city", "segment_id").agg(
-        F.max_by(F.struct(F.col("event_ts"), F.col("currentSpeed").try_cast("double").alias("speed"),
-                          F.col("jamFactor").try_cast("double").alias("jam")), F.col("event_ts")).alias("s")).select(
-        "city", "segment_id", F.col("s.event_ts").alias("event_ts"), F.col("s.speed").alias("currentSpeed"), F.col("s.jam").alias("jamFactor"))
+_LATEST_STATE = "us long, speed double, jam double"
+_LATEST_ROW = "city string, segment_id string, us long, currentSpeed double, jamFactor double"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class LatestProcessor(StatefulProcessor):
+    """Keeps the newest message of a segment.  A message that is not newer than the state changes nothing and is not emitted; a state
+    that gets no update for ``ttl_ms`` goes (0: never)."""
+
+    def __init__(self, ttl_ms: int = 0):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.newest = handle.getValueState("newest", _LATEST_STATE, self.ttl_ms or None)
 
+    def handleInputRows(self, key, rows, timer_values):
+        before = self.newest.get()
+        best = before
+        for part in rows:
+            at = part["us"].idxmax()
+            row = (int(part["us"][at]), part["speed"][at], part["jam"][at])
+            if best is None or row[0] > best[0]:
+                best = row
+        if best is not before:
+            best = tuple(None if v != v else v for v in best)  # NaN stands for null
+            self.newest.update(best)
+            yield pd.DataFrame({"city": [key[0]], "segment_id": [key[1]], "us": [best[0]], "currentSpeed": [best[1]], "jamFactor": [best[2]]}).astype({"currentSpeed": "float64", "jamFactor": "float64"})
 
-def overwrite_each_batch(path: str):
-    """foreachBatch writer for complete-mode aggregates: every batch replaces the table."""
+    def close(self) -> None:
+        pass
+
+
+def latest_state(df: DataFrame, ttl_ms: int = 0) -> DataFrame:
+    """Newest message per segment as keyed state (update mode): every trigger emits the segments that changed, nothing else.
+    The session needs a state store with column families (``STATE_STORE``).  Rows without an event time are left out."""
+    rows = df.filter("event_ts IS NOT NULL").select(
+        "city", "segment_id", epoch_micros("event_ts").alias("us"), F.col("currentSpeed").try_cast("double").alias("speed"), F.col("jamFactor").try_cast("double").alias("jam"))
+    out = rows.groupBy("city", "segment_id").transformWithStateInPandas(LatestProcessor(ttl_ms), _LATEST_ROW, "Update", "ProcessingTime" if ttl_ms else "None")
+    return out.select("city", "segment_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("event_ts"), "currentSpeed", "jamFactor")
+
+
+def append_each_batch(path: str):
+    """foreachBatch writer of changes: every batch writes its own partition, so a replayed batch is idempotent and earlier
+    batches are not touched."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        rows = batch.withColumn("_batch_id", F.lit(batch_id))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch_id").parquet(path)
 
     return write
+
+
+def latest_of_changes(changes: DataFrame) -> DataFrame:
+    """The table that the changes of ``latest_state`` lead to: each segment's last change."""
+    last = changes.groupBy("city", "segment_id").agg(F.max_by(F.struct("event_ts", "currentSpeed", "jamFactor"), "_batch_id").alias("s"))
+    return last.select("city", "segment_id", "s.*")
