@@ -272,11 +272,12 @@ def bronze_news(raw: DataFrame, city_aliases=CITY_ALIASES, category_rules: dict
         "published_at_parse_status": F.when(pub.isNotNull(), "ok").when(url_t.isNotNull(), "parsed_from_url")
         .when(ing.isNotNull(), "fallback_low_confidence").otherwise("missing"),
     })
-    text = X.clean_html(F.concat_ws(" ", F.coalesce(F.col("title_raw"), F.lit("")), F.coalesce(F.col("summary_text"), F.lit(""))))
+    df = df.withColumn("_full_text", full_text("title_raw", "summary_text"))
+    text = F.col("_full_text")
     hint = F.col("city_hint") if "city_hint" in raw.columns else None
     city = detect_city_text(text, hint, city_aliases)
     df = df.withColumns({"city_hint_raw": city["city"], "location_hint_raw": city["alias"],
-                         "category_hint_raw": detect_categories(text, category_rules)})
+                         "category_hint_raw": detect_categories(text, category_rules)}).drop("_full_text")
     flags = F.array(
         F.when(F.col("title_raw").isNull(), F.lit("missing_title")),
         F.when(miss("summary"), F.lit("missing_summary")),
@@ -480,7 +481,9 @@ def normalize_events(raw: DataFrame, now: str, rules=CATEGORY_RULES, planning=PL
     title = X.clean_html(F.coalesce(F.col("title"), F.lit("")))
     summary = F.when(F.col("summary").isNotNull(), X.clean_html(F.col("summary")))
     df = raw.withColumns({"title_clean": title, "summary_text": summary, "image_url": X.extract_image_url("summary")})
-    text = X.clean_html(F.concat_ws(" ", F.coalesce(F.col("title_clean"), F.lit("")), F.coalesce(F.col("summary_text"), F.lit(""))))
+    # the text is cleaned once, as a column that all rules read: an expression would be computed anew by each
+    df = df.withColumn("full_text", full_text("title_clean", "summary_text"))
+    text = F.col("full_text")
     pub = X.parse_utc(F.col("published_at"))
     ing = X.parse_utc(F.col("ingestion_time")) if "ingestion_time" in raw.columns else F.lit(None).cast("timestamp_ntz")
     chosen = resolve_event_time(pub, X.time_from_url("source_url"), X.time_from_text(text, now), ing, now)
@@ -491,7 +494,7 @@ def normalize_events(raw: DataFrame, now: str, rules=CATEGORY_RULES, planning=PL
     road = F.when(road_m != "", F.trim(F.regexp_replace(road_m, r"\s+", " ")))
     cls = classify_event(text, rules, planning, active, infra, planned)
     df = df.withColumns({
-        "full_text": text, "published_at_utc": pub, "_chosen": chosen, "_city": city, "district": district, "road_name": road,
+        "published_at_utc": pub, "_chosen": chosen, "_city": city, "district": district, "road_name": road,
         "_cls": cls,
     })
     df = df.withColumns({
