@@ -129,23 +129,36 @@ def drop_low_variance(df: DataFrame, protected: Sequence[str], leakage: dict[str
     """(column, reason) for columns a model must not use: leakage-prone, metadata, all-null,
     constant, dominated by one value (>= 99.5 % of non-null rows), non-numeric.
 
-    One unpivot to (column, value) and two grouped counts give, per column, the non-null
-    count, the number of distinct values and the top value's count (combined map-side)."""
+    Two combining aggregates, and no cell is shuffled: the first finds per column the count, the least and the greatest value, and the
+    one value that can dominate.  (Of the hashes of the values in order, a value of more than 51 % of the rows holds the middle
+    by more than the sketch's bounded error, so the approximate median of the hashes is that value's for certain.)  The second
+    counts that value.  One row per column reaches the driver."""
+    if dominance <= 0.51:
+        raise ValueError("dominance must be above 0.51")
     spark = df.sparkSession
     cand = [c for c in df.columns if c != target and c not in leakage and c not in protected]
     numeric = {c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint", "boolean")}
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cand]).unpivot([], cand, "column", "val").filter(F.col("val").isNotNull())
-    vc = long.groupBy("column", "val").agg(F.count(F.lit(1)).alias("k"))
-    per = vc.groupBy("column").agg(F.count(F.lit(1)).alias("nd"), F.sum("k").alias("nn"), F.max("k").alias("top"))
-    meta = spark.createDataFrame([(c, c in numeric) for c in cand], "column string, num boolean")
-    per = meta.join(per, "column", "left")
-    reason = (F.when(F.coalesce(F.col("nn"), F.lit(0)) == 0, "all_null").when(F.col("nd") <= 1, "constant")
-              .when(F.col("top") / F.col("nn") >= dominance, F.lit("low_variance"))
-              .when(~F.col("num"), "non_numeric_model_feature"))
-    fixed = [(c, r) for c, r in leakage.items() if c in df.columns and c != target]
-    fixed += [(c, "metadata_or_non_model_column") for c in protected if c in df.columns and c != target]
-    return spark.createDataFrame(fixed, "column string, reason string").unionByName(
-        per.select("column", reason.alias("reason")).filter(F.col("reason").isNotNull()))
+    value = {c: F.col(f"`{c}`").cast("string") for c in cand}
+    # 52 bits: the sketch works in doubles
+    hashed = {c: F.when(v.isNotNull(), F.xxhash64(v).bitwiseAND(F.lit((1 << 52) - 1))) for c, v in value.items()}
+    rows = [(c, r) for c, r in leakage.items() if c in df.columns and c != target]
+    rows += [(c, "metadata_or_non_model_column") for c in protected if c in df.columns and c != target]
+    if cand:
+        first = df.agg(*[x for i, c in enumerate(cand) for x in (
+            F.count(value[c]).alias(f"n{i}"), F.min(value[c]).alias(f"lo{i}"), F.max(value[c]).alias(f"hi{i}"),
+            F.percentile_approx(hashed[c], 0.5, 1000).alias(f"h{i}"))]).first()
+        counts = [F.count(F.when(hashed[c] == F.lit(first[f"h{i}"]), 1)).alias(f"k{i}") for i, c in enumerate(cand) if first[f"n{i}"]]
+        top = df.agg(*counts).first().asDict() if counts else {}
+        for i, c in enumerate(cand):
+            if not first[f"n{i}"]:
+                rows.append((c, "all_null"))
+            elif first[f"lo{i}"] == first[f"hi{i}"]:
+                rows.append((c, "constant"))
+            elif top[f"k{i}"] / first[f"n{i}"] >= dominance:
+                rows.append((c, "low_variance"))
+            elif c not in numeric:
+                rows.append((c, "non_numeric_model_feature"))
+    return spark.createDataFrame(rows, "column string, reason string")
 
 
 def model_features(df: DataFrame, protected: Sequence[str], leakage: dict[str, str], target: str) -> tuple[list[str], list[str]]:

@@ -11,3 +11,19 @@ def test_categorical_columns_decide_and_nulls_read_as_the_most_frequent(spark):
     new = spark.createDataFrame([(1, "a'b", 1.0), (2, "c", 1.0), (3, None, 1.0), (4, "unseen", 1.0)], "id int, kind string, x double")
     got = {r.id: r.p for r in M.batch_predict(model, new, ["x"], ["id"], "p", ["kind"]).collect()}
     assert abs(got[1] - 10) < 1 and abs(got[2] - 50) < 1 and got[3] == got[1] and got[4] is not None
+
+
+def test_low_variance_by_sketch_and_count(spark):
+    from pyspark.sql import functions as F
+
+    from roadlens.operators import ml
+
+    n = 20_000
+    df = spark.range(n).select(
+        F.when(F.col("id") < 100, F.col("id")).otherwise(F.lit(7)).cast("double").alias("dominated"),  # 99.505 %: 100 others, one of them 7 itself
+        F.when(F.col("id") < 102, F.col("id") + 100).otherwise(F.lit(7)).alias("just_below"), F.lit(1.5).alias("constant"),
+        F.lit(None).cast("double").alias("nothing"), F.col("id").alias("key"), (F.col("id") % 3).cast("string").alias("kind"),
+        F.when(F.col("id") % 400 == 0, F.lit("x")).when(F.col("id") % 2 == 0, F.lit("y")).alias("text"), F.col("id").alias("y"))
+    got = {r.column: r.reason for r in ml.drop_low_variance(df, ["key"], {"nothing": "leak"}, "y").collect()}
+    assert got == {"dominated": "low_variance", "constant": "constant", "nothing": "leak", "key": "metadata_or_non_model_column", "kind": "non_numeric_model_feature", "text": "low_variance"}
+    assert {r.column: r.reason for r in ml.drop_low_variance(df.limit(0).select("just_below", "y"), [], {}, "y").collect()} == {"just_below": "all_null"}
