@@ -341,15 +341,55 @@ def listing_link_filter(links: DataFrame, keywords: Sequence[str], blocked: Sequ
 
 
 # ---------------------------------------------------------------- locations
-def extract_locations(text: Column, gazetteer_names: Sequence[str], city: Column | None = None) -> Column:
-    """All gazetteer places found in the text, longest first (then name), city appended when
-    absent; the first element is the primary location."""
-    names = sorted(set(gazetteer_names), key=lambda s: (-len(s), s))
-    low = F.lower(text)
-    found = F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(low, F.lower(n)))
-    if city is None:
-        return found
-    return F.when(city.isNotNull() & ~F.array_contains(found, city), F.concat(found, F.array(city))).otherwise(found)
+# Fixed values of the search for place names: characters of a name that a position is looked up by, and of a piece of text.
+NAME_HEAD, TEXT_PIECE = 6, 512
+
+
+def find_names(df: DataFrame, text: str, id_col: str, gazetteer: DataFrame, name: str = "name") -> DataFrame:
+    """(id, names): the distinct lower-cased names of the gazetteer that occur anywhere in the lower-cased text (inside words
+    too), longest first, then by name.  Ids whose text holds none (or is null) have no row; rows with one id count as one text;
+    empty and null names are never found.
+
+    A join, whatever the size of the gazetteer.  Texts are cut into pieces that overlap by the longest name; each position of a piece is
+    looked up by the first ``NAME_HEAD`` characters of names (shorter names by all of theirs).  A position that meets a
+    head goes on with the lengths that names with this head have, each looked up by the whole string, so that a head
+    shared by many names (one word for all streets) costs its distinct lengths and not its names."""
+    names = materialize(gazetteer.select(F.lower(F.col(name)).alias("_name")).filter(F.length("_name") > 0).distinct())
+    longest = names.agg(F.max(F.length("_name"))).first()[0] or 1
+    heads = names.groupBy(F.substring("_name", 1, NAME_HEAD).alias("_head")).agg(F.collect_set(F.length("_name")).alias("_lens"))
+    # at most NAME_HEAD numbers
+    sizes = [r[0] for r in heads.select(F.length("_head").alias("n")).distinct().collect()]
+    low = df.select(F.col(id_col).alias("_id"), F.lower(F.col(text)).alias("_low")).filter(F.length("_low") > 0)
+    size = max(TEXT_PIECE, longest)
+    cut = low.select("_id", F.regexp_extract_all("_low", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("_cut"))
+    ahead = lambda i: F.coalesce(F.get("_cut", i + 1).substr(1, longest - 1), F.lit(""))
+    pieces = cut.select("_id", F.explode(F.transform("_cut", lambda c, i: F.concat(c, ahead(i)))).alias("_piece"))
+    at = pieces.select("_id", "_piece", F.explode(F.sequence(F.lit(1), F.least(F.length("_piece"), F.lit(size)))).alias("_pos"))
+    at = at.select("_id", F.col("_piece").substr(F.col("_pos"), F.lit(longest)).alias("_window"))
+    if not sizes:  # no name at all
+        return df.select(F.col(id_col), F.array().cast("array<string>").alias("names")).limit(0)
+    at = at.select("_id", "_window", F.explode(F.array_distinct(F.array(*[F.substring("_window", 1, n) for n in sorted(sizes)]))).alias("_head"))
+    met = at.join(heads, "_head").select("_id", "_window", F.explode("_lens").alias("_len"))
+    met = met.filter(F.length("_window") >= F.col("_len")).select("_id", F.col("_window").substr(F.lit(1), F.col("_len")).alias("_name"))
+    found = met.distinct().join(names, "_name", "left_semi")
+    by_length = F.array_sort(F.collect_list(F.struct((-F.length("_name")).alias("n"), F.col("_name"))))
+    return found.groupBy(F.col("_id").alias(id_col)).agg(F.transform(by_length, lambda x: x["_name"]).alias("names"))
+
+
+def extract_locations(df: DataFrame, text: str, gazetteer: DataFrame, city: str | None = None, out: str = "locations") -> DataFrame:
+    """Adds ``out``: all gazetteer places found in the text (see ``find_names``), city appended when
+    absent; the first element is the primary location.  No place gives an empty list; every row of ``df`` stays.
+
+    The names are found once per distinct text, by its digest, so that copies cost one search."""
+    keyed = df.withColumn("_text_key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    texts = keyed.groupBy("_text_key").agg(F.first(F.col(text)).alias("_text"))
+    names = find_names(texts, "_text", "_text_key", gazetteer).withColumnRenamed("names", "_found")
+    found = F.coalesce(F.col("_found"), F.array().cast("array<string>"))
+    j = keyed.join(names, "_text_key", "left")
+    if city is not None:
+        c = F.col(city)
+        found = F.when(c.isNotNull() & ~F.array_contains(found, c), F.concat(found, F.array(c))).otherwise(found)
+    return j.withColumn(out, found).drop("_text_key", "_found")
 
 
 def geocode_join(df: DataFrame, gazetteer: DataFrame, location: str = "location_entity", city: str = "city") -> DataFrame:
@@ -522,7 +562,7 @@ def normalize_events(raw: DataFrame, now: str, rules=CATEGORY_RULES, planning=PL
     return df.drop("_chosen", "_city", "_cls").withColumnRenamed("title", "title_raw").withColumnRenamed("title_clean", "title")
 
 
-def silver_events(bronze: DataFrame, type_rules, gazetteer: DataFrame, gazetteer_names, order: str = "ingest_order") -> DataFrame:
+def silver_events(bronze: DataFrame, type_rules, gazetteer: DataFrame, order: str = "ingest_order") -> DataFrame:
     """Lakehouse Silver events: first row per source URL, rule classification, dictionary
     locations (primary = longest), gazetteer geocode with city fallback, confidence."""
     from .aggregates import dedup_first_key
@@ -530,8 +570,8 @@ def silver_events(bronze: DataFrame, type_rules, gazetteer: DataFrame, gazetteer
     d = dedup_first_key(bronze.filter(F.col("source_url").isNotNull()), ["source_url"], [order, "record_id"]) \
         .unionByName(bronze.filter(F.col("source_url").isNull()))
     text = F.concat_ws(" ", F.coalesce(F.col("title"), F.lit("")), F.coalesce(F.col("summary"), F.lit("")))
-    d = d.withColumn("event_type", classify_event_type(text, type_rules))
-    d = d.withColumn("extracted_locations", extract_locations(text, gazetteer_names, F.col("city")))
+    d = d.withColumns({"event_type": classify_event_type(text, type_rules), "_article": text})
+    d = extract_locations(d, "_article", gazetteer, "city", "extracted_locations").drop("_article")
     d = d.withColumn("location_entity", F.try_element_at(F.col("extracted_locations"), F.lit(1)))
     g = geocode_join(d, gazetteer, "location_entity", "city")
     conf = F.when(F.col("geocode_status") == "failed", F.lit(0.0)).otherwise(

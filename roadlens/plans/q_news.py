@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.traffic import CITY_CENTRES
 from ..operators import news as N
+from ..operators.components import materialize
 from . import common as K
 from .q_text import (NEWS_TEXT, TEST_ACTIVE, TEST_CITY_ALIASES, TEST_DAMPENING, TEST_DISTRICT, TEST_INFRA, TEST_KEYWORDS,
                      TEST_LADDER, TEST_PLANNED, TEST_PLANNING, TEST_PLANNING_LOW, TEST_ROAD, TEST_RULES, TEST_TYPE_RULES, _lit,
@@ -255,15 +256,6 @@ def q_listing_link_filter(spark, sf):
 
 
 # ---------------------------------------------------------------- locations, geocode, snap
-def gazetteer_names(t, max_names: int = 50_000):
-    """Place names for dictionary matching, read from the gazetteer dimension. The list becomes
-    part of the expression, so its size is checked (a gazetteer, not a fact table)."""
-    rows = t.gazetteer.select(F.lower("name").alias("n")).distinct().limit(max_names + 1).collect()
-    if len(rows) > max_names:
-        raise ValueError("gazetteer too large to inline; use geocode_join for lookups")
-    return [r["n"] for r in rows]
-
-
 @register("extract_locations", oracle("""
 SELECT doc_id, CASE WHEN city IS NOT NULL AND NOT list_contains(found, city) THEN list_append(found, city) ELSE found END AS locations
 FROM (SELECT e.doc_id, e.city, list_filter(list_transform(g.names, lambda n: n.name), lambda n: contains(lower(e.ft), n)) AS found
@@ -271,8 +263,8 @@ FROM (SELECT e.doc_id, e.city, list_filter(list_transform(g.names, lambda n: n.n
 """, "events_a", "gazetteer"))
 def q_extract_locations(spark, sf):
     t = K.tables(spark, sf)
-    e = normalized(t)
-    return e.select("doc_id", N.extract_locations(F.col("full_text"), gazetteer_names(t), F.col("city")).alias("locations"))
+    e = materialize(normalized(t).select("doc_id", "full_text", "city"))
+    return N.extract_locations(e, "full_text", t.gazetteer, "city").select("doc_id", "locations")
 
 
 def _centre_sql(col):
@@ -342,5 +334,5 @@ def q_silver_events(spark, sf):
     t = K.tables(spark, sf)
     ev = normalized(t).select("doc_id", "city")
     raw = news_input(t).join(ev, "doc_id").withColumn("record_id", F.col("doc_id").cast("string"))
-    s = N.silver_events(raw, TEST_TYPE_RULES, t.gazetteer, gazetteer_names(t))
+    s = N.silver_events(materialize(raw), TEST_TYPE_RULES, t.gazetteer)
     return s.select("source_url", "event_type", "location_entity")
