@@ -115,15 +115,25 @@ ch AS (SELECT doc_id, no, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY
 p AS (
   SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, no) > 1 AS repeat
   FROM ch WHERE n_lines > 1 AND regexp_matches(body, {_WORDS})),
-d AS (
-  SELECT ch.*, coalesce(p.repeat, false) AS lost FROM ch LEFT JOIN p USING (doc_id, no)),
+lost AS (SELECT doc_id, no FROM p WHERE repeat),
+pairs AS (SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS body FROM l),
+q AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) > 1 AS repeat
+  FROM pairs WHERE body IS NOT NULL AND regexp_matches(body, {_WORDS})),
+g AS (
+  SELECT doc_id, i FROM k JOIN lost USING (doc_id, no)
+  UNION SELECT doc_id, i + j FROM q, (SELECT unnest([0, 1]) AS j) WHERE repeat),
+m AS (SELECT l.*, g.i IS NOT NULL AS gone FROM l LEFT JOIN g USING (doc_id, i)),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM m),
 a AS (
-  SELECT doc_id, string_agg(body, chr(10) ORDER BY no) FILTER (WHERE NOT lost) AS kept, sum(n_lines)::BIGINT AS n_lines,
-         coalesce(sum(n_lines) FILTER (WHERE lost), 0)::BIGINT AS n_removed_lines, (count(*) FILTER (WHERE lost))::BIGINT AS n_removed_chunks
-  FROM d GROUP BY doc_id)
-SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, coalesce(n_lines, 0) AS n_lines,
-       coalesce(n_removed_lines, 0) AS n_removed_lines, coalesce(n_removed_chunks, 0) AS n_removed_chunks
-FROM documents LEFT JOIN a USING (doc_id)
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept, count(*) AS n_lines,
+         count(*) FILTER (WHERE gone) AS n_removed_lines, count(*) FILTER (WHERE opens) AS n_removed_passages
+  FROM e GROUP BY doc_id),
+w AS (SELECT doc_id, count(*) AS n_removed_chunks FROM lost GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines,
+       coalesce(n_removed_lines, 0)::BIGINT AS n_removed_lines, coalesce(n_removed_chunks, 0)::BIGINT AS n_removed_chunks,
+       coalesce(n_removed_passages, 0)::BIGINT AS n_removed_passages
+FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN w USING (doc_id)
 """
 
 

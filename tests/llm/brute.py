@@ -48,21 +48,24 @@ def chunks(text):
 
 
 def dedup_lines(docs):
-    """{id: text} -> {id: text}, ids in ascending order."""
-    seen, out = set(), {}
+    """{id: text} -> {id: text}, ids in ascending order: chunks and pairs of neighbouring lines that an earlier place has go."""
+    seen, pairs, out = set(), set(), {}
     for i in sorted(docs):
         if docs[i] is None:
             out[i] = None
             continue
-        left = []
+        lines, lost, at = docs[i].split("\n"), set(), 0
         for chunk in chunks(docs[i]):
             body = "\n".join(chunk)
             if len(chunk) > 1 and words(body):
-                if body in seen:
-                    continue
+                lost |= set(range(at, at + len(chunk))) if body in seen else set()
                 seen.add(body)
-            left.append(body)
-        out[i] = "\n".join(left)
+            at += len(chunk)
+        for k, pair in enumerate(zip(lines, lines[1:])):
+            if words("\n".join(pair)):
+                lost |= {k, k + 1} if pair in pairs else set()
+                pairs.add(pair)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in lost)
     return out
 
 

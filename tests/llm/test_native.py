@@ -40,7 +40,7 @@ def test_line_dedup_removes_a_shifted_passage_and_exact_copies(spark):
     rows = [(1, "head a\n" + passage + "\ntail a", "s"), (2, "other head\nand more\n" + passage, "s"), (3, "head a\n" + passage + "\ntail a", "s")]
     got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
     assert got[1].text == rows[0][1]
-    assert got[2].n_removed_lines >= 20 and got[2].text.startswith("other head")
+    assert got[2].n_removed_lines == 30 and got[2].n_removed_chunks > 0 and got[2].n_removed_passages == 1 and got[2].text == "other head\nand more"
     assert got[3].text == ""
 
 
@@ -48,13 +48,24 @@ def test_line_dedup_repeated_rows_clashing_columns_and_empty(spark):
     text = "a b\nc d\ne f\ng h\ni j"
     rows = spark.createDataFrame([(1, text, "s"), (1, text, "s"), (None, text, None)], DOCS).withColumn("n_lines", F.lit("mine")).withColumn("body", F.lit(7))
     got = line_dedup.dedup_lines(rows)
-    assert got.columns == ["doc_id", "text", "source", "body", "n_lines", "n_removed_lines", "n_removed_chunks"]
+    assert got.columns == ["doc_id", "text", "source", "body", "n_lines", "n_removed_lines", "n_removed_chunks", "n_removed_passages"]
     found = sorted(got.collect(), key=lambda r: (r.doc_id is None, r.n_removed_lines))
     assert [r.text for r in found] == [text, text, ""]
     empty = line_dedup.dedup_lines(spark.createDataFrame([], DOCS))
     assert empty.count() == 0 and "text" in empty.columns
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 9])
+def test_line_dedup_removes_short_passages_and_edges(spark, n):
+    passage = "\n".join(f"line {k} of the shared passage" for k in range(n))
+    rows = [(i, f"head {i}\nown {i}\n{passage}\ntail {i}\nend {i}", "s") for i in range(4)] + [(8, "a\n\n\n\nb", "s"), (9, "a\n\n\n\nb", "s")]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[0].text == rows[0][1] and got[0].n_removed_lines == 0 and got[8].n_removed_lines == 0
+    for i in (1, 2, 3):
+        assert got[i].text == f"head {i}\nown {i}\ntail {i}\nend {i}" and (got[i].n_removed_lines, got[i].n_removed_passages) == (n, 1)
+    assert got[9].n_removed_lines >= 4
+
+
 @pytest.mark.parametrize("n", [2, 3, 5])
 def test_passages_between_different_lines_go_whole(spark, n):
     passage = "\n".join(f"line {k} of the shared passage" for k in range(n))
