@@ -32,15 +32,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the chunks of lines that the corpus has elsewhere.  A document that loses all its
+    """Texts without the chunks and passages of lines that the corpus has at an earlier place.  A document that loses all its
     words (a copy, as a rule) goes.  A null or blank text loses nothing and stays; rows equal in id and text lose the same;
     an empty table stays empty; other columns pass through, save ``n_chars``, which follows the text."""
     # kept before it is filtered: a filter on the text would be pushed below, and evaluate the rebuilding of texts anew
     clean = stored(line_dedup.dedup_lines(docs), "clean-lines")
-    emptied = (F.col("n_removed_chunks") > 0) & ~F.col("text").rlike(WORD)
+    emptied = (F.col("n_removed_lines") > 0) & ~F.col("text").rlike(WORD)
     clean = clean.filter(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("n_removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        clean = clean.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return clean.select(_columns(docs))
 
 
