@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import readers as RD
 from ..sources import sinks as SK
+from ..sources import snapshots as SN
 from ..streaming import ingest as ST
 from . import common as K
 from .registry import oracle, register, round_sql, stage
@@ -171,9 +172,10 @@ def q_upsert(spark, sf):
     num = F.substring("segment_id", 5, 12).cast("int")
     dim = t.segment_dim.select("segment_id", "district", "speed_limit")
     path = SK.scratch_dir(spark, "upsert_target")
-    dim.filter(num % 2 == 0).write.mode("overwrite").parquet(path)
+    SN.create_snapshot_table(dim.filter(num % 2 == 0), path, ["segment_id"])
     src = dim.filter(num % 3 == 0).withColumn("speed_limit", F.coalesce(F.col("speed_limit"), F.lit(0.0)) + 1)
-    return K.rounded(SK.upsert(spark, path, src, ["segment_id"]))
+    SN.upsert_snapshot(src, path)
+    return K.rounded(SN.read_snapshot(spark, path))
 
 
 @register("load_stamps", oracle(f"""
