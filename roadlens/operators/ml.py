@@ -206,3 +206,55 @@ def train_regressor(train: DataFrame, features: Sequence[str], label: str, kind:
 def batch_predict(model, rows: DataFrame, features: Sequence[str], keep: Sequence[str], out: str = "predicted_speed", categorical: Sequence[str] = ()) -> DataFrame:
     data = rows.select(*keep, *_model_columns(features, categorical))
     return model.transform(data).select(*keep, F.col("prediction").alias(out))
+
+
+def training_dataset(features: DataFrame, horizon: int, history: str, city: str | None = None) -> DataFrame:
+    """Rows of one horizon to learn from: those with an exact target and a whole short history (``history`` = 1), of one city or of all.
+    + ``target_speed`` and ``split`` (train, validation, test by time, in that order); infinities, NaN and nulls of number columns
+    become 0, save the targets'.  No row qualifies: an empty frame with these columns."""
+    target = f"future_speed_{horizon}m"
+    rows = features.filter(F.col(target).isNotNull() & (F.col(history) == 1))
+    if city is not None:
+        rows = rows.filter(F.col("city") == city)
+    rows = rows.withColumn("target_speed", F.col(target).cast("double"))
+    real = [c for c, t in rows.dtypes if t in ("double", "float") and c != "target_speed" and not c.startswith("future_speed_")]
+    whole = [c for c, t in rows.dtypes if t in ("int", "bigint", "smallint", "tinyint")]
+    finite = {c: F.when(~F.isnan(F.col(c)) & (F.abs(F.col(c)) != float("inf")), F.col(c)).otherwise(F.lit(0).cast("double")) for c in real}
+    rows = rows.withColumns({**finite, **{c: F.coalesce(F.col(c), F.lit(0).cast(t)) for c, t in rows.dtypes if c in whole}})
+    return rows.withColumn("split", F.lit("test")) if rows.isEmpty() else split_by_time_quantile(rows)
+
+
+def train_horizons(datasets: dict[str, DataFrame], protected: Sequence[str], leakage: dict[str, str], kind: str = "gbt", seed: int = 42) -> dict[str, tuple]:
+    """{name: (model, numeric, categorical)}: one model per horizon, fitted on the rows of split ``train`` by the columns that
+    ``drop_low_variance`` keeps there.  Horizons without such rows or columns are left out.  Datasets should be stored tables: a fit reads its
+    rows several times."""
+    models = {}
+    for name, rows in datasets.items():
+        train = rows.filter("split = 'train'").drop("split")
+        numeric, categorical = model_features(train, protected, leakage, "target_speed")
+        if numeric and not train.isEmpty():
+            models[name] = (train_regressor(train, numeric, "target_speed", kind, seed, categorical), numeric, categorical)
+    return models
+
+
+def predict_horizons(models: dict[str, tuple], rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` + ``predicted_speed_<name>`` for every horizon, all in one pass over the rows."""
+    used = list(dict.fromkeys([*keep, *[c for _, numeric, categorical in models.values() for c in (*numeric, *categorical)]]))
+    rows, made = rows.select(*used), []
+    for name, (model, numeric, categorical) in models.items():
+        out = f"predicted_speed_{name}"
+        rows = batch_predict(model, rows, numeric, [*used, *made], out, categorical)
+        made.append(out)
+    return rows.select(*keep, *made)
+
+
+def held_out_metrics(models: dict[str, tuple], datasets: dict[str, DataFrame], by: Sequence[str] = ()) -> DataFrame:
+    """Metrics per horizon (and ``by``) on the rows of split ``test``, which are later than all that the models saw."""
+    scored = None
+    for name, (model, numeric, categorical) in models.items():
+        one = batch_predict(model, datasets[name].filter("split = 'test'"), numeric, [*by, "target_speed"], "prediction", categorical)
+        one = one.withColumn("horizon", F.lit(name))
+        scored = one if scored is None else scored.unionByName(one)
+    if scored is None:
+        raise ValueError("no horizon has rows to learn from")
+    return regression_metrics(scored, "target_speed", "prediction", ["horizon", *by])

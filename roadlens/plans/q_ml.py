@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ml as M
+from ..operators.components import materialize
 from . import common as K
 from .q_gold import gold
 from .q_serving import serving
@@ -199,45 +203,60 @@ def q_drop_low_variance(spark, sf):
 
 TRAIN_FEATURES = ["currentSpeed", "jamFactor", "speed_lag_1", "speed_lag_2", "speed_lag_3", "speed_rolling_avg_15m",
                   "weather_temperature", "weather_rain_1h", "day_of_week", "p50"]
-TARGET = f"future_speed_{K.HORIZONS[0]}m"
+#: Whole short history asked of a row; one for all horizons, since the test buckets of a day leave few rows with more.
+HISTORY = "valid_history_15m"
+
 
+def datasets(g, city: str | None) -> dict:
+    return {f"{h}m": M.training_dataset(g, h, HISTORY, city) for h in K.HORIZONS}
 
-def training_rows(t, city: str | None = "hanoi"):
-    """Primary-city rows with an exact target and full short history; +-inf/NaN -> null -> 0."""
-    g = gold(t).filter((F.col(f"has_exact_target_{K.HORIZONS[0]}m") == 1) & (F.col("valid_history_15m") == 1))
-    if city:
-        g = g.filter(F.col("city") == city)
-    clean = {c: F.coalesce(F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf")),
-                                  F.col(c).cast("double")), F.lit(0.0)) for c in TRAIN_FEATURES}
-    return g.select("city", "segment_id", "time_bucket", TARGET, *TRAIN_FEATURES).withColumns(clean)
+
+def _dataset_sql(h: int) -> str:
+    fill = ", ".join(f"CASE WHEN isnan(CAST({c} AS DOUBLE)) OR isinf(CAST({c} AS DOUBLE)) OR {c} IS NULL THEN 0e0 ELSE CAST({c} AS DOUBLE) END AS {c}" for c in TRAIN_FEATURES)
+    rows = f"SELECT * FROM gold WHERE future_speed_{h}m IS NOT NULL AND {HISTORY} = 1 AND city = 'hanoi'"
+    return f"""
+SELECT '{h}m' AS horizon, city, segment_id, time_bucket, CAST(future_speed_{h}m AS DOUBLE) AS target_speed,
+  CASE WHEN epoch_us(time_bucket) <= q[1] THEN 'train' WHEN epoch_us(time_bucket) <= q[2] THEN 'validation' ELSE 'test' END AS split, {fill}
+FROM ({rows}) r, (SELECT quantile_cont(epoch_us(time_bucket), [0.7, 0.85]) AS q FROM ({rows}) x) qq"""
 
 
-@register("training_dataset", round_sql(oracle(f"""
-SELECT city, segment_id, time_bucket, {TARGET}, {', '.join(f"CASE WHEN isnan(CAST({c} AS DOUBLE)) OR isinf(CAST({c} AS DOUBLE)) OR {c} IS NULL THEN 0e0 ELSE CAST({c} AS DOUBLE) END AS {c}" for c in TRAIN_FEATURES)}
-FROM gold WHERE has_exact_target_{K.HORIZONS[0]}m = 1 AND valid_history_15m = 1 AND city = 'hanoi'""", "gold"), [TARGET] + TRAIN_FEATURES))
+@register("training_dataset", round_sql(oracle(" UNION ALL ".join(_dataset_sql(h) for h in K.HORIZONS), "gold"), ["target_speed"] + TRAIN_FEATURES))
 def q_training_dataset(spark, sf):
-    return K.rounded(training_rows(K.tables(spark, sf)))
+    """Rows to learn from for every horizon, primary city, split by time."""
+    g = materialize(gold(K.tables(spark, sf)))
+    cols = ["city", "segment_id", "time_bucket", "target_speed", "split", *[F.col(c).cast("double").alias(c) for c in TRAIN_FEATURES]]
+    parts = [d.select(F.lit(name).alias("horizon"), *cols) for name, d in datasets(g, "hanoi").items()]
+    return K.rounded(reduce(DataFrame.unionByName, parts))
 
 
-def _model(t):
-    return M.train_regressor(training_rows(t, None), TRAIN_FEATURES, TARGET, kind="gbt")
+def _leaks(columns) -> dict[str, str]:
+    """Columns that know of later rows: targets, their flags, and what is made from percentiles over all time."""
+    later = ("future_speed_", "has_exact_target_", "is_below_p", "is_above_p", "is_between_p", "speed_minus_p", "speed_to_p")
+    return {c: "knows_later_rows" for c in columns if c.startswith(later) or c in ("p15", "p50", "p85") or "baseline" in c}
+
+
+def _horizon_models(g):
+    """(datasets, models) over all cities, the city as a category; datasets are stored, as every fit reads its rows again and again."""
+    data = {name: materialize(d) for name, d in datasets(g, None).items()}
+    columns = next(iter(data.values())).columns
+    return data, M.train_horizons(data, ["segment_id", "time_bucket", "event_id", "run_id"], _leaks(columns), kind="rf")
 
 
 @register("train_regressor")
 def q_train_regressor(spark, sf):
-    """Rows-only check: fitted GBT scored on its training rows (metrics per city)."""
-    t = K.tables(spark, sf)
-    rows = training_rows(t, None)
-    pred = M.batch_predict(_model(t), rows, TRAIN_FEATURES, ["city", TARGET], "prediction")
-    return K.rounded(M.regression_metrics(pred, TARGET, "prediction", ["city"]))
+    """Rows-only check: one random forest per horizon, scored on the test split (metrics per horizon and city)."""
+    data, models = _horizon_models(materialize(gold(K.tables(spark, sf))))
+    return K.rounded(M.held_out_metrics(models, data, ["city"]))
 
 
 @register("batch_predict")
 def q_batch_predict(spark, sf):
-    """Rows-only check: one forecast per latest segment row."""
+    """Rows-only check: a forecast for every horizon and latest segment row, with the time of scoring."""
     t = K.tables(spark, sf)
-    latest = serving(t)
-    return M.batch_predict(_model(t), latest, TRAIN_FEATURES, ["city", "segment_id", "time_bucket"], f"predicted_speed_{K.HORIZONS[0]}m")
+    g = materialize(gold(t))
+    _, models = _horizon_models(g)
+    out = M.predict_horizons(models, serving(t, g), ["city", "segment_id", "time_bucket"])
+    return out.withColumn("scored_at", F.lit(K.TEST_NOW).cast("timestamp_ntz"))
 
 
 @register("leaderboard_join", round_sql(oracle(f"""
