@@ -147,6 +147,24 @@ def dq_rollup(results: DataFrame) -> DataFrame:
     )
 
 
+def overall_status(health: DataFrame, rollup: DataFrame, model_ready: bool, stale_hours: float = 168) -> DataFrame:
+    """One row (status, reasons) for a system: ``Unhealthy`` if no dataset has rows or a critical check fails, ``Degraded`` if another
+    reason holds, else ``OK``.  ``health`` has rows and age_hours per dataset (a few rows), ``rollup`` is the row of ``dq_rollup``; without
+    one, evidence counts as missing.  The freshest dataset decides on staleness."""
+    data = health.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.min("age_hours").alias("age"))
+    both = data.join(rollup.agg(F.max("overall").alias("dq")), F.lit(True))  # one row each
+    reasons = [
+        (F.col("rows") == 0, "no_data"),
+        (F.col("dq") == "FAIL", "critical_quality_failures"),
+        (F.col("dq").isNull() | (F.col("dq") == "WARN"), "quality_warnings_or_no_evidence"),
+        (F.lit(not model_ready), "no_model"),
+        (F.col("age") > stale_hours, "stale_data"),
+    ]
+    both = both.select(F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in reasons])).alias("reasons"))
+    worst = F.arrays_overlap("reasons", F.array(F.lit("no_data"), F.lit("critical_quality_failures")))
+    return both.select(F.when(worst, "Unhealthy").when(F.size("reasons") > 0, "Degraded").otherwise("OK").alias("status"), "reasons")
+
+
 def referential_coverage(keys: DataFrame, reference: DataFrame, key: str, ref_key: str | None = None, warn_below: float = 0.95) -> DataFrame:
     """Share of distinct non-null keys present in the reference table; WARN below threshold."""
     ref_key = ref_key or key

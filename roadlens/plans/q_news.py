@@ -218,6 +218,37 @@ def q_keep_best_per_group(spark, sf):
     return K.rounded(best.select("event_category", "doc_id", "traffic_relevance_score"))
 
 
+_EVENT_FLAG = f"city IS NOT NULL AND event_category IN ({_ACTIVE}) AND traffic_relevance_score >= 55e-2"
+stage("events_best", "SELECT DISTINCT ON (event_category, city, title) * FROM events_n ORDER BY event_category, city, title, traffic_relevance_score DESC, severity_score DESC, doc_id", "events_n")
+
+
+@register("event_metric_report", oracle(f"""
+SELECT 'raw_records' AS metric, count(*) AS value FROM news_raw
+UNION ALL SELECT 'raw_missing_published_at', count(*) FILTER (WHERE published_at IS NULL) FROM news_raw
+UNION ALL SELECT 'raw_missing_summary', count(*) FILTER (WHERE summary IS NULL OR trim(summary) IN ('', 'null', 'None', 'nan')) FROM news_raw
+UNION ALL SELECT 'normalized_missing_city_after_detect', count(*) - count(city) FROM events_n
+UNION ALL SELECT 'city_detected_or_retained', count(city) FROM events_n
+UNION ALL SELECT 'unrelated_records', count(*) FILTER (WHERE event_category = 'unrelated') FROM events_n
+UNION ALL SELECT 'model_eligible_records_before_dedup', count(*) FILTER (WHERE {_EVENT_FLAG}) FROM events_n
+UNION ALL SELECT 'events_after_semantic_dedup', count(*) FROM events_best
+UNION ALL SELECT 'model_eligible_events_after_dedup', count(*) FILTER (WHERE {_EVENT_FLAG}) FROM events_best
+UNION ALL SELECT 'events_removed_by_semantic_dedup', (SELECT count(*) FROM events_n) - count(*) FROM events_best
+UNION ALL SELECT concat('event_category.', event_category), count(*) FROM events_n GROUP BY event_category
+UNION ALL SELECT concat('city.', coalesce(city, 'missing')), count(*) FROM events_n GROUP BY city
+UNION ALL SELECT concat('severity_score.', CAST(severity_score AS VARCHAR)), count(*) FROM events_n GROUP BY severity_score
+UNION ALL SELECT concat('event_time_confidence.', event_time_confidence), count(*) FROM events_n GROUP BY event_time_confidence""", "news_raw", "events_n", "events_best"))
+def q_event_metric_report(spark, sf):
+    """The event half of the report; here events of one category, city and title are one group, the best of which stays."""
+    from ..operators.components import materialize
+    from ..operators.reports import event_report
+
+    t = K.tables(spark, sf)
+    e = materialize(normalized(t).select("doc_id", "title", "city", "event_category", "severity_score", "traffic_relevance_score", "event_time_confidence", "is_relevant_for_traffic_model"))
+    same = F.sha2(F.to_json(F.struct("event_category", "city", "title"), {"ignoreNullFields": "false"}), 256)
+    best = N.keep_best_per_group(e.withColumn("same_event", same), "same_event", tiebreak="doc_id")
+    return event_report(news_input(t), e, best)
+
+
 # ---------------------------------------------------------------- pages -> links
 _LINK_RE = r"""(?is)<a\s[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
 

@@ -120,6 +120,26 @@ def q_dq_rollup(spark, sf):
     return Q.dq_rollup(dq_results(K.tables(spark, sf)))
 
 
+@register("system_status", oracle(f"""
+SELECT CASE WHEN list_has_any(reasons, ['no_data', 'critical_quality_failures']) THEN 'Unhealthy' WHEN len(reasons) > 0 THEN 'Degraded' ELSE 'OK' END AS status, reasons
+FROM (
+  SELECT list_filter([CASE WHEN n = 0 THEN 'no_data' END, CASE WHEN critical > 0 THEN 'critical_quality_failures' END,
+    CASE WHEN critical = 0 AND warned > 0 THEN 'quality_warnings_or_no_evidence' END, CASE WHEN models = 0 THEN 'no_model' END,
+    CASE WHEN age > 168 THEN 'stale_data' END], lambda r: r IS NOT NULL) AS reasons
+  FROM (SELECT (SELECT count(*) FROM silver_traffic) + (SELECT count(*) FROM silver_weather) AS n,
+          least((SELECT (epoch_us(TIMESTAMP '{K.TEST_NOW}') - epoch_us(max(timestamp))) / 3.6e9 FROM silver_traffic),
+                (SELECT (epoch_us(TIMESTAMP '{K.TEST_NOW}') - epoch_us(max(timestamp))) / 3.6e9 FROM silver_weather)) AS age) d,
+    (SELECT count(*) FILTER (WHERE status = 'FAIL' AND critical) AS critical, count(*) FILTER (WHERE status IN ('WARN', 'FAIL')) AS warned FROM dq_traffic) q,
+    (SELECT 0 AS models) m) x""", "silver_traffic", "silver_weather", "dq_traffic"))
+def q_system_status(spark, sf):
+    """Overall status of the two Silver tables and the traffic contract; no model folder is given here."""
+    from .q_misc import pipeline_health
+
+    t = K.tables(spark, sf)
+    health = pipeline_health({"silver_traffic": K.silver_traffic(t), "silver_weather": K.silver_weather(t)}, K.TEST_NOW)
+    return Q.overall_status(health, Q.dq_rollup(dq_results(t)), model_ready=False)
+
+
 @register("dq_bucket_coverage", oracle("""
 SELECT city, segment_id, buckets, m AS median_buckets FROM (
   SELECT city, segment_id, count(DISTINCT time_bucket) AS buckets FROM silver_traffic GROUP BY ALL) p,
