@@ -118,19 +118,62 @@ def title_tokens(c, stopwords: Sequence[str] = ()) -> Column:
 
 
 # ---------------------------------------------------------------- URLs
-def canonical_url(c) -> Column:
-    """lower scheme and host, collapse '//' in the path and strip the trailing '/', drop
-    utm_*/fbclid/gclid/yclid parameters, sort the query, drop the fragment."""
+def _url_parts(c) -> tuple[Column, Column, Column, Column]:
+    """Scheme (lower case; empty if there is none), host, path and query of a trimmed URL."""
     u = F.trim(col_(c))
-    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    at = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+    return (F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.regexp_extract(u, at + r"([^/?#]*)", 1),
+            F.regexp_extract(u, at + r"[^/?#]*([^?#]*)", 1), F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1))
+
+
+def _url_decode(c: Column) -> Column:
+    """Form decoding; a percent sign that starts no code stands for itself."""
+    return F.try_url_decode(F.regexp_replace(c, r"%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def _url_encode(c: Column) -> Column:
+    """Form encoding with the tilde left alone and the asterisk encoded."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def _query_items(query: Column) -> Column:
+    """Array of (k, v), decoded; an item without '=' has the value ''."""
+    item = lambda p: F.struct(_url_decode(F.regexp_extract(p, r"(?s)^([^=]*)", 1)).alias("k"), _url_decode(F.regexp_extract(p, r"(?s)=(.*)$", 1)).alias("v"))
+    return F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), item)
+
+
+def _query_text(items: Column) -> Column:
+    """'?' and the items encoded, or nothing."""
+    q = F.array_join(F.transform(items, lambda x: F.concat(_url_encode(x["k"]), F.lit("="), _url_encode(x["v"]))), "&")
+    return F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit(""))
+
+
+def canonical_url(c) -> Column:
+    """lower scheme and host, collapse '//' in the path and strip the trailing '/', decode the query, drop
+    utm_*/fbclid/gclid/yclid parameters, sort by name and value, encode again, drop the fragment."""
+    scheme, host, path, query = _url_parts(c)
     scheme = F.when(scheme == "", F.lit("https")).otherwise(scheme)
-    host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    path = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     path = F.regexp_replace(F.regexp_replace(path, r"/{2,}", "/"), r"/+$", "")
-    query = F.regexp_extract(u, r"\?([^#]*)", 1)
-    parts = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.split(p, "=")[0]).rlike(r"^(utm_.*|fbclid|gclid|yclid)$"))
-    q = F.array_join(F.array_sort(parts), "&")
-    return F.concat(scheme, F.lit("://"), host, path, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
+    kept = F.filter(_query_items(query), lambda x: ~F.lower(x["k"]).rlike(r"^(utm_[\s\S]*|fbclid|gclid|yclid)$"))
+    return F.concat(scheme, F.lit("://"), F.lower(host), path, _query_text(F.array_sort(kept)))
+
+
+def feed_url(c) -> Column:
+    """The form that feed items are matched by: utm_*/fbclid/gclid parameters, fragment and the path's trailing '/' go; order and
+    host stay."""
+    scheme, host, path, query = _url_parts(c)
+    kept = F.filter(_query_items(query), lambda x: ~F.lower(x["k"]).rlike(r"^(utm_[\s\S]*|fbclid|gclid)$"))
+    return F.concat(scheme, F.lit("://"), host, F.regexp_replace(path, r"/+$", ""), _query_text(kept))
+
+
+def dedup_url(c) -> Column:
+    """The form that events are compared by: parameters with an empty value go, and those whose name begins with utm_, fbclid, gclid, ref or
+    source; values of one name stand together at its first place; fragment and the trailing '/' of the whole go."""
+    scheme, host, path, query = _url_parts(c)
+    kept = F.filter(_query_items(query), lambda x: (x["v"] != "") & ~x["k"].rlike(r"^(utm_|fbclid|gclid|ref|source)"))
+    names = F.array_distinct(F.transform(kept, lambda x: x["k"]))
+    placed = F.transform(kept, lambda x, i: F.struct(F.array_position(names, x["k"]).alias("at"), i.alias("i"), x["k"].alias("k"), x["v"].alias("v")))
+    return F.regexp_replace(F.concat(scheme, F.lit("://"), host, path, _query_text(F.array_sort(placed))), r"/+$", "")
 
 
 def url_domain(c) -> Column:

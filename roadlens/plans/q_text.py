@@ -113,10 +113,20 @@ def d_canonical_url(u: str) -> str:
     host = f"lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
     path = f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
     path = f"regexp_replace(regexp_replace({path}, '/{{2,}}', '/', 'g'), '/+$', '')"
-    query = f"regexp_extract({u}, '\\?([^#]*)', 1)"
-    parts = f"list_filter(string_split({query}, '&'), lambda p: p <> '' AND NOT regexp_matches(lower(split_part(p, '=', 1)), '^(utm_.*|fbclid|gclid|yclid)$'))"
-    q = f"array_to_string(list_sort({parts}), '&')"
-    return f"concat(CASE WHEN {scheme} = '' THEN 'https' ELSE {scheme} END, '://', {host}, {path}, CASE WHEN {q} <> '' THEN concat('?', {q}) ELSE '' END)"
+    kept = f"list_filter({d_query_items(u)}, lambda x: NOT regexp_matches(lower(x.k), '^(utm_.*|fbclid|gclid|yclid)$'))"
+    return f"concat(CASE WHEN {scheme} = '' THEN 'https' ELSE {scheme} END, '://', {host}, {path}, {d_query_text(f'list_sort({kept})')})"
+
+
+def d_query_items(u: str) -> str:
+    decoded = lambda x: f"url_decode(replace({x}, '+', ' '))"
+    parts = f"list_filter(string_split(regexp_extract({u}, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '')"
+    return f"list_transform({parts}, lambda p: struct_pack(k := {decoded("split_part(p, '=', 1)")}, v := {decoded("regexp_extract(p, '=(.*)$', 1)")}))"
+
+
+def d_query_text(items: str) -> str:
+    encoded = lambda x: f"replace(url_encode({x}), '%20', '+')"
+    q = f"array_to_string(list_transform({items}, lambda x: concat({encoded('x.k')}, '=', {encoded('x.v')})), '&')"
+    return f"CASE WHEN {q} <> '' THEN concat('?', {q}) ELSE '' END"
 
 
 def d_url_domain(u: str) -> str:
@@ -129,6 +139,25 @@ def q_canonical_url(spark, sf):
     return K.tables(spark, sf).pages.select("page_id", X.canonical_url("url").alias("canonical_url"))
 
 
+def d_url_variants(u: str) -> str:
+    u = f"trim({u})"
+    scheme = f"lower(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))"
+    host = f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+    path = f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+    items = d_query_items(u)
+    feed = f"list_filter({items}, lambda x: NOT regexp_matches(lower(x.k), '^(utm_.*|fbclid|gclid)$'))"
+    full = f"list_filter({items}, lambda x: x.v <> '' AND NOT regexp_matches(x.k, '^(utm_|fbclid|gclid|ref|source)'))"
+    placed = f"list_sort(list_transform({full}, lambda x, i: struct_pack(at := list_position(list_transform({full}, lambda y: y.k), x.k), i := i, k := x.k, v := x.v)))"
+    return (f"concat({scheme}, '://', {host}, regexp_replace({path}, '/+$', ''), {d_query_text(feed)}) AS feed_url, "
+            f"regexp_replace(concat({scheme}, '://', {host}, {path}, {d_query_text(placed)}), '/+$', '') AS dedup_url")
+
+
+@register("url_variants", oracle(f"SELECT page_id, {d_url_variants('url')} FROM pages"))
+def q_url_variants(spark, sf):
+    """The two laxer forms of a URL, by which feeds and events are compared."""
+    return K.tables(spark, sf).pages.select("page_id", X.feed_url("url").alias("feed_url"), X.dedup_url("url").alias("dedup_url"))
+
+
 @register("url_domain", oracle(f"SELECT page_id, {d_url_domain('url')} AS domain FROM pages"))
 def q_url_domain(spark, sf):
     return K.tables(spark, sf).pages.select("page_id", X.url_domain("url").alias("domain"))
