@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from roadlens.operators import dedup as D
 from roadlens.operators.components import connected_components
 from roadlens.operators.dedup import simhash_near_dups
 
@@ -54,3 +57,22 @@ def test_components_match_brute_force_and_keep_isolated_ids(spark):
     got = connected_components(spark.range(301), spark.createDataFrame(edges, "src long, dst long")).collect()
     assert {r.id: r.component for r in got} == {i: root(i) for i in range(301)}
     assert connected_components(spark.range(3), spark.createDataFrame([], "src long, dst long")).count() == 3
+
+
+def _plans(spark, run, monkeypatch, kept):
+    """Tables that ``run`` writes and what it returns, with every static size estimate far below the broadcast limit."""
+    seen = []
+    monkeypatch.setattr(D, "materialize", lambda df, f=D.materialize: seen.append(df) or f(df))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 30))
+    try:
+        seen.append(run())
+        return [df._jdf.queryExecution().executedPlan().toString() for df in seen if kept in df._jdf.queryExecution().optimizedPlan().toString()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_simhash_keys_are_never_broadcast(spark, monkeypatch):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("simhash"))
+    plans = _plans(spark, lambda: D.simhash_near_dups(docs), monkeypatch, "Generate explode(array(")
+    assert plans and all("SortMergeJoin" in p for p in plans)
