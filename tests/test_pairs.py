@@ -76,3 +76,46 @@ def test_simhash_keys_are_never_broadcast(spark, monkeypatch):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("simhash"))
     plans = _plans(spark, lambda: D.simhash_near_dups(docs), monkeypatch, "Generate explode(array(")
     assert plans and all("SortMergeJoin" in p for p in plans)
+
+
+def test_minhash_keys_are_never_broadcast(spark, monkeypatch):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.split(F.concat_ws(" ", F.lit("w"), F.col("id").cast("string")), " ").alias("tokens"))
+    plans = _plans(spark, lambda: D.minhash_near_dups(docs), monkeypatch, "Generate explode(keys")
+    assert plans and all("SortMergeJoin" in p for p in plans)
+
+
+def test_minhash_pairs_match_brute_force_in_many_blocks(spark, monkeypatch):
+    """Near-equal sets of several blocks, copies, a null id, an id with two sets and sets below the threshold."""
+    monkeypatch.setattr(D, "BLOCK", 8)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    sets = {i: sorted(set(base) - set(rng.sample(base, rng.randrange(0, 8))) | {f"x{rng.randrange(40)}" for _ in range(rng.randrange(0, 6))}) for i in range(70)}
+    sets |= {100 + i: [f"u{(i * 7 + j) % 50}" for j in range(20)] for i in range(20)}
+    rows = [(i, s) for i, s in sets.items()] + [(200, sets[3]), (201, sets[100]), (None, sets[5]), (300, base), (300, base[:59]), (4, sets[4])]
+    got = sorted((r.a, r.b, round(r.jaccard, 9)) for r in D.minhash_near_dups(spark.createDataFrame(rows, "doc_id long, tokens array<string>")).collect())
+    first = {}
+    for i, s in rows:
+        if i is not None:
+            first[frozenset(s)] = min(i, first.get(frozenset(s), i))
+    want = [(first[frozenset(s)], i, 1.0) for i, s in rows if i is not None and i != first[frozenset(s)]]
+    for s, a in first.items():
+        for t, b in first.items():
+            if a < b and len(s & t) / len(s | t) >= 0.8:
+                want.append((a, b, round(len(s & t) / len(s | t), 9)))
+    assert got == sorted(want)
+
+
+def test_minhash_moves_a_set_once_a_cell(spark, monkeypatch):
+    """300 near-equal sets make 44,850 pairs; their tokens are moved once per pair of blocks."""
+    monkeypatch.setattr(D, "BLOCK", 150)
+    real = D._cell_pairs
+    counted = spark.sparkContext.accumulator(0)
+
+    def counting(threshold):
+        inner = real(threshold)
+        return lambda pairs, sets: (counted.add(sets.num_rows), inner(pairs, sets))[1]
+
+    monkeypatch.setattr(D, "_cell_pairs", counting)
+    rows = [(i, [f"w{j}" for j in range(100) if j != i % 100] + [f"x{i}"]) for i in range(300)]
+    got = D.minhash_near_dups(spark.createDataFrame(rows, "doc_id long, tokens array<string>")).count()
+    assert got == 300 * 299 // 2 and counted.value <= 300 * 8
