@@ -12,7 +12,7 @@ The semi-join reads F_k as a bitmap of ``SLOTS`` bits (16 MB, whatever the data)
 only makes longer phrases that the next count drops, so results are exact.  A phrase is named by 64 bits
 that mix the names of its two parts; strings are put together for frequent phrases only.
 
-A block ends between two pieces.  Memory: some blocks, their dictionaries and the bitmap per task.  Shuffles: distinct phrases
+A block ends between two pieces.  Memory: some blocks (a batch of 8 MB, or one), their dictionaries and the bitmap per task.  Shuffles: distinct phrases
 per task.  R_k is removed once R_(k+1) is stored.
 
 Defined cases: null text is empty; null lang is ``und``; rows that repeat count again; an empty table gives no phrases.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLOTS, bitmap_filter, in_bitmap, scratch_path, stored, whole_text
+from .common import SLOTS, bitmap_filter, in_bitmap, scratch_path, small_batches, stored, whole_text
 
 #: Characters that end a piece.
 SEPARATORS = ".,;:!?\n\x0b\x0c\r"
@@ -237,7 +237,12 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """((lang, n) word occurrences of each language, (lang, k, phrase, f, code, left, right) of all phrases of 1 to ``longest`` words
-    found ``least`` times or more)."""
+    found ``least`` times or more).  All is stored on return."""
+    with small_batches(docs.sparkSession):
+        return _frequent_phrases(docs, least, longest)
+
+
+def _frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole_text().cast("binary").alias("text"))
     relation, path = _relation(rows.mapInArrow(_tokenize, _BLOCK), "occurrences-1")

@@ -13,6 +13,7 @@ Rules that hold for every operator of this subpackage
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Arrow batches of ``size`` at most for the jobs run inside: an executor holds some of them on both sides of each of its Python
+    workers, and by default one may take tens of MB where rows are whole blocks."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def hash_unit(col: Column, seed: str) -> Column:
     """A repeatable number in [0, 1) from a seed and a column (32 bits of MD5)."""
     return hash_bits(F.concat(F.lit(seed + ":"), F.coalesce(col.cast("string"), F.lit("\u0000null"))), 8) / F.lit(4294967296.0)

@@ -67,3 +67,11 @@ def test_empty_table(spark):
     out = collocations.collocations(spark.createDataFrame([], SCHEMA))
     assert out.collect() == [] and out.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert all(t == "bigint" for c, t in out.dtypes if c not in ("lang", "phrase"))
+
+
+def test_blocks_travel_in_small_batches(spark, monkeypatch):
+    key, seen, relation = "spark.sql.execution.arrow.maxBytesPerBatch", [], collocations._relation
+    before = spark.conf.get(key)
+    monkeypatch.setattr(collocations, "_relation", lambda rows, label: (seen.append(spark.conf.get(key)), relation(rows, label))[1])
+    collocations.frequent_phrases(spark.createDataFrame([("en", "a b c " * 3)], "lang string, text string"), 2, 3)
+    assert set(seen) == {"8m"} and spark.conf.get(key) == before
