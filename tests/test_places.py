@@ -44,3 +44,25 @@ def test_every_row_stays_and_the_city_is_appended(spark):
     g = spark.createDataFrame([("HUE",)], "name string")
     got = sorted((r.txt or "", r.city or "", r.locations) for r in extract_locations(rows, "txt", g, "city").collect())
     assert got == [("", "hanoi", ["hanoi"]), ("In Hue", "hanoi", ["hue", "hanoi"]), ("In Hue", "hue", ["hue"]), ("none", "", [])]
+
+
+def test_only_places_where_a_name_may_begin_become_rows(spark):
+    from pyspark.sql import functions as F
+
+    from roadlens.operators import news
+
+    names = spark.createDataFrame([("peru",), ("viet nam",)], "_name string")
+    heads = names.select(F.substring("_name", 1, news.NAME_HEAD).alias("_head"))
+    pieces = spark.createDataFrame([(i, "no place but viet nam here " * 20) for i in range(50)], "_id long, _piece string")
+    at = pieces.mapInArrow(news._name_places(news._head_bitmap(heads, [4, 6]), [4, 6], 512, 8), "_id long, _window string, _head string").collect()
+    assert len(at) < 1.1 * 50 * 19 and sum(r._window == "viet nam" and r._head == "viet n" for r in at) == 50 * 19
+
+
+def test_a_full_bitmap_of_heads_changes_no_result(spark, monkeypatch):
+    from roadlens.operators import news
+
+    texts, names = [(1, "ab cd abc"), (2, "xyz" * 400), (None, "abc")], ["ab", "abc", "zx", "c"]
+    want = found(spark, texts, names)
+    assert want[1] == ["abc", "ab", "c"] and want[2] == ["zx"]
+    monkeypatch.setattr(news, "_head_bitmap", lambda heads, sizes: spark.sparkContext.broadcast(news.np.full(news.HEAD_BITS >> 6, 2**64 - 1, "uint64")))
+    assert found(spark, texts, names) == want
