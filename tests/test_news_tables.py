@@ -63,3 +63,16 @@ def test_bronze_flags_unrelated_articles(spark):
     raw = spark.sql("SELECT 's' AS source, 'e' AS external_id, 'rss' AS provider, 'Ngân hàng mở cửa' AS title, 'tài chính' AS summary, "
                     "'https://a.vn/x/y.html' AS source_url, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS published_at, 1 AS ingest_order")
     assert "possible_unrelated" in N.bronze_news(raw).first().data_quality_flags
+
+
+def test_bronze_cleans_texts_once_and_marks_duplicates(spark):
+    rows = [(i, f"e{i}", "s_giao_thong", "rss", f"t{i % 3}", f"<b>body</b> {i % 3}", f"http://h/x{i}", None) for i in range(6)] + [(None, None, None, None, None, None, None, None)]
+    raw = spark.createDataFrame(rows, "ingest_order long, external_id string, source string, provider string, title string, summary string, source_url string, published_at timestamp_ntz")
+    df = N.bronze_news(raw, {}, {"k": ["body"]})
+    got = {r.ingest_order: r for r in df.collect()}
+    record = {i: r.record_id for i, r in got.items()}
+    assert {i: r.duplicate_of_record_id for i, r in got.items()} == {0: None, 1: None, 2: None, 3: record[0], 4: record[1], 5: record[2], None: None}
+    assert all(("exact_duplicate" in r.data_quality_flags) == r.is_exact_duplicate == (i in (3, 4, 5)) for i, r in got.items())
+    assert {r.summary_raw for r in got.values()} == {None, "<b>body</b> 0", "<b>body</b> 1", "<b>body</b> 2"} and got[1].category_hint_raw == "k"
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "sha2" not in plan  # four branches read what was cleaned once
