@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import whole_text
 
 #: Pieces remembered per generation and worker, and the longest piece remembered (characters).
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 LONGEST_REMEMBERED = 64
 #: Children per node of the segment tree.
 FAN = 32
@@ -216,16 +216,20 @@ def _lists(blobs: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
 
 
-def _decode(lists: pa.Array, tokens: list[bytes]) -> pa.Array:
-    token = tokens.__getitem__
-    ids = lists.values.to_numpy(zero_copy_only=False)
-    bounds = lists.offsets.to_pylist()
-    spans = zip(bounds, bounds[1:], lists.is_valid().to_pylist())
-    return pa.array([b"".join(map(token, ids[a:b].tolist())) if known else None for a, b, known in spans], pa.binary())
+def _decode(lists: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The bytes of each list: the taken tokens lie one behind the other, so a list's bytes are those between its bounds."""
+    bounds = lists.offsets.to_numpy()
+    ids = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
+    if ids.null_count:
+        raise ValueError("null among the ids to decode")
+    _, ends, data = tokens.take(ids).buffers()
+    offsets = np.frombuffer(ends, np.int32, len(ids) + 1)[bounds - bounds[0]]
+    known = pa.array(lists.is_valid().to_numpy(zero_copy_only=False)).buffers()[1] if lists.null_count else None
+    return pa.Array.from_buffers(pa.binary(), len(lists), [known, pa.py_buffer(offsets), data])
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
-_TOKENS: dict[tuple, list[bytes]] = {}
+_TOKENS: dict[tuple, pa.Array] = {}
 
 
 def _worker_encoder(key, shared) -> Encoder:
@@ -234,10 +238,11 @@ def _worker_encoder(key, shared) -> Encoder:
     return _ENCODERS[key]
 
 
-def _worker_tokens(key, shared) -> list[bytes]:
+def _worker_tokens(key, shared) -> pa.Array:
     if key not in _TOKENS:
         ranks = parse_ranks(shared.value)
-        _TOKENS[key] = [b""] * (max(ranks.values()) + 1)
+        tokens = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
-            _TOKENS[key][i] = token
+            tokens[i] = token
+        _TOKENS[key] = pa.array(tokens, pa.binary())
     return _TOKENS[key]

@@ -114,3 +114,18 @@ def test_op7_histogram_answers_every_limit(spark, sf, monkeypatch):
 def test_token_counts_of_an_empty_table(spark):
     hist = token_counts.length_histogram(spark.createDataFrame([], "n long"), F.col("n"))
     assert token_counts.suffix_sums(hist).count() == 0
+
+
+def test_lists_are_decoded_at_once():
+    import pyarrow as pa
+
+    tokens = pa.array([b"a", b"", b"\xff\x00", b"dd"], pa.binary())
+    lists = pa.array([[3, 0], None, [], [2, 1, 2], [0]], pa.list_(pa.int32()))
+    want = [b"dda", None, b"", b"\xff\x00\xff\x00", b"a"]
+    for a, b in ((0, 5), (1, 4), (3, 5), (1, 2), (2, 3), (0, 0)):
+        got = bpe._decode(lists.slice(a, b - a), tokens)
+        got.validate(full=True)
+        assert got.to_pylist() == want[a:b]
+    for wrong in ([4], [-1], [None]):
+        with pytest.raises((pa.ArrowException, ValueError, IndexError)):
+            bpe._decode(pa.array([wrong], pa.list_(pa.int32())), tokens)
