@@ -230,16 +230,22 @@ SELECT *, error <> 'ok' AS bad FROM (SELECT *, CASE WHEN city IS NULL OR segment
   ELSE 'ok' END AS error FROM msgs) x""", "msgs")
 
 
+def _trigger_files(spark) -> int:
+    """Message files per trigger: as many as a shuffle has tasks, so all cores write them."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _write_messages(spark, t, name):
     path = SK.scratch_dir(spark, name)
     m = _messages(t).drop("event_id")
-    m.select(F.to_json(F.struct(*m.columns)).alias("value")).repartition(4).write.mode("overwrite").text(path)
+    m.select(F.to_json(F.struct(*m.columns)).alias("value")).repartition(2 * _trigger_files(spark)).write.mode("overwrite").text(path)
     return path
 
 
 def _stream(spark, t, name):
+    """The messages as a stream of two triggers."""
     src_path = _write_messages(spark, t, name)
-    return (spark.readStream.schema(ST.TOPIC_SCHEMAS["traffic"]).option("maxFilesPerTrigger", 2).json(src_path))
+    return spark.readStream.schema(ST.TOPIC_SCHEMAS["traffic"]).option("maxFilesPerTrigger", _trigger_files(spark)).json(src_path)
 
 
 def _run(query):

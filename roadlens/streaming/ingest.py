@@ -8,6 +8,7 @@ transforms from a file stream with ``trigger(availableNow=True)``.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -202,14 +203,15 @@ class LatestProcessor(StatefulProcessor):
         before = self.newest.get()
         best = before
         for part in rows:
-            at = part["us"].idxmax()
-            row = (int(part["us"][at]), part["speed"][at], part["jam"][at])
-            if best is None or row[0] > best[0]:
-                best = row
+            us = part["us"].to_numpy()
+            at = int(us.argmax())
+            if best is None or us[at] > best[0]:
+                best = (int(us[at]), part["speed"].iat[at], part["jam"].iat[at])
         if best is not before:
             best = tuple(None if v != v else v for v in best)  # NaN stands for null
             self.newest.update(best)
-            yield pd.DataFrame({"city": [key[0]], "segment_id": [key[1]], "us": [best[0]], "currentSpeed": [best[1]], "jamFactor": [best[2]]}).astype({"currentSpeed": "float64", "jamFactor": "float64"})
+            speed, jam = (np.array([v], "float64") for v in best[1:])
+            yield pd.DataFrame({"city": [key[0]], "segment_id": [key[1]], "us": [best[0]], "currentSpeed": speed, "jamFactor": jam})
 
     def close(self) -> None:
         pass

@@ -99,3 +99,14 @@ def test_registered_streams_keep_bounded_state(name):
 
     text = inspect.getsource(getattr(q_io, name)) + inspect.getsource(q_io.run_latest) + inspect.getsource(q_io.run_appending)
     assert "complete" not in text and "3650" not in text
+
+
+def test_all_cores_write_the_messages_and_two_triggers_read_them(spark):
+    from pathlib import Path
+    from types import SimpleNamespace
+
+    events = spark.range(400).selectExpr("id AS event_id", "id % 20 AS user_id", "timestamp_ntz '2024-01-05' + make_dt_interval(0, 0, int(id)) AS ts", "'view' AS event_type", "double(id % 50) AS value")
+    from roadlens.plans.views import VIEW_SQL
+    path = q_io._write_messages(spark, SimpleNamespace(traffic_obs=spark.sql(VIEW_SQL["traffic_obs"], events=events)), "many_files")
+    files = [f for f in Path(path.removeprefix("file:")).glob("part-*")]
+    assert len(files) == 2 * q_io._trigger_files(spark) == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
