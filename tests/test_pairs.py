@@ -119,3 +119,24 @@ def test_minhash_moves_a_set_once_a_cell(spark, monkeypatch):
     rows = [(i, [f"w{j}" for j in range(100) if j != i % 100] + [f"x{i}"]) for i in range(300)]
     got = D.minhash_near_dups(spark.createDataFrame(rows, "doc_id long, tokens array<string>")).count()
     assert got == 300 * 299 // 2 and counted.value <= 300 * 8
+
+
+def test_tokens_of_sets_without_a_candidate_are_not_moved(spark, monkeypatch):
+    d = spark.range(20_000).withColumnRenamed("id", "u")
+    wanted = spark.range(0, 20_000, 100).withColumnRenamed("id", "u")
+    left = D._marked(d, wanted, "u")
+    assert left.join(wanted, "u").count() == 200 and left.count() < 260
+    assert D._marked(d, wanted.limit(0), "u").count() == 0
+    kept = []
+    monkeypatch.setattr(D, "_marked", lambda *a, keep=D._marked: kept.append(keep(*a)) or kept[-1])
+    rows = [(i, [f"w{i}x{j}" for j in range(12)]) for i in range(300)] + [(300 + i, [f"v{j}" for j in range(12)] + [f"x{i}"]) for i in range(4)]
+    got = sorted((r.a, r.b) for r in D.minhash_near_dups(spark.createDataFrame(rows, "doc_id long, tokens array<string>")).collect())
+    assert got == [(300 + i, 300 + j) for i in range(4) for j in range(i + 1, 4)]
+    assert kept[0].count() < 10
+
+
+def test_sets_with_odd_tokens_and_an_id_of_two_sets(spark):
+    odd = ['"', "\\", "a\nb", "é", "\U0001f600", "", " ", "[1]", "\t", "null"]
+    rows = [(1, odd + ["p"]), (2, odd + ["q"]), (2, ["only", "two"]), (3, ["only", "two"]), (4, odd + ["p"])]
+    got = sorted((r.a, r.b, round(r.jaccard, 6)) for r in D.minhash_near_dups(spark.createDataFrame(rows, "doc_id long, tokens array<string>")).collect())
+    assert got == [(1, 2, round(10 / 12, 6)), (1, 4, 1.0), (2, 3, 1.0)]
